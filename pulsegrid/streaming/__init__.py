@@ -1,0 +1,4 @@
+"""Intentionally empty: every operator of this engine is a batch table transformation.
+
+There is no watermark, stream window or late-data rule to reproduce, so no streaming operator is offered.
+"""
