@@ -50,13 +50,14 @@ def exact_quantiles(
     rows = rows.withColumn("_range", value_range(F.col("_v")))
 
     counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*(keys or [F.lit(0)]))
-    before = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    group = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range")  # one sort for both frames
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = group.rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(
         *keys,
         "_range",
         "_n",
-        F.sum("_n").over(group).alias("_total"),
+        F.sum("_n").over(whole).alias("_total"),
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
     ranks = {}
