@@ -1,0 +1,109 @@
+"""Queries: fitted models and whole jobs. Fits have no SQL counterpart; their parts that do are above."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from pulsegrid.checks.common import check, rounded, signal, sql_round
+from pulsegrid.checks.forecasts import SPLIT_SIGNAL, _predict_sql, split_signal
+from pulsegrid.models.registry import make_model
+from pulsegrid.models.search import blend_accuracies
+from pulsegrid.operators import baselines, metrics
+from pulsegrid.plans.features import FeatureSettings, build_features
+from pulsegrid.plans.train import RunSettings, prepare, rescore_run, train_and_compare
+from pulsegrid.session import freeze, use_checkpoint_dir
+
+_SMALL_FEATURES = FeatureSettings(allow_step_inputs=True, lags=(1, 2), roll_windows=(4, 16))
+_ROUNDS = 3
+
+
+@check(
+    "blend_alpha_search",
+    f"""WITH {SPLIT_SIGNAL}, {_predict_sql('mean', 'm0')}, {_predict_sql('median', 'm1')},
+pairs AS (SELECT a.steps_t AS y, a.yhat AS p0, b.yhat AS p1 FROM m0 a JOIN m1 b USING (event_id) WHERE a.split = 'val'),
+alphas AS (SELECT unnest([0.0, 0.25, 0.5, 0.65, 0.75, 0.85, 1.0])::DOUBLE AS alpha)
+SELECT alpha, {sql_round('avg(CASE WHEN abs(y - (alpha * p0 + (1 - alpha) * p1)) <= 30 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')}
+       AS accuracy FROM pairs, alphas GROUP BY alpha""",
+)
+def blend_alpha_search(spark: SparkSession, sf: str) -> DataFrame:
+    rows = split_signal(spark, sf, lagged=False)
+    first = baselines.calendar_forecast(rows, "mean", name="yhat0")
+    both = baselines.calendar_forecast(first, "median", name="yhat1").where("split = 'val'")
+    found = blend_accuracies(both, [0.0, 0.25, 0.5, 0.65, 0.75, 0.85, 1.0], 30, y="steps_t")
+    return found.select("alpha", rounded("accuracy").alias("accuracy"))
+
+
+def _frame(spark: SparkSession, sf: str) -> DataFrame:
+    features = build_features(signal(spark, sf), _SMALL_FEATURES)
+    return prepare(features, RunSettings("fit", models={}))[0]
+
+
+def _fit(name: str, options: dict, spark: SparkSession, sf: str) -> DataFrame:
+    """Errors per split of one fitted model."""
+    frame = _frame(spark, sf)
+    model = make_model(name, **options).fit(frame.where(F.col("split") == "train"))
+    scored = metrics.scored_columns(model.transform(frame), name, y="label")
+    measures = {**metrics.core_measures(), **metrics.loss_measures(taus=(0.8,)), **metrics.tolerance_measures([50])}
+    return scored.groupBy("model", "split").agg(*[c.alias(n) for n, c in measures.items()])
+
+
+# Small settings: the fits run on all rows, with few rounds.
+FITS = {
+    "fit_linear": ("linreg", {}),
+    "fit_ridge": ("ridge", {}),
+    "fit_ridge_short": ("ridge_sgd", {}),
+    "fit_huber": ("huber", {}),
+    "fit_forest": ("rf100", {"numTrees": 5, "maxDepth": 5}),
+    "fit_boost_l2": ("hgb_l2", {"maxIter": _ROUNDS}),
+    "fit_boost_absolute": ("hgb_mae", {"rounds": _ROUNDS}),
+    "fit_boost_quantile": ("hgb_q80", {"rounds": _ROUNDS}),
+    "fit_boost_poisson": ("hgb_poisson_log1p", {"rounds": _ROUNDS}),
+    "fit_boost_poisson_rate": ("xgb_poisson", {"rounds": _ROUNDS, "depth": 4}),
+    "fit_boost_pseudo_huber": ("xgb_huber", {"rounds": _ROUNDS, "depth": 4}),
+    "fit_boost_row_column_share": ("lgbm_q80", {"rounds": _ROUNDS, "depth": 4}),
+    "fit_boost_deep": ("cat_q80", {"rounds": 1}),
+    "fit_blend": ("hgb_mae_blend", {"rounds": 2}),
+    "fit_quantile_blend": ("hgb_mae_qblend", {"rounds": 2}),
+    "fit_two_stage": ("two_stage_hgb", {"rounds": 2, "regressor": {"rounds": 2}}),
+    "fit_tolerance_blend": (
+        "ensemble_tol",
+        {"bases": {"lgbm_poisson_log1p": {"rounds": 2, "depth": 4}, "hgb_q80": {"rounds": 2}}},
+    ),
+}
+for _name, (_model, _options) in FITS.items():
+    check(_name)(partial(_fit, _model, _options))
+
+
+@check("grid_search_quantile")
+def grid_search_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    frame = _frame(spark, sf).where(F.col("split") == "train")
+    grid = {"learning_rate": [0.1, 0.3], "max_iter": [1, 2], "min_samples_leaf": [50], "max_depth": [None]}
+    search = make_model("hgb_q80_auto", grid=grid, folds=2)
+    search.fit(frame)
+    return search.result_table(spark)
+
+
+def _run_dir(spark: SparkSession, run: str) -> str:
+    return f"{use_checkpoint_dir(spark)}/runs/{run}"
+
+
+@check("train_run")
+def train_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Baselines and a linear model through the whole job, with the full set of measures."""
+    features = build_features(signal(spark, sf), _SMALL_FEATURES)
+    settings = RunSettings(
+        "check", models={"naive_last": {}, "averaging": {}, "median": {}, "mode": {}, "linreg": {}}, tolerances=(50,)
+    )
+    return train_and_compare(features, settings).board
+
+
+@check("rescore_run")
+def rescore(spark: SparkSession, sf: str) -> DataFrame:
+    """Train with a run folder, then score the saved models again with other tolerances."""
+    run_dir = _run_dir(spark, "rescore")
+    features = freeze(build_features(signal(spark, sf), _SMALL_FEATURES))
+    settings = RunSettings("rescore", models={"linreg": {}, "hgb_q80": {"rounds": 1}}, tolerances=(50,))
+    train_and_compare(features, settings, run_dir)
+    return rescore_run(spark, run_dir, features, tolerances=(25, 100)).board
