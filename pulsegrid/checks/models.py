@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.checks.common import check, rounded, signal, sql_round
@@ -49,6 +50,27 @@ def _fit(name: str, options: dict, spark: SparkSession, sf: str) -> DataFrame:
     return scored.groupBy("model", "split").agg(*[c.alias(n) for n, c in measures.items()])
 
 
+_ONE_INPUT = f"""WITH {SPLIT_SIGNAL}, xy AS (SELECT event_id, split, coalesce(steps_lag1, 0) AS x, steps_t AS y FROM base),
+fit AS (SELECT avg(x) AS mx, avg(y) AS my, covar_pop(x, y) * count(*) AS sxy, var_pop(x) * count(*) AS sxx
+        FROM xy WHERE split = 'train')
+SELECT event_id, split, {sql_round('my + (x - mx) * sxy / (sxx + {0})', 3)} AS yhat FROM xy, fit"""
+
+
+def _one_input(name: str, options: dict, spark: SparkSession, sf: str) -> DataFrame:
+    rows = split_signal(spark, sf).withColumn("x", F.coalesce("steps_lag1", F.lit(0.0)))
+    rows = rows.withColumn("label", F.col("steps_t"))
+    frame = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
+    model = make_model(name, **options).fit(frame.where(F.col("split") == "train"))
+    return model.transform(frame).select("event_id", "split", rounded("yhat", 3).alias("yhat"))
+
+
+# With one input the fitted line has a closed form. The penalty is large enough to matter.
+check("linear_one_input", _ONE_INPUT.replace("{0}", "0"))(partial(_one_input, "linreg", {}))
+check("ridge_one_input", _ONE_INPUT.replace("{0}", "5000000"))(
+    partial(_one_input, "ridge", {"alpha": 5e6, "tol": 1e-12})
+)
+
+
 # Small settings: the fits run on all rows, with few rounds.
 FITS = {
     "fit_linear": ("linreg", {}),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.calendar import calendar_field
 from pulsegrid.layout import DEFAULT_LAYOUT, Layout
@@ -22,8 +24,15 @@ def with_calendar(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     return df.withColumns({f: calendar_field(f, layout.ts) for f in CELL})
 
 
-def statistic(df: DataFrame, keys: list[str], value: str, how: str, name: str, few_groups: bool = True) -> DataFrame:
-    """Mean, median or mode per group; no group is gathered in one buffer."""
+def statistic(
+    df: DataFrame, keys: list[str], value: str, how: str | Callable[[Column], Column], name: str, few_groups: bool = True
+) -> DataFrame:
+    """Mean, median or mode per group; no group is gathered in one buffer.
+
+    ``how`` may also build an aggregate of one's own from the value column.
+    """
+    if callable(how):
+        return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(how(F.col(value)).alias(name))
     if how == "mean":
         return df.where(F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias(name))
     if how == "median":
@@ -72,8 +81,8 @@ def calendar_forecast(
     """Predict every row by its (dow, hour) statistic of the train rows, else by the global one, else by 0.
 
     The global value covers the rows in the calendar table, or all rows if none has a calendar. The lookup has
-    at most 170 entries by design, so it travels as one broadcast map. The forecast is rounded to single
-    precision, as the reported errors are defined on it.
+    at most 170 entries by design, so it is one map value, computed once as a scalar subquery; the rows are
+    only projected. The forecast is rounded to single precision, as the reported errors are defined on it.
     """
     train = df.where(F.col("split") == "train") if train is None else train
     train = train.select(*[c for c in train.columns if c in {target, layout.ts, *CELL}])
@@ -82,11 +91,11 @@ def calendar_forecast(
         F.when(F.col("scope") == _CELL_SCOPE, F.col("dow") * 24 + F.col("hour")).otherwise(-F.col("scope")),
         F.col("value").cast("double"),
     )
-    lookup = found.agg(F.map_from_entries(F.collect_list(entry)).alias("_lookup"))
-    rows = with_calendar(df, layout).crossJoin(F.broadcast(lookup))
+    lookup = found.agg(F.map_from_entries(F.collect_list(entry))).scalar()
     keys = [F.col("dow") * 24 + F.col("hour"), F.lit(-_PLACED_SCOPE), F.lit(-_UNPLACED_SCOPE)]
     value = F.coalesce(*[F.try_element_at("_lookup", k.cast("int")) for k in keys], F.lit(0.0))
-    return rows.withColumn(name, value.cast("float").cast("double")).select(*df.columns, name)
+    rows = with_calendar(df, layout).withColumn("_lookup", lookup)
+    return rows.select(*df.columns, value.cast("float").cast("double").alias(name))
 
 
 def naive_forecast(df: DataFrame, lag: str = "steps_lag1", name: str = "yhat") -> DataFrame:

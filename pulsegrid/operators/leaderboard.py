@@ -22,15 +22,13 @@ def compare(metrics: DataFrame, train_measures: Sequence[str] = ("MAE",)) -> Dat
 
 def add_lift(board: DataFrame, naive: str = NAIVE) -> DataFrame:
     """Share of the naive error that a model saves; missing for all models without a naive row."""
-    base = board.where(F.lower("model") == naive).agg(
-        F.first("MAE_val").alias("_val"), F.first("MAE_test").alias("_test")
-    )
-    joined = board.crossJoin(F.broadcast(base))
-    lifts = {
-        f"Lift_{s}_MAE": (F.col(f"_{s}") - F.col(f"MAE_{s}")) / F.nullif(F.col(f"_{s}"), F.lit(0.0))
-        for s in ("val", "test")
-    }
-    return joined.withColumns(lifts).drop("_val", "_test")
+    base = board.where(F.lower("model") == naive)
+    lifts = {}
+    for split in ("val", "test"):
+        error = f"MAE_{split}"
+        reference = base.agg(F.max(error)).scalar()
+        lifts[f"Lift_{split}_MAE"] = (reference - F.col(error)) / F.nullif(reference, F.lit(0.0))
+    return board.withColumns(lifts)
 
 
 def rank_models(board: DataFrame) -> DataFrame:
