@@ -145,6 +145,8 @@ def train_and_compare(
     spark = features.sparkSession
     frame, _ = prepare(features, settings, layout)
     if run_dir:
+        if resume and features_path is None:
+            features_path = load_settings(spark, run_dir, settings)[1]
         about = json.dumps({**asdict(settings), "features_path": features_path})
         write_table(spark.createDataFrame([(about,)], "settings string").coalesce(1), f"{run_dir}/settings")
     parts = []
