@@ -38,7 +38,7 @@ def grouped_quantile(df: DataFrame, keys: list[str], value: str, weight: str, ta
     Rows are combined per (group, range) on the map side, so groups may be as large as the table.
     """
     totals = (
-        df.groupBy(*keys, value_range(F.col(value), LEAF_RANGES_PER_OCTAVE).alias("_range"))
+        df.groupBy(*keys, value_range(value, LEAF_RANGES_PER_OCTAVE).alias("_range"))
         .agg(F.sum(weight).alias("_w"), F.sum(F.col(weight) * F.col(value)).alias("_wv"))
         .where(F.col("_w") > 0)
     )

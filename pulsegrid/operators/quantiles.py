@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Ranges per power of two. Finer ranges cost more counts and leave fewer rows to order.
 RANGES_PER_OCTAVE = 4096
@@ -18,11 +18,10 @@ _LOWEST_OCTAVE = 1100  # below the smallest exponent of a double
 _HIGHEST_OCTAVE = 1025.0
 
 
-def value_range(value: Column, per_octave: int = RANGES_PER_OCTAVE) -> Column:
+def value_range(column: str, per_octave: int = RANGES_PER_OCTAVE) -> Column:
     """Number of the value range; never decreases when the value grows. NULL stays NULL."""
-    magnitude = F.least(F.log2(F.abs(value)), F.lit(_HIGHEST_OCTAVE))
-    step = F.floor(magnitude * per_octave) + (_LOWEST_OCTAVE * per_octave + 1)
-    return F.when(value > 0, step).when(value < 0, -step).when(value.isNotNull(), F.lit(0).cast("bigint"))
+    step = f"floor(least(log2(abs({column})), {_HIGHEST_OCTAVE}D) * {per_octave}) + {_LOWEST_OCTAVE * per_octave + 1}"
+    return F.expr(f"CASE WHEN {column} > 0 THEN {step} WHEN {column} < 0 THEN -({step}) WHEN {column} = 0 THEN 0L END")
 
 
 def _same(keys: Sequence[str], left: str, right: str) -> Column:
@@ -46,54 +45,47 @@ def exact_quantiles(
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    rows = rows.withColumn("_range", value_range(F.col("_v")))
-
-    counts = rows.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n"))
-    group = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range")  # one sort for both frames
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = group.rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(
-        *keys,
+    rows = df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    rows = rows.withColumn("_range", value_range("_v"))
+
+    names = [f"`{k}`" for k in keys]
+    group = ", ".join(names or ["0"])
+    counts = rows.groupBy(*keys, "_range").agg(F.expr("count(1) AS _n"))
+    counts = counts.selectExpr(
+        *names,
         "_range",
         "_n",
-        F.sum("_n").over(whole).alias("_total"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        f"sum(_n) OVER (PARTITION BY {group} ORDER BY _range"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS _total",
+        f"coalesce(sum(_n) OVER (PARTITION BY {group} ORDER BY _range"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L) AS _before",
     )
-    ranks = {}
-    for name, p in probabilities.items():
-        exact = F.lit(float(p)) * (F.col("_total") - 1)
-        ranks[name] = (exact, F.floor(exact), F.ceil(exact))
-
-    def covers(rank: Column, start: Column, size: Column) -> Column:
-        return (rank >= start) & (rank < start + size)
-
-    wanted = F.lit(False)
-    for _, low, high in ranks.values():
-        wanted = wanted | covers(low, F.col("_before"), F.col("_n")) | covers(high, F.col("_before"), F.col("_n"))
-    marks = counts.where(wanted).drop("_n")
+    ranks = [f"{float(p)!r}D * (_total - 1)" for p in probabilities.values()]
+    ends = ", ".join(f"floor({r}), ceil({r})" for r in ranks)
+    marks = counts.where(f"exists(array({ends}), r -> r >= _before AND r < _before + _n)").drop("_n")
     if few_groups:
         marks = F.broadcast(marks)
 
     picked = rows.alias("r").join(marks.alias("m"), _same([*keys, "_range"], "r", "m"))
-    picked = picked.groupBy(
-        *[F.col(f"r.{k}").alias(k) for k in keys], F.col("r._range").alias("_range"), "_total", "_before", "_v"
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    inside = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    picked = picked.withColumn("_start", start)
-
-    pieces = [F.max("_total").alias("_total")]
-    for i, (_, low, high) in enumerate(ranks.values()):
-        for side, rank in (("l", low), ("h", high)):
-            hit = covers(rank, F.col("_start"), F.col("_n"))
-            pieces.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{side}{i}"))
-    found = picked.groupBy(*keys).agg(*pieces)
-    results = []
-    for i, (name, (exact, low, _)) in enumerate(ranks.items()):
-        share = exact - low
-        results.append((F.col(f"_l{i}") + share * (F.col(f"_h{i}") - F.col(f"_l{i}"))).alias(name))
-    return found.where(F.col("_total").isNotNull()).select(*keys, *results)
+    picked = picked.selectExpr(*[f"r.{n} AS {n}" for n in names], "r._range AS _range", "_total", "_before", "_v")
+    picked = picked.groupBy(*keys, "_range", "_total", "_before", "_v").agg(F.expr("count(1) AS _n"))
+    inside = ", ".join([*names, "_range"])
+    start = (
+        f"_before + coalesce(sum(_n) OVER (PARTITION BY {inside} ORDER BY _v"
+        " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
+    )
+    picked = picked.selectExpr(*names, "_total", "_v", f"{start} AS _first", f"{start} + _n AS _next")
+
+    pieces = ["max(_total) AS _total"]
+    for i, r in enumerate(ranks):
+        for side in ("floor", "ceil"):
+            pieces.append(f"max(CASE WHEN {side}({r}) >= _first AND {side}({r}) < _next THEN _v END) AS _{side}{i}")
+    found = picked.groupBy(*keys).agg(*[F.expr(x) for x in pieces]).where("_total IS NOT NULL")
+    results = [
+        f"_floor{i} + ({r} - floor({r})) * (_ceil{i} - _floor{i}) AS `{name}`"
+        for i, (name, r) in enumerate(zip(probabilities, ranks))
+    ]
+    return found.selectExpr(*names, *results)
 
 
 def exact_mode(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
