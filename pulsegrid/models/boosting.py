@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pulsegrid.functions.weights import expm1_clipped, log1p_clipped
 from pulsegrid.models.losses import Loss, make_loss
 from pulsegrid.operators.quantiles import value_range
-from pulsegrid.session import freeze
+from pulsegrid.session import freeze, scratch_path
 
 # Value ranges per power of two in leaf quantiles: a leaf value is the mean of a range about one percent wide.
 LEAF_RANGES_PER_OCTAVE = 64
@@ -104,6 +104,7 @@ class BoostedTrees(Estimator):
         width = len(df.select("features").first()["features"])
 
         stages, leaves, losses = [], [], []
+        folder = scratch_path(df.sparkSession, "boosting")
         for i in range(self.rounds):
             fitted = self._fit_tree(state, i, width)
             grown = state
@@ -116,7 +117,7 @@ class BoostedTrees(Estimator):
                 "features", "_y", "_w", "_row", "_held", (F.col("_f") + _leaf_step(f"_leaf{i}", values, self.step)).alias("_f")
             )
             if (i + 1) % self.checkpoint_every == 0:
-                state = freeze(state)
+                state = freeze(state, f"{folder}/{(i + 1) // self.checkpoint_every % 2}")
             if held_loss is not None:  # loss of the score before this round
                 losses.append(held_loss)
                 if _no_progress(losses, self.patience):

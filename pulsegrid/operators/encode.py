@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from pulsegrid.operators.skew import number_rows
+from pulsegrid.operators.skew import HotKeys, join_by_key, number_rows
 
 # Dummy columns beyond this number make wide tables and huge generated code; the sparse form has no such limit.
 MAX_DUMMY_COLUMNS = 2_000
@@ -62,7 +62,9 @@ def one_hot(df: DataFrame, column: str = "user_id", limit: int = MAX_DUMMY_COLUM
     return df.withColumns(dummies) if dummies else df
 
 
-def one_hot_vector(df: DataFrame, column: str = "user_id", output: str = "user_id_vec") -> DataFrame:
+def one_hot_vector(
+    df: DataFrame, column: str = "user_id", output: str = "user_id_vec", hot: HotKeys | None = None
+) -> DataFrame:
     """The same encoding as a sparse vector: any number of categories, one column.
 
     Categories are numbered in sorted order by the distributed row numbering, from the last to the first, so
@@ -75,4 +77,4 @@ def one_hot_vector(df: DataFrame, column: str = "user_id", output: str = "user_i
         raise ValueError(f"{column!r} needs two categories for a one-hot encoding")
     numbered = numbered.select(column, (F.lit(count - 1) - F.col("_rank")).cast("double").alias("_index"))
     model = OneHotEncoder(inputCol="_index", outputCol=output, dropLast=True).fit(numbered)
-    return model.transform(df.join(numbered, column, "left")).drop("_index")
+    return model.transform(join_by_key(df, numbered, column, "left", hot)).drop("_index")

@@ -93,14 +93,16 @@ def build_features(
 
     df = known_target(df.withColumns(calendar_fields(settings.calendar, layout.ts)))
     df = add_series_columns(df, _input_columns(settings), layout, hot)
-    return _encode(df, settings, layout)
+    return _encode(df, settings, layout, hot)
 
 
-def _encode(df: DataFrame, settings: FeatureSettings, layout: Layout) -> DataFrame:
+def _encode(
+    df: DataFrame, settings: FeatureSettings, layout: Layout, hot: HotKeys | None = None
+) -> DataFrame:
     if settings.user_id_encoding == "onehot":
         return one_hot(df, layout.key)
     if settings.user_id_encoding == "vector":
-        return one_hot_vector(df, layout.key, f"{layout.key}_vec")
+        return one_hot_vector(df, layout.key, f"{layout.key}_vec", hot)
     if settings.user_id_encoding != "drop":
         raise ValueError(f"unknown encoding {settings.user_id_encoding!r}")
     return df

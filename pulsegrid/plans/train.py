@@ -139,8 +139,8 @@ def train_and_compare(
 ) -> RunResult:
     """Fit (or load) every model, score all splits in one grouped pass, rank.
 
-    With a run folder, forecasts are appended to it model by model, so a failed run resumes where it stopped
-    and the scoring pass reads plain files instead of running all models again.
+    Forecasts are written model by model, to the run folder or to scratch space, so the scoring passes read
+    narrow files instead of running all models again, and a failed run resumes where it stopped.
     """
     spark = features.sparkSession
     frame, _ = prepare(features, settings, layout)
@@ -156,6 +156,8 @@ def train_and_compare(
             path = f"{run_dir}/scored/model={name}"
             write_table(part.drop("model"), path)
             part = spark.read.parquet(path).withColumn("model", F.lit(name)).select(part.columns)
+        else:
+            part = freeze(part)
         parts.append(part)
     scored = metrics.stack_scored(parts)
     table, board = _board(scored, settings)

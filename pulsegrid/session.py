@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,12 +43,20 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def freeze(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there.
+def scratch_path(spark: SparkSession, purpose: str) -> str:
+    """A new folder name below the shared checkpoint folder."""
+    return f"{use_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder as a table and read it from there.
 
     Values that depend on the physical layout (partition ids, row positions) or on random draws must not be
     computed a second time after an executor is lost, and iterative jobs must not drag their whole history
-    along. A reliable checkpoint gives both.
+    along. A written table gives both; being columnar it is also cheaper to read again than stored rows, since
+    later passes take only the columns they need. ``path`` is overwritten when given: a loop that alternates
+    between two of them keeps two copies at most.
     """
-    use_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = path or scratch_path(df.sparkSession, "frozen")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
