@@ -180,10 +180,13 @@ def _no_progress(losses: list[float], patience: int) -> bool:
 
 
 def _leaf_step(leaf: str, values: dict[int, float], step: float) -> Column:
-    """Score change of a row from the value of its leaf; the values travel as a constant array."""
+    """Score change of a row from the value of its leaf.
+
+    The values travel as one text constant that Spark folds into an array, so a long ensemble stays a short plan.
+    """
     size = max(values, default=0) + 1
-    constants = F.array(*[F.lit(step * values.get(i, 0.0)) for i in range(size)])
-    return F.coalesce(F.get(constants, F.col(leaf).cast("int")), F.lit(0.0))
+    text = ",".join(repr(step * values.get(i, 0.0)) for i in range(size))
+    return F.expr(f"coalesce(get(CAST(split('{text}', ',') AS array<double>), CAST({leaf} AS int)), 0D)")
 
 
 class BoostedTreesModel(Model):

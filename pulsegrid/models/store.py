@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.regression import GBTRegressionModel, LinearRegressionModel, RandomForestRegressionModel
-from pyspark.sql import SparkSession
+from pyspark.sql import SparkSession, functions as F
 
 _NATIVE = {
     c.__name__: c
@@ -50,6 +50,16 @@ def describe_model(spark: SparkSession, path: str) -> dict | None:
     return json.loads(row["about"]) if row else None
 
 
+def saved_models(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the completely saved models directly below ``folder``."""
+    try:
+        files = spark.read.parquet(f"{folder}/*/about").select(F.input_file_name().alias("file"))
+    except AnalysisException:
+        return []
+    name = F.regexp_extract("file", r"([^/]+)/about/[^/]+$", 1)
+    return sorted(row[0] for row in files.select(name).distinct().collect())
+
+
 def load_model(spark: SparkSession, path: str) -> Model:
     meta = describe_model(spark, path)
     if meta is None:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.layout import DEFAULT_LAYOUT, Layout
 from pulsegrid.models.registry import UNFITTED, make_model
-from pulsegrid.models.store import describe_model, load_model, save_model
+from pulsegrid.models.store import describe_model, load_model, save_model, saved_models
 from pulsegrid.operators import baselines, leaderboard, metrics
 from pulsegrid.operators.encode import fill_missing, numeric_features
 from pulsegrid.operators.filters import min_samples
@@ -201,9 +201,7 @@ def rescore_run(
         settings = RunSettings(**{**asdict(settings), "tolerances": tuple(tolerances)})
     frame, _ = prepare(features, settings, layout)
     parts = [_narrow(baselines.naive_forecast(frame, "ref_prev"), "naive_last", layout)]
-    for name in settings.models:
-        if name.lower() in UNFITTED:
-            continue
+    for name in saved_models(spark, f"{run_dir}/models"):
         try:
             predicted = load_model(spark, f"{run_dir}/models/{name}").transform(frame)
             parts.append(freeze(_narrow(predicted, name, layout)))

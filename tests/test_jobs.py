@@ -79,11 +79,6 @@ def test_rescore_passes_over_a_broken_model(spark, run, features_path, tmp_path)
         load_settings(spark, str(tmp_path / "nothing"))
     assert load_settings(spark, str(tmp_path / "nothing"), broken) == (broken, None)
     spark.createDataFrame([('{"kind": "LinearRegressionModel"}',)], "about string").write.parquet(f"{folder}/models/huber/about")
-    import json
-    from dataclasses import asdict
-
-    about = json.dumps({**asdict(broken), "features_path": features_path})
-    spark.createDataFrame([(about,)], "settings string").write.mode("overwrite").parquet(f"{folder}/settings")
     with pytest.warns(UserWarning, match="huber"):
         found = rescore_run(spark, folder)
     assert {r["model"] for r in found.board.collect()} == {"naive_last", "linreg"}
