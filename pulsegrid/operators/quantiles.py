@@ -41,7 +41,8 @@ def exact_quantiles(
     """One row per group that has a value, one column per entry of ``probabilities``, linear interpolation.
 
     ``few_groups`` states that the number of groups is bounded by design (hours, calendar cells, models); then
-    the wanted ranges, at most two per probability and group, are broadcast and the rows never shuffle.
+    the wanted ranges, at most two per probability and group, are broadcast and the rows never shuffle. Otherwise
+    what is exchanged are distinct values with their counts.
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
@@ -50,7 +51,12 @@ def exact_quantiles(
 
     names = [f"`{k}`" for k in keys]
     group = ", ".join(names or ["0"])
-    counts = rows.groupBy(*keys, "_range").agg(F.expr("count(1) AS _n"))
+    if few_groups:
+        counts = rows.groupBy(*keys, "_range").agg(F.expr("count(1) AS _n"))
+    else:
+        # equal values collapse before any exchange, so a value that fills a long series is no hot key of the join
+        rows = rows.groupBy(*keys, "_range", "_v").agg(F.expr("count(1) AS _n"))
+        counts = rows.groupBy(*keys, "_range").agg(F.expr("sum(_n) AS _n"))
     counts = counts.selectExpr(
         *names,
         "_range",
@@ -67,19 +73,21 @@ def exact_quantiles(
         marks = F.broadcast(marks)
 
     picked = rows.alias("r").join(marks.alias("m"), _same([*keys, "_range"], "r", "m"))
-    picked = picked.selectExpr(*[f"r.{n} AS {n}" for n in names], "r._range AS _range", "_total", "_before", "_v")
-    picked = picked.groupBy(*keys, "_range", "_total", "_before", "_v").agg(F.expr("count(1) AS _n"))
+    kept = ["_total", "_before", "_v", *(() if few_groups else ["_n"])]
+    picked = picked.selectExpr(*[f"r.{n} AS {n}" for n in names], "r._range AS _range", *kept)
+    if few_groups:
+        picked = picked.groupBy(*keys, "_range", "_total", "_before", "_v").agg(F.expr("count(1) AS _n"))
     inside = ", ".join([*names, "_range"])
     start = (
         f"_before + coalesce(sum(_n) OVER (PARTITION BY {inside} ORDER BY _v"
         " ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0L)"
     )
-    picked = picked.selectExpr(*names, "_total", "_v", f"{start} AS _first", f"{start} + _n AS _next")
+    picked = picked.selectExpr(*names, "_total", "_v", "_n", f"{start} AS _first")
 
     pieces = ["max(_total) AS _total"]
     for i, r in enumerate(ranks):
         for side in ("floor", "ceil"):
-            pieces.append(f"max(CASE WHEN {side}({r}) >= _first AND {side}({r}) < _next THEN _v END) AS _{side}{i}")
+            pieces.append(f"max(CASE WHEN {side}({r}) >= _first AND {side}({r}) < _first + _n THEN _v END) AS _{side}{i}")
     found = picked.groupBy(*keys).agg(*[F.expr(x) for x in pieces]).where("_total IS NOT NULL")
     results = [
         f"_floor{i} + ({r} - floor({r})) * (_ceil{i} - _floor{i}) AS `{name}`"

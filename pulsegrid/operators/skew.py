@@ -183,11 +183,13 @@ def number_in_series(
 def join_by_key(
     df: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot: HotKeys | None = None
 ) -> DataFrame:
-    """Join rows to one lookup row per key (or a few) without gathering a long series.
+    """Join rows to one lookup row per key without gathering a long series.
 
     Rows of listed hot keys meet a broadcast of only those keys' lookup rows, whose number is bounded by the
-    list; all other rows use an ordinary join, where Spark picks the strategy and splits what is still skewed.
+    list; all other rows use an ordinary join, where Spark picks the strategy by measured size and splits what
+    is still uneven. Series are measured here unless the caller has done so.
     """
+    hot = find_hot_keys(df, key) if hot is None else hot
     if not hot or hot.everything:
         return df.join(lookup, key, how)
     ordinary, long = hot.divide(df)

@@ -11,6 +11,7 @@ from pulsegrid.functions.calendar import (
     parse_timestamp,
     slot_in_day,
 )
+from pulsegrid.operators.skew import HotKeys, join_by_key
 
 _MATRIX = T.ArrayType(T.ArrayType(T.DoubleType()))
 CELL_SCHEMA = T.StructType(
@@ -109,8 +110,8 @@ def signal_from_events(events: DataFrame, hr: Column | None = None) -> DataFrame
     )
 
 
-def add_day_index(signal: DataFrame, key: str = "user_id") -> DataFrame:
+def add_day_index(signal: DataFrame, key: str = "user_id", hot: HotKeys | None = None) -> DataFrame:
     """Days since the first day of the series, from one row per series."""
     first = signal.groupBy(key).agg(F.min("date").alias("_first_day"))
-    joined = signal.join(first, key, "left")
+    joined = join_by_key(signal, first, key, "left", hot)
     return joined.withColumn("col_idx", F.datediff("date", "_first_day").cast("int")).drop("_first_day")
