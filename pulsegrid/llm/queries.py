@@ -1,4 +1,4 @@
 """Imports every operator of this package, which registers its query."""
 
-from pulsegrid.llm import quality  # noqa: F401
+from pulsegrid.llm import licenses, quality, sharding  # noqa: F401
 from pulsegrid.llm.common import LLM_QUERIES  # noqa: F401
