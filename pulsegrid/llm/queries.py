@@ -1,4 +1,4 @@
 """Imports every operator of this package, which registers its query."""
 
-from pulsegrid.llm import licenses, mixing, quality, sharding, warc  # noqa: F401
+from pulsegrid.llm import licenses, mixing, quality, sharding, simhash, warc  # noqa: F401
 from pulsegrid.llm.common import LLM_QUERIES  # noqa: F401
