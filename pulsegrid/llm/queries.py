@@ -1,4 +1,4 @@
 """Imports every operator of this package, which registers its query."""
 
-from pulsegrid.llm import licenses, mixing, packing, quality, sharding, simhash, toxicity, warc  # noqa: F401
+from pulsegrid.llm import licenses, mixing, packing, quality, sharding, simhash, topk, toxicity, warc  # noqa: F401
 from pulsegrid.llm.common import LLM_QUERIES  # noqa: F401
