@@ -17,7 +17,7 @@ all that a task holds. The number of tile pairs grows with queries times candida
 Defined results: vectors that are null or hold null or non-finite components take no part, on either side. Rows that
 repeat both id and vector count once; a row with the query's id is never its candidate. Shorter vectors count as if
 filled up with zeros; an empty vector scores 0 with all. Fewer candidates than k give fewer ranks; equal scores rank
-by id, smallest first. Whole numbers beyond 64 bits saturate and sums of products wrap. Rows without an id take no
+by id, smallest first. Different vectors under one id are queries of their own. Whole numbers beyond 64 bits saturate and sums of products wrap. Rows without an id take no
 part. An empty table gives an empty table. Only the named columns are read, so other columns cannot clash.
 """
 
@@ -168,7 +168,7 @@ def top_products(
     spark = rows.sparkSession
     vectors = whole_vectors(rows, key, vector, scale)
     drawn = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).collect()
-    schema = "query_id long, vec_id long, score long"
+    schema = "query long, query_id long, vec_id long, score long"
     length = len(drawn[0]["v"]) if drawn else 0
     sample = np.array([r["v"] for r in drawn], dtype=np.int64).reshape(len(drawn), length)
     sample_ids = np.array([r["id"] for r in drawn], dtype=np.int64)
@@ -212,6 +212,7 @@ def top_products(
             found = [(i, b) for i, b in enumerate(best) if len(b.ids)]
             return pd.DataFrame(
                 {
+                    "query": np.repeat([number * QUERY_TILE + i for i, _ in found], [len(b.ids) for _, b in found]),
                     "query_id": np.repeat([tile.ids[i] for i, _ in found], [len(b.ids) for _, b in found]),
                     "vec_id": np.concatenate([b.ids for _, b in found]),
                     "score": np.concatenate([b.scores for _, b in found]),
@@ -235,7 +236,7 @@ def top_products(
             yield result()
 
     found = work.mapInPandas(find, schema)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
