@@ -16,7 +16,7 @@ from pulsegrid.plans.features import FeatureSettings, build_features
 from pulsegrid.plans.train import RunSettings, prepare, rescore_run, train_and_compare
 from pulsegrid.session import freeze, use_checkpoint_dir
 
-_SMALL_FEATURES = FeatureSettings(allow_step_inputs=True, lags=(1, 2), roll_windows=(4, 16))
+_SMALL_FEATURES = FeatureSettings(user_id_encoding="drop", allow_step_inputs=True, lags=(1, 2), roll_windows=(4, 16))
 _ROUNDS = 3
 
 

@@ -420,7 +420,7 @@ def target_daily_total(spark: SparkSession, sf: str) -> DataFrame:
 
 @check("features_daily", DAILY + " WHERE steps_t IS NOT NULL")
 def features_daily(spark: SparkSession, sf: str) -> DataFrame:
-    days = build_features(signal(spark, sf), FeatureSettings(task="daily_total"))
+    days = build_features(signal(spark, sf), FeatureSettings(task="daily_total", user_id_encoding="drop"))
     days = round_columns(days, ["steps", "hr", "steps_t"])
     return days.select("user_id", day_text("day").alias("day"), "steps", "hr", "steps_t")
 
@@ -456,7 +456,7 @@ _STRICT = ["hr_delta1", *_roll_names("hr", ("max", "mean", "std"))]
     ),
 )
 def features_strict(spark: SparkSession, sf: str) -> DataFrame:
-    rows = build_features(signal(spark, sf), FeatureSettings())
+    rows = build_features(signal(spark, sf), FeatureSettings(user_id_encoding="drop"))
     names = ["delta_minutes_from_prev", *_STRICT]
     return round_columns(rows.select(*_FEATURE_ID_NAMES, *_HR_LAGS, "ref_prev", *names), names)
 
@@ -473,7 +473,7 @@ _ALL_LAGS = [f"{c}_lag{n}" for c in ("steps", "hr") for n in LAGS]
     ),
 )
 def features_with_steps(spark: SparkSession, sf: str) -> DataFrame:
-    rows = build_features(signal(spark, sf), FeatureSettings(allow_step_inputs=True))
+    rows = build_features(signal(spark, sf), FeatureSettings(allow_step_inputs=True, user_id_encoding="drop"))
     names = ["delta_minutes_from_prev", *_ROLLED]
     return round_columns(rows.select(*_FEATURE_ID_NAMES, *_ALL_LAGS, "ref_prev", *names), names)
 
@@ -492,6 +492,7 @@ SELECT user_id, ts_micros, {sql_rounded(['steps_t', 'steps_lag1', 'steps_lag2',
 def features_cadence(spark: SparkSession, sf: str) -> DataFrame:
     """The cadence filter comes before target, lags and windows; gaps are those before the filter."""
     settings = FeatureSettings(
+        user_id_encoding="drop",
         allow_step_inputs=True, use_hr=False, lags=(1, 2), roll_windows=(4,), strict_step_minutes=720, gap=False
     )
     rows = build_features(_half_days(spark, sf), settings, Layout(tie=()))

@@ -44,8 +44,12 @@ def calendar_fields(which: Sequence[str], ts: str = "ts") -> dict[str, Column]:
 
 
 def minutes_between(earlier: Column, later: Column) -> Column:
-    as_micros = lambda c: F.unix_micros(c.cast("timestamp"))
-    return (as_micros(later) - as_micros(earlier)) / F.lit(float(MICROS_PER_MINUTE))
+    """Difference of zone-free times: no session zone and no clock change enters it."""
+    gap = later - earlier
+    part = lambda name: F.extract(F.lit(name), gap)
+    minutes = (part("DAY").cast("bigint") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    micros = minutes * MICROS_PER_MINUTE + (part("SECOND") * 1_000_000).cast("bigint")
+    return micros / F.lit(float(MICROS_PER_MINUTE))
 
 
 def parse_timestamp(column: Column | str) -> Column:

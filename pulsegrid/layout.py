@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 
@@ -16,6 +17,7 @@ class Layout:
     key: str = "user_id"
     ts: str = "ts"
     tie: tuple[str, ...] = ("event_id",)
+    tie_is_input: bool = False  # positions say something about a row, identifiers do not
 
     @property
     def order(self) -> list[str]:
@@ -28,5 +30,13 @@ class Layout:
 
 DEFAULT_LAYOUT = Layout()
 # Tables exploded from matrices have no event id; the cell position is unique instead.
-MATRIX_LAYOUT = Layout(tie=("col_idx", "row_idx"))
+MATRIX_LAYOUT = Layout(tie=("col_idx", "row_idx"), tie_is_input=True)
 DAILY_LAYOUT = Layout(ts="day", tie=())
+
+
+def layout_of(columns: Sequence[str]) -> Layout:
+    """The layout a table's columns follow: events, matrix cells or days."""
+    for layout in (DEFAULT_LAYOUT, MATRIX_LAYOUT, DAILY_LAYOUT):
+        if {*layout.order} <= {*columns}:
+            return layout
+    raise ValueError(f"no known layout has an order among {sorted(columns)}; pass one")

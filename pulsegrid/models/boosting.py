@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.feature import VectorSlicer
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -22,8 +23,6 @@ from pulsegrid.models.losses import Loss, make_loss
 from pulsegrid.operators.quantiles import value_range
 from pulsegrid.session import freeze, scratch_path
 
-# Value ranges per power of two in leaf quantiles: a leaf value is the mean of a range about one percent wide.
-LEAF_RANGES_PER_OCTAVE = 64
 _SHARES = 1_000_000
 
 
@@ -33,22 +32,31 @@ def _drawn(row: str, salt: int, share: float) -> Column:
 
 
 def grouped_quantile(df: DataFrame, keys: list[str], value: str, weight: str, tau: float) -> DataFrame:
-    """Weighted quantile per group from range totals: the result has ``keys`` and ``value``.
+    """Weighted quantile per group: the first value at which ``tau`` of the group's weight is reached.
 
-    Rows are combined per (group, range) on the map side, so groups may be as large as the table.
+    Weights are added up per (group, value range) on the map side; the range that holds the quantile, one per group,
+    is joined back and only its values are ordered. Groups, here leaves, are few and may be as large as the table.
     """
-    totals = (
-        df.groupBy(*keys, value_range(value, LEAF_RANGES_PER_OCTAVE).alias("_range"))
-        .agg(F.sum(weight).alias("_w"), F.sum(F.col(weight) * F.col(value)).alias("_wv"))
-        .where(F.col("_w") > 0)
+    rows = df.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w")).where(F.col("_w") > 0)
+    rows = rows.withColumn("_range", value_range("_v"))
+    group = keys or [F.lit(0)]
+    in_order = Window.partitionBy(*group).orderBy("_range")
+    whole = F.sum("_rw").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = F.coalesce(F.sum("_rw").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranges = rows.groupBy(*keys, "_range").agg(F.sum("_w").alias("_rw"))
+    ranges = ranges.select(*keys, "_range", "_rw", before.alias("_before"), (whole * tau * (1 - 1e-12)).alias("_wanted"))
+    held = ranges.where((F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_rw") >= F.col("_wanted")))
+    held = held.groupBy(*keys).agg(F.min_by(F.struct("_range", "_before", "_wanted"), "_range").alias("_h"))
+    held = held.select(*keys, "_h.*")
+    picked = rows.join(F.broadcast(held), [*keys, "_range"])
+    values = picked.groupBy(*keys, "_v").agg(
+        F.sum("_w").alias("_vw"), F.first("_before").alias("_before"), F.first("_wanted").alias("_wanted")
     )
-    ordered = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_range")
-    upto = F.sum("_w").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    whole = F.sum("_w").over(ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    reached = totals.select(*keys, "_range", "_w", "_wv", upto.alias("_upto"), whole.alias("_whole"))
-    reached = reached.where(F.col("_upto") >= F.col("_whole") * tau * (1 - 1e-12))
-    first = F.min_by(F.col("_wv") / F.col("_w"), "_range").alias("value")
-    return reached.groupBy(*keys).agg(first)
+    upto = F.sum("_vw").over(Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    values = values.withColumn("_reached", F.col("_before") + upto)
+    # Sums in another order may end a hair short of the mark; then it is the greatest value of the range.
+    hit = F.min(F.when(F.col("_reached") >= F.col("_wanted"), F.col("_v")))
+    return values.groupBy(*keys).agg(F.coalesce(hit, F.max("_v")).alias("value"))
 
 
 class BoostedTrees(Estimator):
@@ -75,6 +83,8 @@ class BoostedTrees(Estimator):
     ):
         super().__init__()
         self.loss = make_loss(loss, tau)
+        if l2 and self.loss.tau is not None:
+            raise ValueError("leaves of this loss are quantiles and take no penalty")
         self.rounds, self.step, self.depth, self.bins = rounds, step, depth, bins
         self.min_leaf, self.l2 = min_leaf, l2
         self.row_share, self.column_share = row_share, column_share
@@ -95,8 +105,13 @@ class BoostedTrees(Estimator):
         label = F.col("label").cast("double")
         y = log1p_clipped(label) if self.log_target else label
         weight = self.weigh(label) if self.weigh else F.lit(1.0)
-        base = df.where(label.isNotNull()).select("features", y.alias("_y"), weight.cast("double").alias("_w"))
-        state = freeze(base.withColumn("_row", F.monotonically_increasing_id()))
+        # Draws depend on what a row holds, not on where it lies: another cluster draws the same rows.
+        content = [c for c, kind in df.dtypes if kind != "vector"]
+        row = F.xxhash64(*content, vector_to_array("features"))
+        base = df.where(label.isNotNull()).select(
+            "features", y.alias("_y"), weight.cast("double").alias("_w"), row.alias("_row")
+        )
+        state = freeze(base)
         held = _drawn("_row", self.seed, self.valid_share) if self.valid_share > 0 else F.lit(False)
         state = state.withColumn("_held", held)
         start = self._start(state.where(~F.col("_held")))

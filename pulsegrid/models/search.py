@@ -14,7 +14,6 @@ from pulsegrid.layout import DEFAULT_LAYOUT, Layout
 from pulsegrid.models.boosting import BoostedTrees, BoostedTreesModel
 from pulsegrid.models.composite import Blend, BlendModel
 from pulsegrid.operators.folds import Fold, expanding_folds, time_index
-from pulsegrid.session import freeze
 
 # The default grid, in the order in which combinations are tried. Depth None means no limit.
 DEFAULT_GRID = {
@@ -35,7 +34,7 @@ def combinations(grid: Mapping[str, Sequence]) -> list[dict]:
 def in_time_order(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> tuple[DataFrame, int]:
     """Frame with ``row_index`` and its number of rows, stored once for all folds."""
     narrow = df.select(*layout.full_order, "features", "label")
-    indexed = freeze(time_index(narrow, layout))
+    indexed = time_index(narrow, layout)  # reads the one table that numbering has written
     return indexed, indexed.count()
 
 
@@ -127,12 +126,9 @@ def blend_accuracies(
 
 
 def best_alpha(accuracies: Sequence[tuple[float, float]]) -> float:
-    """First alpha with the highest accuracy, in the order given."""
-    best, chosen = -1.0, accuracies[0][0]
-    for alpha, accuracy in accuracies:
-        if accuracy is not None and accuracy > best:
-            best, chosen = accuracy, alpha
-    return chosen
+    """The alpha of greatest accuracy; among equals the earliest. A missing accuracy counts as none."""
+    known = [a if a is not None else -1.0 for _, a in accuracies]
+    return accuracies[known.index(max(known))][0]
 
 
 class ToleranceBlend(Estimator):

@@ -25,7 +25,7 @@ def with_calendar(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
 
 
 def statistic(
-    df: DataFrame, keys: list[str], value: str, how: str | Callable[[Column], Column], name: str, few_groups: bool = True
+    df: DataFrame, keys: list[str], value: str, how: str | Callable[[Column], Column], name: str, few_groups: bool = False
 ) -> DataFrame:
     """Mean, median or mode per group; no group is gathered in one buffer.
 
@@ -61,7 +61,7 @@ def calendar_statistics(
     rest = F.struct(F.lit(_UNPLACED_SCOPE).alias("scope"), *nowhere)
     scopes = F.when(placed, F.array(cell, whole)).otherwise(F.array(rest))
     copies = rows.select(F.explode(scopes).alias("_s"), target).select("_s.*", target)
-    return statistic(copies, ["scope", *CELL], target, how, "value")
+    return statistic(copies, ["scope", *CELL], target, how, "value", few_groups=True)
 
 
 def calendar_table(train: DataFrame, how: str, target: str = "steps_t", layout: Layout = DEFAULT_LAYOUT) -> DataFrame:

@@ -9,9 +9,6 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from pulsegrid.operators.skew import HotKeys, join_by_key, number_rows
 
-# Dummy columns beyond this number make wide tables and huge generated code; the sparse form has no such limit.
-MAX_DUMMY_COLUMNS = 2_000
-
 
 def numeric_features(
     df: DataFrame,
@@ -45,19 +42,19 @@ def std_scaler(input_col: str = "features", output_col: str = "scaled") -> Stand
     return StandardScaler(withMean=False, withStd=True, inputCol=input_col, outputCol=output_col)
 
 
-def category_list(df: DataFrame, column: str, limit: int = MAX_DUMMY_COLUMNS) -> list:
-    """Sorted categories; refuses a list longer than ``limit``."""
-    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"{column!r} has more than {limit} categories; use one_hot_vector()")
-    return sorted(row[0] for row in found)
+def category_list(df: DataFrame, column: str) -> list:
+    """Sorted categories, one row per column that the wide encoding is asked to make."""
+    return sorted(row[0] for row in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
+
 
+def one_hot(df: DataFrame, column: str = "user_id", categories: Sequence | None = None) -> DataFrame:
+    """One 0/1 column per category but the first in sorted order; the original column stays.
 
-def one_hot(df: DataFrame, column: str = "user_id", limit: int = MAX_DUMMY_COLUMNS) -> DataFrame:
-    """One 0/1 column per category but the first in sorted order; the original column stays."""
+    The wide form, for few categories; ``one_hot_vector`` has no bound on them. ``categories`` may be passed.
+    """
+    found = category_list(df, column) if categories is None else sorted(categories)
     dummies = {
-        f"{column}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("tinyint")
-        for v in category_list(df, column, limit)[1:]
+        f"{column}_{v}": F.coalesce(F.col(column) == F.lit(v), F.lit(False)).cast("tinyint") for v in found[1:]
     }
     return df.withColumns(dummies) if dummies else df
 
@@ -73,8 +70,8 @@ def one_hot_vector(
     categories = df.select(column).where(F.col(column).isNotNull()).distinct()
     numbered = number_rows(categories, [column], "_rank")
     count = numbered.count()
-    if count < 2:
-        raise ValueError(f"{column!r} needs two categories for a one-hot encoding")
+    if count < 2:  # nothing is left once the first category is dropped
+        return df
     numbered = numbered.select(column, (F.lit(count - 1) - F.col("_rank")).cast("double").alias("_index"))
     model = OneHotEncoder(inputCol="_index", outputCol=output, dropLast=True).fit(numbered)
     return model.transform(join_by_key(df, numbered, column, "left", hot)).drop("_index")

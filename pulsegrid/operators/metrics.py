@@ -38,12 +38,16 @@ def loss_measures(taus: Sequence[float] = (0.5, 0.8), widths: Sequence[float] =
     return out
 
 
+def _few(by: Sequence[str]) -> bool:
+    return {*by} <= {*GROUP}
+
+
 def error_percentiles(
     scored: DataFrame, percentiles: Sequence[float] = PERCENTILES, by: Sequence[str] = GROUP
 ) -> DataFrame:
-    """Percentiles of the absolute error, interpolated. The number of groups is models x splits."""
+    """Percentiles of the absolute error, interpolated. Only models x splits are known to be few groups."""
     wanted = {f"P{p}_abs_err": p / 100.0 for p in percentiles}
-    return exact_quantiles(scored, by, E.absolute_error(), wanted, few_groups=True)
+    return exact_quantiles(scored, by, E.absolute_error(), wanted, few_groups=_few(by))
 
 
 def evaluate(
@@ -60,7 +64,7 @@ def evaluate(
     table = scored.groupBy(*by).agg(*[c.alias(n) for n, c in measures.items()])
     if not percentiles:
         return table
-    return attach(table, error_percentiles(scored, percentiles, by), by, few_groups=True)
+    return attach(table, error_percentiles(scored, percentiles, by), by, few_groups=_few(by))
 
 
 def stack_scored(frames: Sequence[DataFrame]) -> DataFrame:

@@ -173,7 +173,7 @@ def number_in_series(
     numbered = number_rows(long, layout.full_order, "_row")
     starts = numbered.groupBy(layout.key).agg(F.min("_row").alias("_start"))
     placed = (
-        join_by_key(numbered, starts, layout.key, hot=hot)
+        join_by_key(numbered, starts, layout.key, hot=hot, null_safe=True)
         .withColumn(name, F.col("_row") - F.col("_start"))
         .drop("_row", "_start")
     )
@@ -181,17 +181,25 @@ def number_in_series(
 
 
 def join_by_key(
-    df: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot: HotKeys | None = None
+    df: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot: HotKeys | None = None, null_safe: bool = False
 ) -> DataFrame:
     """Join rows to one lookup row per key without gathering a long series.
 
     Rows of listed hot keys meet a broadcast of only those keys' lookup rows, whose number is bounded by the
     list; all other rows use an ordinary join, where Spark picks the strategy by measured size and splits what
-    is still uneven. Series are measured here unless the caller has done so.
+    is still uneven. Series are measured here unless the caller has done so. ``null_safe`` lets rows without a key
+    meet a lookup row without one.
     """
     hot = find_hot_keys(df, key) if hot is None else hot
+
+    def meet(rows: DataFrame, side: DataFrame) -> DataFrame:
+        if not null_safe:
+            return rows.join(side, key, how)
+        renamed = side.withColumnRenamed(key, "_lookup_key")
+        return rows.join(renamed, F.col(key).eqNullSafe(F.col("_lookup_key")), how).drop("_lookup_key")
+
     if not hot or hot.everything:
-        return df.join(lookup, key, how)
+        return meet(df, lookup)
     ordinary, long = hot.divide(df)
     few = lookup.where(hot.test())
-    return ordinary.join(lookup, key, how).unionByName(long.join(F.broadcast(few), key, how))
+    return meet(ordinary, lookup).unionByName(meet(long, F.broadcast(few)))

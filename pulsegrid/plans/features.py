@@ -7,11 +7,11 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions.calendar import CALENDAR_FIELDS, calendar_fields, day_of, slot_in_day
-from pulsegrid.layout import DAILY_LAYOUT, DEFAULT_LAYOUT, Layout
+from pulsegrid.layout import DAILY_LAYOUT, Layout, layout_of
 from pulsegrid.operators import series as S
 from pulsegrid.operators.encode import one_hot, one_hot_vector
 from pulsegrid.operators.filters import known_target, strict_cadence
-from pulsegrid.operators.skew import HotKeys, SeriesColumns, add_series_columns, find_hot_keys
+from pulsegrid.operators.skew import HotKeys, SeriesColumns, add_series_columns, find_hot_keys, no_hot_keys
 
 
 @dataclass(frozen=True)
@@ -23,7 +23,7 @@ class FeatureSettings:
     lags: tuple[int, ...] = S.DEFAULT_LAGS
     roll_windows: tuple[int, ...] = S.DEFAULT_WINDOWS
     calendar: tuple[str, ...] = CALENDAR_FIELDS
-    user_id_encoding: str = "drop"  # "onehot": one column per series, "vector": one sparse column
+    user_id_encoding: str = "vector"  # one sparse column; "onehot": one column per series, "drop": none
     slot_and_day: bool = True
     gap: bool = True
     strict_step_minutes: float | None = None
@@ -56,16 +56,21 @@ def _input_columns(settings: FeatureSettings) -> SeriesColumns:
 def build_features(
     signal: DataFrame,
     settings: FeatureSettings = FeatureSettings(),
-    layout: Layout = DEFAULT_LAYOUT,
+    layout: Layout | None = None,
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Series lengths are measured once; all stages share the exchange and sort of the first one.
+    """Series lengths are measured once; all stages share the exchange and sort of the first one. Without a layout the
+    columns of the signal tell it.
 
     Lags and windows see only rows that passed the cadence filter and have a target, so they form a second
     stage after the filter.
     """
+    layout = layout or layout_of(signal.columns)
     if settings.task == "daily_total":
-        days = known_target(S.daily_totals(signal, layout))
+        days = add_series_columns(
+            S.daily_totals(signal, layout), S.previous_column("steps"), daily_layout(layout), no_hot_keys(layout)
+        )
+        days = known_target(days)
         return _encode(days.withColumn("ts", F.col("day").cast("timestamp_ntz")), settings, daily_layout(layout))
     if settings.task != "interval":
         raise ValueError(f"unknown task {settings.task!r}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from pulsegrid.layout import DEFAULT_LAYOUT, Layout
+from pulsegrid.layout import Layout, layout_of
 from pulsegrid.operators import profile as P
 from pulsegrid.sources.sinks import write_csv, write_report
 
@@ -14,8 +14,9 @@ def profile_tables(
     slot_minutes: float = 22.5,
     active_threshold: float = 50.0,
     sample_rows: int = 100_000,
-    layout: Layout = DEFAULT_LAYOUT,
+    layout: Layout | None = None,
 ) -> dict[str, DataFrame]:
+    layout = layout or layout_of(signal.columns)
     value = "steps_t" if "steps_t" in signal.columns else "steps"
     hr = "heart_rate" if "heart_rate" in signal.columns else "hr"
     return {
@@ -29,11 +30,12 @@ def profile_tables(
 
 
 def run_profile(
-    signal: DataFrame, folder: str, flat: bool = True, layout: Layout = DEFAULT_LAYOUT, **settings
+    signal: DataFrame, folder: str, flat: bool = True, layout: Layout | None = None, **settings
 ) -> dict[str, str]:
-    """Write all tables, and the whole flat table as CSV if asked for."""
+    """Write all tables, and the whole flat table in (series, time) order as CSV if asked for."""
+    layout = layout or layout_of(signal.columns)
     paths = write_report(profile_tables(signal, layout=layout, **settings), folder, csv=True)
     if flat:
         paths["dataset_flat"] = f"{folder}/dataset_flat"
-        write_csv(signal, paths["dataset_flat"])
+        write_csv(signal.orderBy(*layout.full_order), paths["dataset_flat"])
     return paths

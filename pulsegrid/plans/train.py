@@ -16,10 +16,10 @@ from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from pulsegrid.layout import DEFAULT_LAYOUT, Layout
+from pulsegrid.layout import Layout, layout_of
 from pulsegrid.models.registry import UNFITTED, make_model
 from pulsegrid.models.store import describe_model, load_model, save_model, saved_models
-from pulsegrid.operators import baselines, leaderboard, metrics
+from pulsegrid.operators import baselines, examples, leaderboard, metrics
 from pulsegrid.operators.encode import fill_missing, numeric_features
 from pulsegrid.operators.filters import min_samples
 from pulsegrid.operators.skew import HotKeys, find_hot_keys
@@ -55,41 +55,48 @@ class RunResult:
 
 
 def prepare(
-    features: DataFrame, settings: RunSettings, layout: Layout = DEFAULT_LAYOUT, hot: HotKeys | None = None
+    features: DataFrame, settings: RunSettings, layout: Layout | None = None, hot: HotKeys | None = None
 ) -> tuple[DataFrame, list[str]]:
     """Filter, split, choose and fill inputs, assemble. Stored once: every model and fold reads it."""
+    layout = layout or layout_of(features.columns)
     hot = find_hot_keys(features, layout.key) if hot is None else hot
     rows = min_samples(features, settings.min_samples_per_user, layout, hot) if settings.min_samples_per_user else features
     rows = split(rows, settings.split_mode, layout, hot, **settings.split)
     rows = rows.where(F.col("split").isNotNull())
-    exclude = (*settings.exclude, *_NOT_FEATURES, *layout.tie)
+    exclude = (*settings.exclude, *_NOT_FEATURES, *(() if layout.tie_is_input else layout.tie))
     inputs = numeric_features(rows, exclude=exclude)
     vectors = [c for c in (f"{layout.key}_vec",) if c in rows.columns]
     filled = fill_missing(rows.withColumns({f"_x_{c}": F.col(c) for c in inputs}), [f"_x_{c}" for c in inputs], as_float=True)
     assembler = VectorAssembler(inputCols=[*[f"_x_{c}" for c in inputs], *vectors], outputCol="features")
-    lagged = next((c for c in ("ref_prev", "steps_lag1") if c in rows.columns), None)
+    lagged = _previous(rows)
     frame = assembler.transform(filled).select(
         *layout.full_order,
         "split",
         "features",
         F.col("steps_t").cast("double").alias("label"),
         F.col("steps_t"),
-        *[F.col(c) for c in baselines.CELL if c in rows.columns],
+        *[F.col(c) for c in (*baselines.CELL, "steps") if c in rows.columns],
         (F.col(lagged).cast("double") if lagged else F.lit(None).cast("double")).alias("ref_prev"),
     )
     return freeze(frame), [*inputs, *vectors]
 
 
+def _previous(features: DataFrame) -> str | None:
+    """Column with the previous value, if there is one."""
+    return next((c for c in ("ref_prev", "steps_lag1") if c in features.columns), None)
+
+
 def forecast(
     frame: DataFrame,
     name: str,
     settings: RunSettings,
     run_dir: str | None = None,
     resume: bool = False,
-    layout: Layout = DEFAULT_LAYOUT,
+    layout: Layout | None = None,
 ) -> DataFrame:
     """Frame with ``yhat`` from the named model; a saved model is loaded instead of fitted when resuming."""
     spark = frame.sparkSession
+    layout = layout or layout_of(frame.columns)
     key = name.lower()
     if key == "naive_last":
         return baselines.naive_forecast(frame, "ref_prev")
@@ -106,7 +113,8 @@ def forecast(
 
 
 def _narrow(predicted: DataFrame, name: str, layout: Layout) -> DataFrame:
-    return metrics.scored_columns(predicted, name, y="label", keep=layout.full_order)
+    kept = [*layout.full_order, *(c for c in ("steps",) if c in predicted.columns)]
+    return metrics.scored_columns(predicted, name, y="label", keep=kept)
 
 
 def _board(scored: DataFrame, settings: RunSettings) -> tuple[DataFrame, DataFrame]:
@@ -134,7 +142,7 @@ def train_and_compare(
     run_dir: str | None = None,
     results: str | None = None,
     resume: bool = False,
-    layout: Layout = DEFAULT_LAYOUT,
+    layout: Layout | None = None,
     features_path: str | None = None,
 ) -> RunResult:
     """Fit (or load) every model, score all splits in one grouped pass, rank.
@@ -143,6 +151,9 @@ def train_and_compare(
     narrow files instead of running all models again, and a failed run resumes where it stopped.
     """
     spark = features.sparkSession
+    layout = layout or layout_of(features.columns)
+    if "naive_last" in {m.lower() for m in settings.models} and _previous(features) is None:
+        raise ValueError("the naive forecast needs the previous value; the feature job makes 'ref_prev'")
     frame, _ = prepare(features, settings, layout)
     if run_dir:
         if resume and features_path is None:
@@ -163,11 +174,33 @@ def train_and_compare(
     table, board = _board(scored, settings)
     if run_dir:
         write_csv(board.coalesce(1), f"{run_dir}/model_compare")
+        for name, example in examples_of(scored, list(settings.models), layout).items():
+            write_csv(example.coalesce(1), f"{run_dir}/examples/{name}")
     if results:
-        append_results(board.select("run_id", "model", "task", "split_mode", "horizon", *RESULT_COLUMNS, "note"), results)
+        rows = board.select("run_id", "model", "task", "split_mode", "horizon", *RESULT_COLUMNS, "note")
+        append_results(_not_recorded(rows, results) if resume else rows, results)
     return RunResult(board, table, scored, split_counts(frame, layout))
 
 
+def examples_of(scored: DataFrame, models: list[str], layout: Layout, split_name: str = "test") -> dict[str, DataFrame]:
+    """Per model the first scored rows of a split and the gap example of its first eligible series."""
+    found = {}
+    for name in models:
+        rows = scored.where((F.col("model") == name) & (F.col("split") == split_name))
+        found[f"{name}_first_scored"] = examples.first_scored(rows, layout=layout)
+        found[f"{name}_gap"] = examples.gap_example(rows, user_rank=0, layout=layout).orderBy(*layout.full_order)
+    return found
+
+
+def _not_recorded(rows: DataFrame, results: str) -> DataFrame:
+    """Result rows of models that the table of all runs does not have for this run."""
+    try:
+        known = rows.sparkSession.read.parquet(results).select("run_id", "model").distinct()
+    except AnalysisException:
+        return rows
+    return freeze(rows.join(known, ["run_id", "model"], "left_anti").select(rows.columns))
+
+
 def load_settings(spark: SparkSession, run_dir: str, fallback: RunSettings | None = None) -> tuple[RunSettings, str | None]:
     try:
         about = json.loads(spark.read.parquet(f"{run_dir}/settings").first()["settings"])
@@ -186,11 +219,11 @@ def rescore_run(
     features: DataFrame | None = None,
     tolerances: tuple[float, ...] | None = None,
     fallback: RunSettings | None = None,
-    layout: Layout = DEFAULT_LAYOUT,
+    layout: Layout | None = None,
 ) -> RunResult:
     """Split again as the run did, score every saved model and the naive forecast, rank anew.
 
-    A model that cannot be loaded or applied is left out with a warning.
+    A model that cannot be loaded is left out with a warning; an error while it is applied ends the job.
     """
     settings, path = load_settings(spark, run_dir, fallback)
     if features is None:
@@ -199,14 +232,18 @@ def rescore_run(
         features = spark.read.parquet(path)
     if tolerances:
         settings = RunSettings(**{**asdict(settings), "tolerances": tuple(tolerances)})
+    layout = layout or layout_of(features.columns)
     frame, _ = prepare(features, settings, layout)
-    parts = [_narrow(baselines.naive_forecast(frame, "ref_prev"), "naive_last", layout)]
+    parts = []
+    if _previous(features):
+        parts.append(_narrow(baselines.naive_forecast(frame, "ref_prev"), "naive_last", layout))
     for name in saved_models(spark, f"{run_dir}/models"):
         try:
-            predicted = load_model(spark, f"{run_dir}/models/{name}").transform(frame)
-            parts.append(freeze(_narrow(predicted, name, layout)))
-        except Exception as error:  # noqa: BLE001 - one broken model must not lose the others
-            warnings.warn(f"model {name!r} of {run_dir} was not scored: {error}", stacklevel=2)
+            model = load_model(spark, f"{run_dir}/models/{name}")
+        except (AnalysisException, FileNotFoundError, KeyError, ValueError) as error:
+            warnings.warn(f"model {name!r} of {run_dir} cannot be loaded: {error}", stacklevel=2)
+            continue
+        parts.append(freeze(_narrow(model.transform(frame), name, layout)))
     scored = metrics.stack_scored(parts)
     table, board = _board(scored, settings)
     write_csv(board.coalesce(1), f"{run_dir}/model_compare")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +28,7 @@ def local_session(app: str, cores: str = "8", partitions: int = 8, memory: str =
 
 
 def use_checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder of the session; a local temporary one only for a local master without any."""
+    """Shared checkpoint folder of the session; without one, a folder in the warehouse of a local session."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
@@ -38,7 +37,7 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     if not configured:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        configured = tempfile.mkdtemp(prefix="pulsegrid-checkpoint-")
+        configured = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     context.setCheckpointDir(configured)
     return configured
 

@@ -40,9 +40,9 @@ def test_missing_values_take_a_place_in_the_window(spark):
 
 
 def test_single_row_and_all_missing(spark):
-    one = build_features(series_of(spark, [(1.0, None)]), FeatureSettings(horizon=0), hot=PLAIN).collect()
+    one = build_features(series_of(spark, [(1.0, None)]), FeatureSettings(user_id_encoding="drop", horizon=0), hot=PLAIN).collect()
     assert len(one) == 1 and one[0]["hr_max_4"] is None and one[0]["steps_t"] == 1.0
-    none = build_features(series_of(spark, [(1.0, None), (2.0, None)]), FeatureSettings(horizon=3), hot=PLAIN)
+    none = build_features(series_of(spark, [(1.0, None), (2.0, None)]), FeatureSettings(user_id_encoding="drop", horizon=3), hot=PLAIN)
     assert none.count() == 0
 
 
@@ -53,21 +53,21 @@ def test_columns_that_are_absent_are_passed_over(spark):
 
 def test_delta_needs_the_first_lag(spark):
     df = series_of(spark, [(1.0, 1.0), (2.0, 3.0)])
-    with_lag = build_features(df, FeatureSettings(horizon=0, lags=(1,)), hot=PLAIN).orderBy("event_id").collect()
+    with_lag = build_features(df, FeatureSettings(user_id_encoding="drop", horizon=0, lags=(1,)), hot=PLAIN).orderBy("event_id").collect()
     assert with_lag[1]["hr_delta1"] == 2.0
-    assert "hr_delta1" not in build_features(df, FeatureSettings(horizon=0, lags=(2,)), hot=PLAIN).columns
+    assert "hr_delta1" not in build_features(df, FeatureSettings(user_id_encoding="drop", horizon=0, lags=(2,)), hot=PLAIN).columns
 
 
 def test_daily_task(spark):
     df = series_of(spark, [(float(i), 60.0 if i % 2 else None) for i in range(96 * 3)])
-    rows = build_features(df, FeatureSettings(task="daily_total"), hot=PLAIN).orderBy("day").collect()
+    rows = build_features(df, FeatureSettings(task="daily_total", user_id_encoding="drop"), hot=PLAIN).orderBy("day").collect()
     totals = [sum(range(96 * d, 96 * (d + 1))) for d in range(3)]
     assert [r["steps"] for r in rows] == totals[:2] and [r["steps_t"] for r in rows] == totals[1:]
     assert [str(r["ts"]) for r in rows] == ["2024-01-01 00:00:00", "2024-01-02 00:00:00"]
 
 
 def test_encodings(signal):
-    settings = FeatureSettings(lags=(1,), roll_windows=())
+    settings = FeatureSettings(user_id_encoding="drop", lags=(1,), roll_windows=())
     users = signal.select("user_id").distinct().count()
     wide = build_features(signal, FeatureSettings(**{**settings.__dict__, "user_id_encoding": "onehot"}), hot=PLAIN)
     assert sum(c.startswith("user_id_") for c in wide.columns) == users - 1

@@ -8,7 +8,7 @@ from pulsegrid.models.store import describe_model, load_model
 from pulsegrid.plans.features import FeatureSettings, build_features
 from pulsegrid.plans.train import RunSettings, load_settings, prepare, rescore_run, train_and_compare
 
-FEATURES = FeatureSettings(allow_step_inputs=True, lags=(1, 2), roll_windows=(4,))
+FEATURES = FeatureSettings(user_id_encoding="drop", allow_step_inputs=True, lags=(1, 2), roll_windows=(4,))
 
 
 @pytest.fixture(scope="module")

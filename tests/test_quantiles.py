@@ -96,4 +96,4 @@ def test_weighted_quantile_is_close(spark):
     reached = np.cumsum(weights[order]) / weights.sum()
     for tau in (0.2, 0.5, 0.8):
         exact = values[order][np.searchsorted(reached, tau)]
-        assert grouped_quantile(df, [], "v", "w", tau).first()["value"] == pytest.approx(exact, rel=0.03, abs=0.3)
+        assert grouped_quantile(df, [], "v", "w", tau).first()["value"] == pytest.approx(exact)

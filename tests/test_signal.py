@@ -151,8 +151,10 @@ def test_one_hot_forms_agree(spark):
     for r in wide.collect():
         assert sorted(sparse[r["user_id"]]) == sorted([float(r["user_id_10"]), float(r["user_id_33"])])
     assert sum(sparse[2]) == 0.0
-    with pytest.raises(ValueError):
-        category_list(df, "user_id", limit=2)
+    assert category_list(df, "user_id") == [2, 10, 33]
+    assert one_hot(df, categories=[33, 2]).columns == ["user_id", "user_id_33"]
+    one = df.where("user_id = 2")
+    assert one_hot_vector(one).columns == one.columns  # the only category is the dropped one
 
 
 def test_null_for_nan(spark):

@@ -110,14 +110,14 @@ def test_splits_filters_features_and_examples(signal, hot):
     assert_same(splits.split_last_days(signal, 5, 6), splits.split_last_days(signal, 5, 6, hot=hot))
     assert_same(filters.min_samples(signal, 66), filters.min_samples(signal, 66, hot=hot))
     for steps in (True, False):
-        settings = FeatureSettings(allow_step_inputs=steps, lags=(1, 4), roll_windows=(4,))
+        settings = FeatureSettings(user_id_encoding="drop", allow_step_inputs=steps, lags=(1, 4), roll_windows=(4,))
         assert_same(build_features(signal, settings, hot=PLAIN), build_features(signal, settings, hot=hot))
     predicted = signal.withColumn("yhat", F.lit(1.0))
     assert_same(examples.gap_example(predicted, hot=PLAIN), examples.gap_example(predicted, hot=hot))
 
 
 def test_one_exchange_for_all_window_stages(signal):
-    plan = build_features(signal, FeatureSettings(allow_step_inputs=True), hot=PLAIN)
+    plan = build_features(signal, FeatureSettings(allow_step_inputs=True, user_id_encoding="drop"), hot=PLAIN)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange hashpartitioning") == 1
     assert text.count("Sort [") == 1
