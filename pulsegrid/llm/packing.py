@@ -30,27 +30,28 @@ from pulsegrid.session import scratch_path
 SEQUENCE = 1024
 UNIT = 8
 END_ID = 0
-TOKENIZER = "byte_bpe_50k.json"
+RANKS = "byte_bpe_50k.tiktoken"  # the tokens of byte_bpe_50k.json as ranks
 _PLAN = "unit int, first long, last long, each int, sequence long, place int"
 _CUT = "_doc long, start long, length long, sequence_id long, offset long"
 
 
-def tokenizer_path(name: str = TOKENIZER) -> str:
+def public_ranks(name: str = RANKS) -> tuple[str, str]:
+    """Path of a public rank file and the pattern that parts a text into pieces."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
-def _encode(docs: DataFrame, key: str, text: str, path: str, end_id: int) -> DataFrame:
+def _encode(docs: DataFrame, key: str, text: str, ranks: tuple[str, str], end_id: int) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch_path(spark, "token-ids")
     encoded = docs.select(
-        F.col(key).alias("_id"), token_ids(F.col(text), path, end_id).alias("_ids"),
+        F.col(key).alias("_id"), token_ids(F.col(text), *ranks, end_id).alias("_ids"),
         F.monotonically_increasing_id().alias("_doc"),
     )
-    encoded.write.option("compression", "zstd").parquet(folder)
-    stored = spark.read.parquet(folder)
-    return stored.withColumn("_tokens", (F.octet_length("_ids") / ID_BYTES).cast("long"))
+    sized = encoded.withColumn("_tokens", (F.octet_length("_ids") / ID_BYTES).cast("long"))
+    sized.write.option("compression", "zstd").parquet(folder)
+    return spark.read.parquet(folder)
 
 
 def _part(ids: str, start, size):
@@ -63,7 +64,7 @@ def pack(
     key: str = "doc_id",
     text: str = "text",
     sequence: int = SEQUENCE,
-    path: str | None = None,
+    ranks: tuple[str, str] | None = None,
     end_id: int = END_ID,
 ) -> DataFrame:
     """Pieces of documents with their ids and their place in a sequence.
@@ -72,7 +73,7 @@ def pack(
     numbers are unique but not without gaps.
     """
     spark = docs.sparkSession
-    stored = _encode(docs, key, text, path or tokenizer_path(), end_id)
+    stored = _encode(docs, key, text, ranks or public_ranks(), end_id)
     item = (F.col("_tokens") % sequence).cast("int")
     items = stored.select(
         "_doc", (F.col("_tokens") - item).alias("_start"), item.cast("long").alias("length"),
