@@ -37,8 +37,9 @@ from pulsegrid.llm.common import held_out, llm_query, table
 from pulsegrid.session import freeze, scratch_path
 
 FOLDS = 10
-VOCABULARY = 8192
+VOCABULARY = 2048
 BLOCK_TOKENS = 1 << 18
+BLOCK_WORDS = (1 << 16) - 2  # distinct words of a block, at most: their numbers take two bytes
 SPELL_ORDERS, SPELL_SLOTS, SPELL_BACKOFF = 3, 1 << 12, 8.0
 NOVEL = (0.01, 0.9)  # bounds on the share of escapes given to words never met in training
 _END = np.uint64(0)  # hash that stands for the end token; words' hashes are odd
@@ -61,48 +62,51 @@ _BLOCK = (
 )
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Blocks of texts: per text its mark, fold and number of tokens, and all tokens as local numbers."""
-    from pyspark import TaskContext
+def _cut_blocks(block_tokens: int):
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Blocks of texts: per text its mark, fold and number of tokens, and all tokens as local numbers."""
+        from pyspark import TaskContext
 
-    number = TaskContext.get().partitionId() << 32
-    known, marks, held, counts, parts, size = _Numbers(), [], [], [], [], 0
+        number = TaskContext.get().partitionId() << 32
+        known, marks, held, counts, parts, size = _Numbers(), [], [], [], [], 0
 
-    def block() -> pd.DataFrame:
-        ids = np.concatenate(parts)
-        learned = np.repeat(~np.array(held), counts)
-        train = np.bincount(ids[learned], minlength=len(known) + 1).astype("<u4")
-        return pd.DataFrame(
-            {
-                "block": [number], "marks": [marks], "held": [held], "counts": [counts], "ids": [ids.tobytes()],
-                "words": [b"\n".join(known)], "train": [train.tobytes()],
-            }
-        )
+        def block() -> pd.DataFrame:
+            ids = np.concatenate(parts)
+            learned = np.repeat(~np.array(held), counts)
+            train = np.bincount(ids[learned], minlength=len(known) + 1).astype("<u4")
+            return pd.DataFrame(
+                {
+                    "block": [number], "marks": [marks], "held": [held], "counts": [counts], "ids": [ids.tobytes()],
+                    "words": [b"\n".join(known)], "train": [train.tobytes()],
+                }
+            )
 
-    for batch in batches:
-        for mark, fold, text in zip(batch["mark"], batch["held"], batch["text"]):
-            # Bytes methods treat ASCII alone: lower() changes A-Z, split() parts at 09-0D and 20.
-            words = text.encode("utf-8").lower().split()
-            at = 0
-            while True:
-                room = BLOCK_TOKENS - size
-                piece = words[at : at + room]
-                ends = at + len(piece) == len(words) and len(piece) < room
-                ids = np.fromiter(map(known.__getitem__, piece), dtype="<u4", count=len(piece))
-                parts.append(np.append(ids, np.uint32(0)).astype("<u4") if ends else ids)
-                marks.append(mark)
-                held.append(bool(fold))
-                counts.append(len(piece) + ends)
-                size += len(piece) + ends
-                at += len(piece)
-                if size >= BLOCK_TOKENS:
-                    yield block()
-                    number += 1
-                    known, marks, held, counts, parts, size = _Numbers(), [], [], [], [], 0
-                if ends:
-                    break
-    if parts:
-        yield block()
+        for batch in batches:
+            for mark, fold, text in zip(batch["mark"], batch["held"], batch["text"]):
+                # Bytes methods treat ASCII alone: lower() changes A-Z, split() parts at 09-0D and 20.
+                words = text.encode("utf-8").lower().split()
+                at = 0
+                while True:
+                    room = min(block_tokens - size, BLOCK_WORDS - len(known))
+                    piece = words[at : at + room]
+                    ends = at + len(piece) == len(words) and len(piece) < room
+                    ids = np.fromiter(map(known.__getitem__, piece), dtype="<u2", count=len(piece))
+                    parts.append(np.append(ids, np.uint16(0)) if ends else ids)
+                    marks.append(mark)
+                    held.append(bool(fold))
+                    counts.append(len(piece) + ends)
+                    size += len(piece) + ends
+                    at += len(piece)
+                    if size >= block_tokens or len(known) >= BLOCK_WORDS:
+                        yield block()
+                        number += 1
+                        known, marks, held, counts, parts, size = _Numbers(), [], [], [], [], 0
+                    if ends:
+                        break
+        if parts:
+            yield block()
+
+    return cut
 
 
 def _local_hashes(words: bytes) -> np.ndarray:
@@ -169,7 +173,6 @@ class LanguageModel:
     novel: float  # share of escapes given to words never met: that of words met once among the rare
     tables: list[np.ndarray]
     spelling: np.ndarray  # counts of a byte after the bytes before it
-    weights: tuple[float, ...] = mixer.FIRST_WEIGHTS
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Symbol of each word hash; the escape for words that are not frequent."""
@@ -215,7 +218,7 @@ def spell(words: list[bytes], counts: np.ndarray) -> np.ndarray:
 
 def _runs(row, hashes: np.ndarray, symbols: np.ndarray, kept: np.ndarray | None = None):
     """Symbols, hashes and text starts of a block's tokens, of the kept texts only if given."""
-    ids = np.frombuffer(row.ids, dtype="<u4")
+    ids = np.frombuffer(row.ids, dtype="<u2")
     counts = np.asarray(row.counts, dtype=np.int64)
     first = np.zeros(len(ids), dtype=bool)
     begins = np.cumsum(counts) - counts
@@ -289,6 +292,7 @@ def _score_blocks(model_of):
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model: LanguageModel = model_of.value
         n, v = model.tokens, model.distinct
+        predictors = mixer.Predictors.of(model.tables[: 1 + mixer.CONTEXTS])
         for batch in batches:
             for row in batch.itertuples(index=False):
                 hashes = _local_hashes(row.words)
@@ -300,7 +304,7 @@ def _score_blocks(model_of):
                 ranked = [np.frombuffer(t["totals"], dtype=np.int64) for t in sorted(row.shards, key=lambda t: t["shard"])]
                 totals[order] = np.concatenate(ranked)
                 base = np.log10((totals + 0.1) / (n + 0.1 * (v + 1)))
-                ids = np.frombuffer(row.ids, dtype="<u4")
+                ids = np.frombuffer(row.ids, dtype="<u2")
                 counts = np.asarray(row.counts, dtype=np.int64)
                 text = np.repeat(np.arange(len(counts)), counts)
                 # Price of the escaped words: by their count, or by their letters if never met.
@@ -315,10 +319,7 @@ def _score_blocks(model_of):
                 logs = price[ids]
                 if model.code is not None:
                     token, word, first = _runs(row, hashes, symbols)
-                    bits = mixer.decisions(token, word, first, model.code)
-                    said = mixer.inputs_of(bits, model.tables)
-                    found, _ = mixer.mix_bits(said, bits.bit, bits.depth, mixer.stream_starts(bits, first), model.weights)
-                    logs = logs + np.bincount(bits.token, weights=found, minlength=len(ids))
+                    logs = logs + mixer.token_logs(token, word, first, model.code, predictors)
                 sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
                 size = len(counts)
                 yield pd.DataFrame(
@@ -335,7 +336,9 @@ def _score_blocks(model_of):
     return score
 
 
-def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS) -> DataFrame:
+def score_texts(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS
+) -> DataFrame:
     """Scores of every text, learned from those that are not held out.
 
     Columns: the key, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` (log10 of
@@ -350,7 +353,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     # The key travels with the mark in the block's first job, so both come from the same pass over the rows.
     keys = freeze(marked.select("mark", "key", "held"))
     folder = scratch_path(spark, "blocks")
-    marked.select("mark", "held", "text").mapInPandas(_blocks, _BLOCK).write.option("compression", "zstd").parquet(folder)
+    marked.select("mark", "held", "text").mapInPandas(_cut_blocks(block_tokens), _BLOCK).write.option("compression", "zstd").parquet(folder)
     blocks = spark.read.parquet(folder)
 
     sent = blocks.select("block", "words", "train").mapInPandas(
@@ -372,7 +375,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", folds:
     model.tables, model.spelling = tables, spelling.astype(np.float64)
 
     returned = totals.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "totals")).alias("shards"))
-    work = blocks.drop("train", "held").join(returned, "block").repartition(shards * 2, "block")
+    work = blocks.drop("train", "held").join(returned, "block")
     parts = work.mapInPandas(_score_blocks(spark.sparkContext.broadcast(model)), _SCORES)
     scores = parts.groupBy("mark").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "bytes")])
     return keys.join(scores, "mark").select(

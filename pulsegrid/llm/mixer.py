@@ -10,23 +10,25 @@ import numpy as np
 CONTEXTS = 3  # hashed contexts beside the code's node itself: one word back, two words back, last frequent word
 SLOT_BITS = 19
 FREQUENT = 256  # words that can be the last frequent one
-RATE = 0.05
+RATE, REFINE_RATE = 0.05, 0.02
 GATES = 4
-BINS = 24
+BINS = 25
 BACKOFF = (2.0, 2.0, 2.0)  # prior weight of the node's own rate in each context
-STREAM_BITS = 2048  # bits after which the mixer begins anew
+STREAM_BITS = 512  # bits after which the mixer begins anew
 FIRST_WEIGHTS = (0.2, 0.35, 0.3, 0.4)  # of the node alone, then of the contexts
-_MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
-_NODE_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
+_MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 _EDGE = 1e-4
+_BIN_WIDTH = 0.75
 
 
 @dataclass(frozen=True)
 class Code:
-    """Paths through a Huffman tree: for each symbol the nodes passed and the turns taken."""
+    """Paths through a Huffman tree, one symbol's after the other: nodes passed, turns taken, gates of the mixer."""
 
-    nodes: np.ndarray  # symbols x depth
+    nodes: np.ndarray
     turns: np.ndarray
+    gates: np.ndarray
+    starts: np.ndarray  # of each symbol's path
     lengths: np.ndarray
 
 
@@ -48,121 +50,146 @@ def huffman(counts: np.ndarray) -> Code:
             path.append((parent[at] - n, turn[at]))
             at = parent[at]
         paths.append(path[::-1])
-    depth = max(map(len, paths))
-    nodes, turns = np.zeros((n, max(depth, 1)), dtype=np.int32), np.zeros((n, max(depth, 1)), dtype=np.int8)
-    for symbol, path in enumerate(paths):
-        for k, (node, bit) in enumerate(path):
-            nodes[symbol, k], turns[symbol, k] = node, bit
-    return Code(nodes, turns, np.array(list(map(len, paths)), dtype=np.int64))
+    lengths = np.array(list(map(len, paths)), dtype=np.int64)
+    steps = np.array([step for path in paths for step in path], dtype=np.int64).reshape(-1, 2)
+    starts = np.cumsum(lengths) - lengths
+    depth = np.arange(len(steps)) - np.repeat(starts, lengths)
+    gates = np.searchsorted([1, 3, 6], depth, side="right").astype(np.int32)
+    return Code(steps[:, 0].astype(np.int32), steps[:, 1].astype(np.int8), gates, starts, lengths)
 
 
 @dataclass
 class Bits:
     """The binary decisions of a run of tokens, in order."""
 
-    token: np.ndarray  # which token a decision belongs to
+    first: np.ndarray  # first decision of each token, and the number of all
     node: np.ndarray
-    depth: np.ndarray
+    gate: np.ndarray
     bit: np.ndarray
     slots: list[np.ndarray]  # of each hashed context
 
 
 def decisions(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, code: Code) -> Bits:
     """Decisions of tokens given by symbol and word hash; ``first`` marks the first token of a text."""
-    one = np.concatenate((np.zeros(1, np.uint64), hashes[:-1]))
+    word = (hashes >> np.uint64(32)).astype(np.uint32)
+    one = np.concatenate((np.zeros(1, np.uint32), word[:-1]))
     one[first] = 1
-    two = np.concatenate((np.zeros(1, np.uint64), one[:-1]))
+    two = np.concatenate((np.zeros(1, np.uint32), one[:-1]))
     two[first] = 2
     place = np.arange(len(symbols))
-    frequent = np.where(symbols < FREQUENT, place, -1)
     begin = np.maximum.accumulate(np.where(first, place, 0))
-    last = np.maximum.accumulate(np.concatenate(([-1], frequent[:-1])))
-    language = np.where(last >= begin, symbols[np.maximum(last, 0)] + 1, 0).astype(np.uint64)
+    last = np.maximum.accumulate(np.concatenate(([-1], np.where(symbols < FREQUENT, place, -1)[:-1])))
+    frequent = np.where(last >= begin, symbols[np.maximum(last, 0)] + 1, 0).astype(np.uint32)
     lengths = code.lengths[symbols]
-    token = np.repeat(place, lengths)
-    depth = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    symbol = symbols[token]
-    node = code.nodes[symbol, depth]
-    step = node.astype(np.uint64) * _NODE_MULTIPLIER
-    shift = np.uint64(64 - SLOT_BITS)
+    ends = np.cumsum(lengths)
+    step = np.repeat(code.starts[symbols] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+    node = code.nodes[step]
+    turn = (node.astype(np.uint32) + np.uint32(1)) * _MULTIPLIERS[0]
     slots = []
-    for k, context in enumerate((one, one * np.uint64(31) + two, language)):
-        mixed = (context * _MULTIPLIERS[k])[token] ^ step
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * _MULTIPLIERS[0]
-        slots.append((mixed >> shift).astype(np.int64))
-    return Bits(token, node, depth, code.turns[symbol, depth], slots)
+    for k, context in enumerate((one, one * np.uint32(31) + two, frequent)):
+        mixed = np.repeat((context + np.uint32(k)) * _MULTIPLIERS[k], lengths)
+        mixed ^= turn
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= _MULTIPLIERS[2]
+        mixed >>= np.uint32(32 - SLOT_BITS)
+        slots.append(mixed.astype(np.int64))
+    return Bits(np.concatenate(([0], ends)), node, code.gates[step], code.turns[step], slots)
 
 
 def count_bits(bits: Bits, nodes: int) -> list[np.ndarray]:
     """Counts of zeros and ones per node and per slot of each context, as flat arrays of pairs."""
-    tables = [np.bincount(2 * bits.node + bits.bit, minlength=2 * nodes)]
-    tables += [np.bincount(2 * s + bits.bit, minlength=2 << SLOT_BITS) for s in bits.slots]
-    return [t.astype(np.int64) for t in tables]
+    tables = [np.bincount(2 * bits.node.astype(np.int64) + bits.bit, minlength=2 * nodes)]
+    return tables + [np.bincount(2 * s + bits.bit, minlength=2 << SLOT_BITS) for s in bits.slots]
 
 
-def _stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
+@dataclass
+class Predictors:
+    """The counted tables, ready to be looked up: ones and all of each slot."""
 
+    node: np.ndarray  # rate of ones of each node
+    slots: list[tuple[np.ndarray, np.ndarray]]
 
-def inputs_of(bits: Bits, tables: list[np.ndarray], own: int = 0) -> np.ndarray:
-    """What each predictor says, as log odds: the node's own rate, then each context backed off to it.
+    @classmethod
+    def of(cls, tables: list[np.ndarray]) -> Predictors:
+        pairs = [t.reshape(-1, 2).astype(np.float32) for t in tables]
+        rate = (pairs[0][:, 1] + 0.5) / (pairs[0].sum(axis=1) + 1.0)
+        return cls(rate, [(p[:, 1].copy(), p.sum(axis=1) + np.float32(w)) for p, w in zip(pairs[1:], BACKOFF)])
 
-    ``own`` is taken off the counts of the bit that happened: 1 where the text itself has been counted.
-    """
-    def rate(table: np.ndarray, at: np.ndarray, prior: np.ndarray | float, weight: float) -> np.ndarray:
-        zero, one = table[2 * at].astype(np.float32), table[2 * at + 1].astype(np.float32)
-        if own:
-            one, zero = one - own * bits.bit, zero - own * (1 - bits.bit)
-        return np.clip((np.maximum(one, 0) + weight * prior) / (np.maximum(one, 0) + np.maximum(zero, 0) + weight), _EDGE, 1 - _EDGE)
+    def said(self, bits: Bits) -> np.ndarray:
+        """What each predictor says, as log odds: the node's own rate, then each context backed off to it."""
+        base = self.node.take(bits.node)
+        said = np.empty((len(base), 1 + CONTEXTS), dtype=np.float32)
 
-    base = rate(tables[0], bits.node, np.float32(0.5), 1.0)
-    said = np.empty((len(bits.node), 1 + CONTEXTS), dtype=np.float32)
-    said[:, 0] = _stretch(base)
-    for k in range(CONTEXTS):
-        said[:, k + 1] = _stretch(rate(tables[k + 1], bits.slots[k], base, BACKOFF[k]))
-    return said
+        def odds(rate: np.ndarray, column: int) -> None:
+            rate = np.clip(rate, _EDGE, 1 - _EDGE)
+            said[:, column] = np.log(rate / (1 - rate))
 
+        odds(base, 0)
+        for k, ((ones, all_), slot) in enumerate(zip(self.slots, bits.slots)):
+            odds((ones.take(slot) + np.float32(BACKOFF[k]) * base) / all_.take(slot), k + 1)
+        return said
 
-def mix_bits(
-    said: np.ndarray, bit: np.ndarray, depth: np.ndarray, starts: np.ndarray, weights=FIRST_WEIGHTS
-) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log of the probability of every decision, and the weights where the streams ended.
+
+def mix_bits(said: np.ndarray, bits: Bits, starts: np.ndarray, weights=FIRST_WEIGHTS) -> np.ndarray:
+    """Natural log of the probability of every decision.
 
     Streams begin at ``starts`` and are handled side by side, a decision of each at a time. A stream's mixer has a set
     of weights for each gate (how deep in the code the decision is) and learns from each decision after predicting
     it. Its output is refined by a table of the outcomes seen at that output, which learns in the same way.
     """
-    lengths = np.diff(np.concatenate((starts, [len(bit)])))
+    lengths = np.diff(np.concatenate((starts, [len(bits.bit)])))
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
-    n, k = len(starts), said.shape[1]
-    w = np.tile(np.asarray(weights, dtype=np.float32), (n * GATES, 1))
-    centers = 1 / (1 + np.exp(-(np.arange(BINS) - (BINS - 1) / 2) * 0.75))
-    table = np.tile(centers.astype(np.float32), n)
-    gates = np.searchsorted(np.array([1, 3, 6]), depth, side="right").astype(np.int64)
-    result = np.empty(len(bit), dtype=np.float32)
+    n = len(starts)
+    # Decisions step by step: those of all streams that have a first one, then a second one, and so on.
     active = np.searchsorted(-lengths, -np.arange(lengths[0] if n else 0), side="left")
-    row = np.arange(n, dtype=np.int64)
-    for t, m in enumerate(active):
-        at = starts[:m] + t
-        x, y = said[at], bit[at].astype(np.float32)
-        set_ = row[:m] * GATES + gates[at]
-        own = w[set_]
-        z = np.clip(np.einsum("ij,ij->i", own, x), -9, 9)
-        p = 1 / (1 + np.exp(-z))
-        w[set_] = own + (RATE * (y - p))[:, None] * x
-        cell = row[:m] * BINS + np.clip(np.rint(z / 0.75 + (BINS - 1) / 2), 0, BINS - 1).astype(np.int64)
-        refined = table[cell]
-        table[cell] = refined + 0.02 * (y - refined)
-        p = np.clip(0.75 * p + 0.25 * refined, _EDGE, 1 - _EDGE)
-        result[at] = np.log(np.where(y > 0, p, 1 - p))
-    return result, w
+    ends = np.cumsum(active)
+    stream = np.arange(len(said)) - np.repeat(ends - active, active)
+    place = starts[stream] + np.repeat(np.arange(len(active)), active)
+    x, y = said[place], bits.bit[place].astype(np.float32)
+    sets = stream * GATES + bits.gate[place]
+    w = np.tile(np.asarray(weights, dtype=np.float32), (n * GATES, 1))
+    middle = np.float32((BINS - 1) / 2)
+    table = np.tile(1 / (1 + np.exp(-(np.arange(BINS, dtype=np.float32) - middle) * np.float32(_BIN_WIDTH))), n)
+    first_cell = np.arange(n) * BINS
+    mixed, refined = np.empty(len(y), dtype=np.float32), np.empty(len(y), dtype=np.float32)
+    rate, slow = np.float32(RATE), np.float32(REFINE_RATE)
+    for begin, end in zip((ends - active).tolist(), ends.tolist()):
+        now, here, own_set = x[begin:end], y[begin:end], sets[begin:end]
+        own = w.take(own_set, axis=0)
+        z = np.einsum("ij,ij->i", own, now)
+        np.clip(z, -9, 9, out=z)
+        p = mixed[begin:end]
+        np.negative(z, out=p)
+        np.exp(p, out=p)
+        p += 1
+        np.reciprocal(p, out=p)
+        own += (rate * (here - p))[:, None] * now
+        w[own_set] = own
+        z *= np.float32(1 / _BIN_WIDTH)
+        z += middle + np.float32(0.5)  # within 0 and BINS, as z is bounded
+        cell = z.astype(np.int64)
+        cell += first_cell[: end - begin]
+        seen = table.take(cell)
+        refined[begin:end] = seen
+        table[cell] = seen + slow * (here - seen)
+    p = np.clip(0.75 * mixed + 0.25 * refined, _EDGE, 1 - _EDGE)
+    result = np.empty(len(y), dtype=np.float32)
+    result[place] = np.log(np.where(y > 0, p, 1 - p))
+    return result
 
 
 def stream_starts(bits: Bits, first: np.ndarray) -> np.ndarray:
-    """First decision of each stream: at the start of a text, and again after about ``STREAM_BITS`` decisions."""
-    begins = np.searchsorted(bits.token, np.flatnonzero(first))
-    ends = np.concatenate((begins[1:], [len(bits.token)]))
+    """First decision of each stream: at the start of a text, and again after every ``STREAM_BITS`` decisions."""
+    begins = bits.first[np.flatnonzero(first)]
+    ends = np.concatenate((begins[1:], [len(bits.bit)]))
     pieces = np.maximum(1, -(-(ends - begins) // STREAM_BITS))
     part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     return np.repeat(begins, pieces) + part * STREAM_BITS
+
+
+def token_logs(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, code: Code, predictors: Predictors) -> np.ndarray:
+    """Natural log of the probability of every token's symbol."""
+    bits = decisions(symbols, hashes, first, code)
+    logs = mix_bits(predictors.said(bits), bits, stream_starts(bits, first)).astype(np.float64)
+    return np.add.reduceat(logs, bits.first[:-1])
