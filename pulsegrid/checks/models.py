@@ -13,8 +13,7 @@ from pulsegrid.models.registry import make_model
 from pulsegrid.models.search import blend_accuracies
 from pulsegrid.operators import baselines, metrics
 from pulsegrid.plans.features import FeatureSettings, build_features
-from pulsegrid.plans.train import RunSettings, prepare, rescore_run, train_and_compare
-from pulsegrid.session import freeze, use_checkpoint_dir
+from pulsegrid.plans.train import RunSettings, prepare
 
 _SMALL_FEATURES = FeatureSettings(user_id_encoding="drop", allow_step_inputs=True, lags=(1, 2), roll_windows=(4, 16))
 _ROUNDS = 3
@@ -105,27 +104,3 @@ def grid_search_quantile(spark: SparkSession, sf: str) -> DataFrame:
     search = make_model("hgb_q80_auto", grid=grid, folds=2)
     search.fit(frame)
     return search.result_table(spark)
-
-
-def _run_dir(spark: SparkSession, run: str) -> str:
-    return f"{use_checkpoint_dir(spark)}/runs/{run}"
-
-
-@check("train_run")
-def train_run(spark: SparkSession, sf: str) -> DataFrame:
-    """Baselines and a linear model through the whole job, with the full set of measures."""
-    features = build_features(signal(spark, sf), _SMALL_FEATURES)
-    settings = RunSettings(
-        "check", models={"naive_last": {}, "averaging": {}, "median": {}, "mode": {}, "linreg": {}}, tolerances=(50,)
-    )
-    return train_and_compare(features, settings).board
-
-
-@check("rescore_run")
-def rescore(spark: SparkSession, sf: str) -> DataFrame:
-    """Train with a run folder, then score the saved models again with other tolerances."""
-    run_dir = _run_dir(spark, "rescore")
-    features = freeze(build_features(signal(spark, sf), _SMALL_FEATURES))
-    settings = RunSettings("rescore", models={"linreg": {}, "hgb_q80": {"rounds": 1}}, tolerances=(50,))
-    train_and_compare(features, settings, run_dir)
-    return rescore_run(spark, run_dir, features, tolerances=(25, 100)).board

@@ -75,3 +75,20 @@ def test_encodings(signal):
         build_features(signal, FeatureSettings(user_id_encoding="hash"), hot=PLAIN)
     with pytest.raises(ValueError):
         build_features(signal, FeatureSettings(task="weekly"), hot=PLAIN)
+
+
+def test_gaps_do_not_depend_on_the_session_zone(spark):
+    from pulsegrid.operators.series import add_gap_minutes
+
+    rows = [(1, 0, "2024-03-31 01:30:00"), (1, 1, "2024-03-31 03:30:00"), (1, 2, "2024-04-02 03:30:15.5")]
+    df = spark.createDataFrame(rows, "user_id long, event_id long, t string").selectExpr(
+        "user_id", "event_id", "cast(t as timestamp_ntz) as ts"
+    )
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("UTC", "Europe/Berlin"):  # clocks change on that night in Berlin
+            spark.conf.set("spark.sql.session.timeZone", name)
+            found = add_gap_minutes(df, hot=PLAIN).orderBy("event_id").collect()
+            assert [r["delta_minutes_from_prev"] for r in found] == [None, 120.0, 2880.25 + 1 / 120]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)

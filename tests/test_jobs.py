@@ -115,3 +115,52 @@ def test_missing_model_is_reported(spark, tmp_path):
     assert describe_model(spark, str(tmp_path / "none")) is None
     with pytest.raises(FileNotFoundError):
         load_model(spark, str(tmp_path / "none"))
+
+
+def test_readme_quick_start(spark, tmp_path):
+    """Matrix cells through build, features, train, score again and profile, as the README shows it."""
+    from pulsegrid.plans.build import build_signal
+    from pulsegrid.plans.profile import run_profile
+
+    rows, days = 8, 60
+    matrix = lambda u: [[float((u * 7 + r * 3 + c * 5) % 90) for c in range(days)] for r in range(rows)]
+    times = [[739253.0 + c + r / rows for c in range(days)] for r in range(rows)]
+    cells = [(u, matrix(u), matrix(u + 1), [739253.0 + c for c in range(days)], times) for u in (1, 2, 3)]
+    schema = "user_id long, steps array<array<double>>, hr array<array<double>>, date_dnum array<double>, dt_dnum array<array<double>>"
+    spark.createDataFrame(cells, schema).write.parquet(str(tmp_path / "cells"))
+
+    signal = build_signal(spark, str(tmp_path / "cells"), str(tmp_path / "signal"), min_days=50)
+    features = build_features(signal, FeatureSettings(horizon=1, allow_step_inputs=True))
+    features.write.parquet(str(tmp_path / "features"))
+    run = train_and_compare(
+        spark.read.parquet(str(tmp_path / "features")),
+        RunSettings("run-1", models={"naive_last": {}, "median": {}, "linreg": {}}),
+        run_dir=str(tmp_path / "run-1"),
+        results=str(tmp_path / "results"),
+        features_path=str(tmp_path / "features"),
+    )
+    assert run.board.count() == 3
+    assert rescore_run(spark, str(tmp_path / "run-1"), tolerances=(50, 100)).board.count() == 2
+    paths = run_profile(signal, str(tmp_path / "report"))
+    flat = spark.read.option("header", True).csv(paths["dataset_flat"])
+    assert flat.count() == 3 * rows * days
+    _, inputs = prepare(features, RunSettings("p"))
+    assert {"row_idx", "col_idx", "user_id_vec"} <= set(inputs)
+
+
+def test_naive_needs_a_previous_value(spark, features_path):
+    features = spark.read.parquet(features_path).drop("ref_prev", "steps_lag1")
+    with pytest.raises(ValueError, match="previous value"):
+        train_and_compare(features, RunSettings("n", models={"naive_last": {}}))
+
+
+def test_execution_errors_are_not_swallowed(spark, run, features_path, monkeypatch):
+    folder, settings, _, _ = run
+
+    class Broken:
+        def transform(self, frame):
+            raise RuntimeError("executor lost")
+
+    monkeypatch.setattr("pulsegrid.plans.train.load_model", lambda *a: Broken())
+    with pytest.raises(RuntimeError, match="executor lost"):
+        rescore_run(spark, str(folder / "run"), spark.read.parquet(features_path))
