@@ -136,7 +136,15 @@ def _share_out(shards: int):
     return share_out
 
 
-_TOTALS = "shard long, block long, totals binary, tokens long, distinct long, single long, top_hashes binary, top_counts binary"
+_TOTALS = (
+    "shard long, block long, totals binary, tokens long, distinct long, single long, top_hashes binary,"
+    " top_counts binary, levels array<int>, level_words array<long>"
+)
+
+
+def _level(counts: np.ndarray) -> np.ndarray:
+    """Which of a fixed number of ranges a count lies in, eight for each power of two."""
+    return np.floor(8 * np.log2(counts)).astype(np.int32)
 
 
 def _add_up(group: pd.DataFrame) -> pd.DataFrame:
@@ -150,12 +158,15 @@ def _add_up(group: pd.DataFrame) -> pd.DataFrame:
     back = pd.DataFrame(
         {"shard": shard, "block": group["block"], "totals": [totals[place[a:b]].tobytes() for a, b in zip(ends - [len(h) for h in hashes], ends)]}
     )
+    back["levels"] = back["level_words"] = [[] for _ in range(len(back))]
     top = np.lexsort((words, -totals))[:VOCABULARY]
     top = top[totals[top] > 0]
+    levels, level_words = np.unique(_level(totals[top]), return_counts=True)
     sums = {
         "shard": [shard], "block": [-1], "tokens": [int(totals.sum())], "distinct": [int((totals > 0).sum())],
         "single": [int((totals == 1).sum())],
         "top_hashes": [words[top].tobytes()], "top_counts": [totals[top].tobytes()],
+        "levels": [levels.tolist()], "level_words": [level_words.tolist()],
     }
     whole = pd.concat((back, pd.DataFrame(sums)), ignore_index=True)
     return whole.astype({"tokens": "Int64", "distinct": "Int64", "single": "Int64"})
@@ -362,7 +373,14 @@ def score_texts(
     totals = freeze(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(_add_up, _TOTALS))
     sums = totals.where("block = -1")
     n, v, single = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("distinct"), F.sum("single")).first())
-    pairs = sums.mapInPandas(_top_pairs, "hash long, count long")
+    # The level that the last of the frequent words has; shards send what lies on it or above.
+    by_level = sums.select(F.explode(F.arrays_zip("levels", "level_words")).alias("l")).groupBy("l.levels")
+    found, least = 0, 0
+    for row in sorted(by_level.agg(F.sum("l.level_words").alias("words")).collect(), reverse=True):
+        found, least = found + row["words"], row["levels"]
+        if found >= VOCABULARY:
+            break
+    pairs = sums.mapInPandas(_top_pairs(least), "hash long, count long")
     top = pairs.orderBy(F.desc("count"), "hash").limit(VOCABULARY).collect()
     hashes = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
     counts = np.array([r["count"] for r in top], dtype=np.int64)
@@ -385,10 +403,15 @@ def score_texts(
     )
 
 
-def _top_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for hashes, counts in zip(batch["top_hashes"], batch["top_counts"]):
-            yield pd.DataFrame({"hash": np.frombuffer(hashes, np.int64), "count": np.frombuffer(counts, np.int64)})
+def _top_pairs(least: int):
+    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for hashes, counts in zip(batch["top_hashes"], batch["top_counts"]):
+                hashes, counts = np.frombuffer(hashes, np.int64), np.frombuffer(counts, np.int64)
+                high = _level(counts) >= least
+                yield pd.DataFrame({"hash": hashes[high], "count": counts[high]})
+
+    return pairs
 
 
 @llm_query("op7_context_mixing")
