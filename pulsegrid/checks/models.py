@@ -70,6 +70,11 @@ check("ridge_one_input", _ONE_INPUT.replace("{0}", "5000000"))(
 )
 
 
+check("ridge_short_one_input", _ONE_INPUT.replace("{0}", "500 * (SELECT count(*) FROM xy WHERE split = 'train')"))(
+    partial(_one_input, "ridge_sgd", {"alpha": 500.0, "tol": 1e-12})
+)
+
+
 # Small settings: the fits run on all rows, with few rounds.
 FITS = {
     "fit_linear": ("linreg", {}),
