@@ -58,7 +58,7 @@ class _Numbers(dict):
 
 
 _BLOCK = (
-    "block long, marks array<long>, held array<boolean>, counts array<long>, ids binary, words binary, train binary"
+    "block long, marks array<long>, keys array<string>, held array<boolean>, counts array<long>, ids binary, words binary, train binary"
 )
 
 
@@ -68,7 +68,7 @@ def _cut_blocks(block_tokens: int):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        known, marks, held, counts, parts, size = _Numbers(), [], [], [], [], 0
+        known, marks, keys, held, counts, parts, size = _Numbers(), [], [], [], [], [], 0
 
         def block() -> pd.DataFrame:
             ids = np.concatenate(parts)
@@ -76,13 +76,13 @@ def _cut_blocks(block_tokens: int):
             train = np.bincount(ids[learned], minlength=len(known) + 1).astype("<u4")
             return pd.DataFrame(
                 {
-                    "block": [number], "marks": [marks], "held": [held], "counts": [counts], "ids": [ids.tobytes()],
-                    "words": [b"\n".join(known)], "train": [train.tobytes()],
+                    "block": [number], "marks": [marks], "keys": [keys], "held": [held], "counts": [counts],
+                    "ids": [ids.tobytes()], "words": [b"\n".join(known)], "train": [train.tobytes()],
                 }
             )
 
         for batch in batches:
-            for mark, fold, text in zip(batch["mark"], batch["held"], batch["text"]):
+            for mark, key, fold, text in zip(batch["mark"], batch["key"], batch["held"], batch["text"]):
                 # Bytes methods treat ASCII alone: lower() changes A-Z, split() parts at 09-0D and 20.
                 words = text.encode("utf-8").lower().split()
                 at = 0
@@ -93,6 +93,7 @@ def _cut_blocks(block_tokens: int):
                     ids = np.fromiter(map(known.__getitem__, piece), dtype="<u2", count=len(piece))
                     parts.append(np.append(ids, np.uint16(0)) if ends else ids)
                     marks.append(mark)
+                    keys.append(key)
                     held.append(bool(fold))
                     counts.append(len(piece) + ends)
                     size += len(piece) + ends
@@ -100,7 +101,7 @@ def _cut_blocks(block_tokens: int):
                     if size >= block_tokens or len(known) >= BLOCK_WORDS:
                         yield block()
                         number += 1
-                        known, marks, held, counts, parts, size = _Numbers(), [], [], [], [], 0
+                        known, marks, keys, held, counts, parts, size = _Numbers(), [], [], [], [], [], 0
                     if ends:
                         break
         if parts:
@@ -296,7 +297,7 @@ def _count_tables(blocks: DataFrame, model: LanguageModel, salts: int) -> list[n
     return tables
 
 
-_SCORES = "mark long, n_tokens long, n_known long, base_score double, score double, bytes long"
+_SCORES = "mark long, key string, held boolean, n_tokens long, n_known long, base_score double, score double, bytes long"
 
 
 def _score_blocks(model_of):
@@ -336,6 +337,8 @@ def _score_blocks(model_of):
                 yield pd.DataFrame(
                     {
                         "mark": row.marks,
+                        "key": row.keys,
+                        "held": row.held,
                         "n_tokens": counts,
                         "n_known": np.bincount(text, weights=totals[ids] > 0, minlength=size).astype(np.int64),
                         "base_score": np.bincount(text, weights=base[ids], minlength=size),
@@ -357,14 +360,14 @@ def score_texts(
     """
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = docs.schema[key].dataType
+    # The running number tells repeated rows apart; it is stored in the blocks, with the key, and not computed again.
     marked = docs.select(
-        F.monotonically_increasing_id().alias("mark"), F.col(key).alias("key"),
+        F.monotonically_increasing_id().alias("mark"), F.col(key).cast("string").alias("key"),
         held_out(F.col(key), folds).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    # The key travels with the mark in the block's first job, so both come from the same pass over the rows.
-    keys = freeze(marked.select("mark", "key", "held"))
     folder = scratch_path(spark, "blocks")
-    marked.select("mark", "held", "text").mapInPandas(_cut_blocks(block_tokens), _BLOCK).write.option("compression", "zstd").parquet(folder)
+    marked.mapInPandas(_cut_blocks(block_tokens), _BLOCK).write.option("compression", "zstd").parquet(folder)
     blocks = spark.read.parquet(folder)
 
     sent = blocks.select("block", "words", "train").mapInPandas(
@@ -393,11 +396,12 @@ def score_texts(
     model.tables, model.spelling = tables, spelling.astype(np.float64)
 
     returned = totals.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "totals")).alias("shards"))
-    work = blocks.drop("train", "held").join(returned, "block")
+    work = blocks.drop("train").join(returned, "block")
     parts = work.mapInPandas(_score_blocks(spark.sparkContext.broadcast(model)), _SCORES)
-    scores = parts.groupBy("mark").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "bytes")])
-    return keys.join(scores, "mark").select(
-        F.col("key").alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known",
+    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "bytes")]
+    scores = parts.groupBy("mark").agg(F.first("key").alias("key"), F.first("held").alias("held"), *sums)
+    return scores.select(
+        F.col("key").cast(kind).alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
         (-F.col("score") / F.log10(F.lit(2.0)) / F.col("bytes")).alias("bits_per_byte"),
     )
