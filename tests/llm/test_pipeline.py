@@ -43,7 +43,7 @@ def test_each_filter_keeps_what_its_operator_keeps(spark, sf_dir, stages):
     model = toxicity.learn(before, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     assert rows(after) == Counter({t: n for t, n in rows(before).items() if model.score(t[1]) < 0.5})
     before, after = stages["quality"]
-    kept = Counter(r["doc_id"] for r in quality.verdicts(before).where("kept").collect())
+    kept = Counter(r["doc_id"] for r in quality.verdicts(before).select("doc_id", "kept").collect() if r["kept"])
     assert Counter(r["doc_id"] for r in after.collect()) == kept and 0 < sum(kept.values()) < before.count()
     before, after = stages["near_copies"]
     least = {r["component_id"] for r in simhash.groups(before).collect()}
@@ -56,9 +56,8 @@ def test_mixing_and_packing_take_all_that_is_left(stages):
     taken = sum(r["taken"] for r in mixing.mix(before).collect())
     assert sum(words(r["text"]) for r in after.collect()) == taken
     before, after = stages["packing"]
-    assert Counter(map(tuple, after.drop("sequence_id", "offset").collect())) == Counter(
-        map(tuple, packing.digest_pieces(packing.pack(before)).drop("sequence_id", "offset").collect())
-    ) or after.agg({"length": "sum"}).first()[0] == packing.pack(before).agg({"length": "sum"}).first()[0]
+    tokens = packing.pack(before).select("doc_id", "doc_tokens").distinct()
+    assert sorted(map(tuple, after.select("doc_id", "doc_tokens").distinct().collect())) == sorted(map(tuple, tokens.collect()))
 
 
 def test_run_gives_the_same_pieces_as_the_stages(spark, sf_dir, stages):
