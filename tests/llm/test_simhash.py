@@ -112,7 +112,7 @@ def test_long_chain_is_one_group(spark):
 
 
 def test_one_document_of_each_group_stays(spark, edge_docs, sample_docs, clashing, no_docs):
-    docs = clashing(edge_docs.unionByName(sample_docs).unionByName(make_docs(spark, near_copies(), ids=list(range(1000, 1039)))))
+    docs = clashing(edge_docs.unionByName(sample_docs.withColumn("doc_id", F.col("doc_id") + 5000)).unionByName(make_docs(spark, near_copies(), ids=list(range(1000, 1039)))))
     kept = S.drop_near_copies(docs)
     assert kept.dtypes == docs.dtypes
     prints = [(r["doc_id"], brute_print(r["text"])) for r in docs.collect()]
