@@ -26,30 +26,36 @@ class LexiconAutomaton:
     """Finds the best lexicon term within ``edits`` edits (insert, delete, replace) of a word.
 
     A state is the set of (trie node, edits so far) that some reading of the word so far can have reached; terms
-    shorter than ``fuzzy_length`` allow no edits. States and their transitions are built when a word first needs them
+    shorter than ``fuzzy_length`` (stems: ``fuzzy_stem``, the same unless given) allow no edits. A stem and a word may
+    have the same letters. States and their transitions are built when a word first needs them
     and shared by all words, so a known word costs one lookup per letter, and most words end in the empty state after
     a few.
     """
 
-    def __init__(self, terms: list[Term], edits: int = 1, fuzzy_length: int = 5):
+    def __init__(self, terms: list[Term], edits: int = 1, fuzzy_length: int = 5, fuzzy_stem: int | None = None):
         self.edits, self.fuzzy_length = edits, fuzzy_length
+        self.fuzzy_stem = fuzzy_length if fuzzy_stem is None else fuzzy_stem
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[Term | None] = [None]
-        self.longest: list[int] = [0]  # of the terms below a node
+        self.ends: list[list[Term]] = [[]]
+        self.fuzzy: list[bool] = [False]  # a term at or below a node allows edits
         for term in terms:
             node = 0
-            self.longest[0] = max(self.longest[0], len(term.text))
+            fuzzy = self._editable(term)
+            self.fuzzy[0] |= fuzzy
             for letter in term.text:
                 if letter not in self.children[node]:
                     self.children[node][letter] = len(self.children)
                     self.children.append({})
-                    self.ends.append(None)
-                    self.longest.append(0)
+                    self.ends.append([])
+                    self.fuzzy.append(False)
                 node = self.children[node][letter]
-                self.longest[node] = max(self.longest[node], len(term.text))
-            self.ends[node] = term
+                self.fuzzy[node] |= fuzzy
+            self.ends[node].append(term)
         self._forget()
 
+    def _editable(self, term: Term) -> bool:
+        return len(term.text) >= (self.fuzzy_stem if term.stem else self.fuzzy_length)
+
     def _forget(self) -> None:
         self.numbers: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
@@ -59,7 +65,7 @@ class LexiconAutomaton:
         self.start = self._number(self._skips({0: 0}))
 
     def _allowed(self, node: int) -> int:
-        return self.edits if self.longest[node] >= self.fuzzy_length else 0
+        return self.edits if self.fuzzy[node] else 0
 
     def _skips(self, reached: dict[int, int]) -> dict[int, int]:
         """Adds what can be reached by leaving out letters of a term."""
@@ -80,7 +86,8 @@ class LexiconAutomaton:
         matches = [
             Match(term, spent)
             for node, spent in key
-            if (term := self.ends[node]) and (spent == 0 or len(term.text) >= self.fuzzy_length)
+            for term in self.ends[node]
+            if spent == 0 or self._editable(term)
         ]
         order = lambda m: (-m.edits, m.term.weight, m.term.text)
         self.numbers[key] = len(self.sets)

@@ -1,13 +1,15 @@
 """Toxicity: a lexicon learned from labels, found in whole texts in spite of misspelling, weighed by context.
 
 1. Lexicon. From labelled rows: words, and beginnings of words, that occur in toxic texts far more often than chance
-   allows. Texts with the same smallest word hash count once, so that copies of one text do not vote many times.
+   allows. Whole words stay beside the beginnings that cover them, since only they can be found misspelled. Texts with the same smallest word hash count once, so that copies of one text do not vote many times.
 2. Matching. Every word of a text runs through the Levenshtein automaton of the lexicon's trie (``automaton``), which
-   finds terms within one edit; stand-ins such as ``@`` for ``a`` are undone first.
+   finds words of 4 letters or more and beginnings of 5 or more within one edit; stand-ins such as ``@`` for ``a`` are
+   undone first. A word that several clean texts of the sample use is no misspelling of a term.
 3. Context. A window around each hit is searched for quotation marks that open and close around it, and for verbs of
    saying; a hit in such a window counts as quoted. Its score separates quotation from abuse.
 4. Score. A logistic model over the hits of a text (exact or misspelled, quoted or not, number and density). It is
-   fitted on the labelled sample as well, so the data decide how much a quoted or a misspelled hit is worth.
+   fitted on the labelled sample as well, so the data decide how much a quoted or a misspelled hit is worth; as far as
+   the sample has no misspelled hits, they are worth as much as exact ones.
 
 Labels are learned from a sample: at most ``SAMPLE`` rows of each label, the smallest hashes of the id, whatever the
 size of the input. Lexicon and model have a bounded size and are sent to every task; scoring is one narrow pass.
@@ -28,15 +30,20 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pulsegrid.llm.automaton import LexiconAutomaton, Term
+from pulsegrid.llm.automaton import LexiconAutomaton, Match, Term
 from pulsegrid.llm.common import held_out, llm_query, table
+from pulsegrid.session import freeze
 
 FOLDS = 5
 SAMPLE = 8_000  # labelled rows of each label to learn from, at most
-LEXICON = 2_000  # terms at most
+LEXICON = 2_000  # terms at most, beside the words that a beginning covers; 4 * LEXICON in all
 STEM_LETTERS = (4, 5, 6)
 LONGEST_WORD = 40  # letters of a word that are matched; longer strings are no words
 EDITS = 1
+FUZZY_WORD, FUZZY_STEM = 4, 5  # letters from which a word or a beginning may be misspelled
+USUAL = 2  # clean texts that use a word near a term from which on it is no misspelling
+USUAL_WORDS = 20_000  # at most, the most frequent
+ALIKE = ((2, 1), (5, 4))  # measures of misspelled hits, and of exact ones, whose weight they have without evidence
 WINDOW = 6  # words before and after a hit
 WORD_CACHE = 300_000
 
@@ -61,21 +68,26 @@ class ToxicityModel:
 
     terms: list[Term] = field(default_factory=list)
     weights: tuple[float, ...] = ()
+    usual: frozenset[str] = frozenset()  # words within an edit of a term that are words of their own
 
     def __post_init__(self):
-        self.automaton = LexiconAutomaton(self.terms, EDITS)
+        self.automaton = LexiconAutomaton(self.terms, EDITS, FUZZY_WORD, FUZZY_STEM)
         self.cache: dict[str, tuple[float, int] | None] = {}
 
     def __reduce__(self):
-        return ToxicityModel, (self.terms, self.weights)
+        return ToxicityModel, (self.terms, self.weights, self.usual)
+
+    def match(self, word: str) -> Match | None:
+        found = self.automaton.match(word)
+        return None if found and found.edits and word in self.usual else found
 
     def look_up(self, token: str) -> tuple[float, int] | None:
         """(weight, edits) of the best term for a token."""
         word = plain_word(token)
-        found = self.automaton.match(word) if word else None
+        found = self.match(word) if word else None
         plain = word.translate(STAND_INS) if (found is None or found.edits) and not word.isalpha() else word
         if plain != word and not plain.isdigit():
-            other = self.automaton.match(plain)
+            other = self.match(plain)
             if other and (found is None or other.edits < found.edits):
                 found = other
         return (found.term.weight, found.edits) if found else None
@@ -102,6 +114,7 @@ class ToxicityModel:
             math.log1p(sum(misspelled)),
             math.log1p(sum(quoted)),
             math.sqrt(len(exact) / max(n, 1)),
+            math.sqrt(len(misspelled) / max(n, 1)),
         ]
 
     def score(self, text: str) -> float:
@@ -147,17 +160,18 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def learn_lexicon(sample: DataFrame) -> list[Term]:
-    """Terms whose votes in toxic texts chance does not explain, strongest first."""
+def learn_lexicon(sample: DataFrame) -> tuple[list[Term], frozenset[str]]:
+    """Terms whose votes in toxic texts chance does not explain, strongest first; usual words within an edit of one."""
     classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     bad, good = classes.get(1, 0), classes.get(0, 0)
     if not bad or not good:
-        return []
+        return [], frozenset()
     votes = sample.select("text", "toxic").mapInPandas(_votes, "term string, stem boolean, toxic int, voter long")
-    counted = votes.groupBy("term", "stem").agg(
+    counts = votes.groupBy("term", "stem").agg(
         F.count_distinct(F.when(F.col("toxic") == 1, F.col("voter"))).alias("bad"),
         F.count_distinct(F.when(F.col("toxic") == 0, F.col("voter"))).alias("good"),
     )
+    counted = freeze(counts)  # read twice
     share = bad / (bad + good)
     # Log-likelihood of the votes if the term had nothing to do with the label, against their own rate.
     n = F.col("bad") + F.col("good")
@@ -167,28 +181,45 @@ def learn_lexicon(sample: DataFrame) -> list[Term]:
     ).otherwise(0.0)
     strong = counted.where((F.col("bad") >= 4) & (rate >= 0.8)).withColumn("surprise", surprise)
     top = strong.where("surprise > 9").orderBy(F.desc("surprise"), "term", "stem").limit(4 * LEXICON).collect()
-    terms: dict[str, Term] = {}
+    terms: list[Term] = []
     stems: set[str] = set()
+    own = 0
     for row in top:
-        covered = any(row["term"][:k] in stems for k in STEM_LETTERS if k <= len(row["term"]))
-        if covered or row["term"] in terms or len(terms) == LEXICON:
-            continue  # a stronger stem finds it too
+        covered = any(row["term"][:k] in stems for k in STEM_LETTERS if k <= len(row["term"]) - row["stem"])
+        if covered and row["stem"] or not covered and own == LEXICON:
+            continue  # a stronger, shorter beginning finds it too
+        own += not covered
         if row["stem"]:
             stems.add(row["term"])
         odds = (row["bad"] + 0.5) / (row["good"] + 0.5) * good / bad
-        terms[row["term"]] = Term(row["term"], math.log(max(odds, 1.0)), row["stem"])
-    return [t for t in terms.values() if t.stem or not any(t.text[:k] in stems for k in STEM_LETTERS)]
+        terms.append(Term(row["term"], math.log(max(odds, 1.0)), row["stem"]))
+    finder = ToxicityModel(terms)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [finder.automaton.match(w) for w in batch["term"]]
+            yield batch[[bool(f and f.edits) for f in found]]
+
+    used = counted.where(~F.col("stem") & (F.col("good") >= USUAL)).select("term", "good")
+    usual = used.mapInPandas(near, "term string, good long").orderBy(F.desc("good"), "term").limit(USUAL_WORDS)
+    return terms, frozenset(r["term"] for r in usual.collect())
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int = 40) -> tuple[float, ...]:
-    """Logistic regression by Newton steps, with a quadratic penalty on all but the constant."""
+    """Logistic regression by Newton steps, with a quadratic penalty on all but the constant.
+
+    The measures of misspelled hits have a penalty on what their weights differ from those of exact hits.
+    """
     w = np.zeros(x.shape[1])
-    ridge = np.full(x.shape[1], penalty)
-    ridge[0] = 1e-6
+    ridge = np.diag(np.full(x.shape[1], penalty))
+    ridge[0, 0] = 1e-6
+    for one, like in ALIKE:
+        ridge[like, like] += penalty
+        ridge[one, like] = ridge[like, one] = -penalty
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curvature = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(curvature, x.T @ (y - p) - ridge * w)
+        curvature = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge
+        step = np.linalg.solve(curvature, x.T @ (y - p) - ridge @ w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
@@ -198,10 +229,10 @@ def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> ToxicityModel:
     """Lexicon and model from the labelled rows that are not held out."""
     sample = _labelled(docs, labels, key, text, label)
-    terms = learn_lexicon(sample)
+    terms, usual = learn_lexicon(sample)
     if not terms:
         return ToxicityModel()
-    finder = ToxicityModel(terms)
+    finder = ToxicityModel(terms, usual=usual)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -211,12 +242,12 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = sample.select("text", "toxic").mapInPandas(measure, "x array<double>, y int").collect()  # the sample
     rows.sort()
     x, y = np.array([r["x"] for r in rows]), np.array([float(r["y"]) for r in rows])
-    return ToxicityModel(terms, fit_weights(x, y))
+    return ToxicityModel(terms, fit_weights(x, y), usual)
 
 
 def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
     """Score of a text, 0 to 1."""
-    shared = spark.sparkContext.broadcast((model.terms, model.weights))  # LEXICON terms at most
+    shared = spark.sparkContext.broadcast((model.terms, model.weights, model.usual))  # bounded by constants
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

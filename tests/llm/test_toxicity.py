@@ -122,3 +122,30 @@ def test_copies_of_one_text_do_not_make_its_words_terms(spark):
     labels = labels_of(spark, [(i, 1, int(i < 60)) for i in range(120)])
     terms = {t.text for t in T.learn(docs, labels).terms}
     assert any("loser".startswith(t) for t in terms) and not any("rare".startswith(t) or "odd" == t for t in terms)
+
+
+TYPOS = {"stupid": ["stuupid", "stupd", "ztupid"], "trash": ["tresh"], "worthless": ["wrthless"], "clown": ["clwn"], "idiot": ["ideot"], "scum": ["scuum"]}
+
+
+def test_words_of_a_learned_lexicon_are_found_misspelled(spark):
+    rng = np.random.default_rng(6)
+    insults = list(TYPOS)
+    prose = [" ".join(f"w{k}" for k in rng.integers(0, 6000, 12)) for _ in range(1200)]
+    endings = ["", "s", "like"]  # beginnings gather more votes than any whole word
+    toxic = [f"{p} {insults[i % 6]}{endings[i // 6 % 3]}" for i, p in enumerate(prose[:600])]
+    clean = [f"{p} crown" if i % 5 == 0 else p for i, p in enumerate(prose[600:])]
+    docs = make_docs(spark, toxic + clean)
+    model = T.learn(docs, labels_of(spark, [(i, 1, int(i < 600)) for i in range(1200)]))
+    assert any(t.stem for t in model.terms)
+    for word, typos in TYPOS.items():
+        assert model.look_up(word)[1] == 0
+        for typo in typos:
+            assert model.look_up(typo) is not None, typo
+            assert model.score(f"w1 w2 w3 w4 {typo}") >= 0.5, typo
+    assert model.look_up("crown") is None and model.score("w1 w2 w3 crown") < 0.5
+
+
+def test_misspelled_hits_weigh_as_much_as_exact_ones_without_evidence():
+    x = np.array([[1, 1.5, 0, 0, 0.3, 0], [1, 1.2, 0, 0, 0.4, 0], [1, 0, 0, 0, 0, 0], [1, 0, 0, 1, 0, 0]] * 10)
+    w = T.fit_weights(x, np.array([1.0, 1, 0, 0] * 10))
+    assert w[1] > 0 and np.allclose([w[2], w[5]], [w[1], w[4]], atol=1e-6)
