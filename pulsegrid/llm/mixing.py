@@ -8,8 +8,10 @@
    blocks of each source, near its weight.
 3. Selection. The documents of a source lie on a line in a seeded order; the line is cut into blocks. A quota of k
    blocks out of n takes every block k // n times and k % n of them once more, spread evenly from a seeded phase. The
-   last block taken is cut where the target is met (a quota that falls short takes one more), so every source's words
-   equal its target but for rounding.
+   blocks taken, in line order, are the source's seats in the order of the shards, so each shard gets exactly the blocks
+   it was dealt. A quota above its target has its last block cut there (or left out, and the one before it cut); what a
+   quota falls short of is added to the last shard from the first blocks that were not taken once more. So every source's
+   words equal its target but for rounding.
 
 Scale. Seats are never listed: with S sources and H seats a source's seats lie within S / 2H of its exact share, so
 the first ones are certain and only about 3 * S seats per shard compete for the rest. Positions on the line come from
@@ -144,12 +146,52 @@ def _chosen_before(block: Column) -> Column:
     return F.floor((_whole(block) * _whole(F.col("_extra")) + F.col("_phase")) / F.col("_blocks")).cast("long")
 
 
-def _taken_before(place: Column, block_words: int) -> Column:
-    """Words the mix takes from the source's line before ``place``, cut where the target is met."""
+def _seated_before(place: Column, seats: Column, block_words: int, goal: Column | None = None) -> Column:
+    """Words before ``place`` on the source's line in its first ``seats`` blocks taken, cut at ``goal`` words."""
     block = F.floor(place / F.lit(block_words)).cast("long")
-    chosen = _chosen_before(block + 1) - _chosen_before(block)
-    extra = _chosen_before(block) * block_words + chosen * (place - block * block_words)
-    return F.least(F.col("_times") * place + extra, F.col("_goal"))
+    start = block * block_words
+    seated = F.col("_times") * block + _chosen_before(block)  # seats of earlier blocks, all of them whole
+    here = F.col("_times") + _chosen_before(block + 1) - _chosen_before(block)
+    here = F.greatest(F.least(seats - seated, here), F.lit(0))
+    earlier = F.least(seats, seated) * block_words
+    if goal is None:
+        return earlier + here * (place - start)
+    length = F.least(F.lit(block_words), F.col("source_size") - start)
+
+    def with_copy(words: Column, copy: Column) -> Column:
+        left = F.greatest(goal - seated * block_words - copy * length, F.lit(0))
+        return words + F.when(copy < here, F.least(place - start, left)).otherwise(0).cast("long")
+
+    copies = F.sequence(F.lit(0).cast("long"), F.greatest(here, F.lit(1)).cast("long") - 1)
+    return F.aggregate(copies, F.least(earlier, goal).cast("long"), with_copy)
+
+
+def _added_before(place: Column, block_words: int) -> Column:
+    """Words before ``place`` added where the quota falls short: from blocks not taken once more, then from all."""
+    missing = F.greatest(F.col("_goal") - F.col("_dealt"), F.lit(0))
+    free = (F.col("_times") + 1) * place - _seated_before(place, F.col("_seats"), block_words)
+    beyond = F.greatest(missing - ((F.col("_times") + 1) * F.col("source_size") - F.col("_dealt")), F.lit(0))
+    rounds = F.floor(beyond / F.greatest(F.col("source_size"), F.lit(1))).cast("long")
+    return F.least(missing, free) + rounds * place + F.least(beyond - rounds * F.col("source_size"), place)
+
+
+def _taken_before(place: Column, block_words: int) -> Column:
+    """Words the mix takes from the source's line before ``place``."""
+    dealt = _seated_before(place, F.col("_seats"), block_words, F.col("_goal"))
+    return dealt + _added_before(place, block_words)
+
+
+def _shard_words(begin: Column, end: Column, block_words: int) -> Column:
+    """Words the mix takes between two places for each shard."""
+
+    def up_to(seats: Column) -> Column:
+        goal = F.col("_goal")
+        return _seated_before(end, seats, block_words, goal) - _seated_before(begin, seats, block_words, goal)
+
+    sums = F.transform("quota", up_to)
+    added = _added_before(end, block_words) - _added_before(begin, block_words)
+    dealt = F.zip_with(sums, F.concat(F.array(F.lit(0).cast("long")), F.slice(sums, 1, F.size("quota") - 1)), lambda a, b: a - b)
+    return F.transform(dealt, lambda x, i: x + F.when(i == F.size("quota") - 1, added).otherwise(0))
 
 
 def lay_out(
@@ -170,31 +212,32 @@ def lay_out(
     # A row per source; the window adds up the words of earlier sources.
     plan = targets.withColumn("_first", F.coalesce(F.sum("source_size").over(before), F.lit(0)))
     plan = plan.withColumn("_blocks", F.greatest(F.ceil(F.col("source_size") / block_words), F.lit(1)).cast("long"))
-    wanted = F.greatest(quota, F.ceil(F.col("target") / block_words).cast("long")) + 2
-    plan = plan.withColumn("_wanted", F.least(wanted, most * F.col("_blocks")))
+    plan = plan.withColumn("_seats", F.least(quota, most * F.col("_blocks")))
     phase = F.conv(F.substring(_digest(seed, F.col("source")), 1, 8), 16, 10).cast("long") % F.col("_blocks")
     plan = plan.withColumns(
         {
-            "_times": F.floor(F.col("_wanted") / F.col("_blocks")).cast("long"),
-            "_extra": (F.col("_wanted") % F.col("_blocks")).cast("long"),
+            "_times": F.floor(F.col("_seats") / F.col("_blocks")).cast("long"),
+            "_extra": (F.col("_seats") % F.col("_blocks")).cast("long"),
             "_phase": phase,
             "_goal": F.round(F.col("target")).cast("long"),
         }
-    ).drop("_wanted", "_order")
+    ).drop("_order")
+    plan = plan.withColumn("_dealt", _seated_before(F.col("source_size"), F.col("_seats"), block_words))
     # One row per source on the right; Spark broadcasts it if small and splits uneven partitions if not.
     joined = line.join(plan.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     return joined.withColumn("_place", F.col("_from") - F.col("_first")).drop("_from", "_first", "_source")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
-    """Size, source size, target and words taken of every document."""
+    """Size, source size, target and words taken of every document, altogether and for each shard."""
     block_words = settings.get("block_words", BLOCK_WORDS)
     words = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
     sizes = docs.select(F.col(key).alias("_id"), F.col(source).alias("source"), words.alias("size"))
     laid = lay_out(freeze(sizes), "_id", **settings)
-    end = F.col("_place") + F.col("size")
-    taken = _taken_before(end, block_words) - _taken_before(F.col("_place"), block_words)
-    return laid.select(F.col("_id").alias(key), "size", "source_size", "target", taken.alias("taken"))
+    by_shard = _shard_words(F.col("_place"), F.col("_place") + F.col("size"), block_words)
+    taken = F.aggregate("by_shard", F.lit(0).cast("long"), lambda a, b: a + b)
+    dealt = laid.withColumn("by_shard", by_shard).withColumn("taken", taken)
+    return dealt.select(F.col("_id").alias(key), "size", "source_size", "target", "taken", "by_shard")
 
 
 def mix_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:

@@ -104,3 +104,36 @@ def test_empty_and_wordless_tables(spark, no_docs):
     assert M.mix(no_docs).count() == 0 and M.mix_texts(no_docs).count() == 0
     rows = M.mix(make_docs(spark, [None, "", "  "])).collect()
     assert [(r["size"], r["target"], r["taken"]) for r in rows] == [(0, 0.0, 0)] * 3
+
+
+def test_each_shard_holds_the_blocks_it_was_dealt(spark):
+    texts = [" ".join(["w"] * 10)] * 400
+    docs = make_docs(spark, texts, sources=["a", "a", "a", "b", "c", "c", "c"])
+    block, shards = 30, 4
+    rows = M.mix(docs, block_words=block, shards=shards).collect()
+    words = {}
+    for r in rows:
+        assert sum(r["by_shard"]) == r["taken"]
+        held = words.setdefault((r["source_size"], round(r["target"], 6)), [0] * shards)
+        for j, n in enumerate(r["by_shard"]):
+            held[j] += n
+    sizes = docs.select("source", F.lit(10).cast("long").alias("size"))
+    dealt = M.quotas(M.source_targets(sizes), block, shards).collect()
+    assert len(dealt) == 3
+    for r in dealt:
+        held = words[(r["source_size"], round(r["target"], 6))]
+        seats = [b - a for a, b in zip([0, *r["quota"]], r["quota"])]
+        # Whole blocks everywhere but in the last shard, and the source's last block, which can be short.
+        short = (-r["source_size"]) % block
+        assert all(seats[j] * block - held[j] in (0, short) for j in range(shards - 1))
+        assert abs(held[-1] - seats[-1] * block) <= block + short
+        assert abs(sum(held) - r["target"]) <= 1
+
+
+def test_quotas_decide_what_is_taken(spark, monkeypatch):
+    docs = make_docs(spark, ["w " * 10] * 300, sources=["a", "b", "c"])
+    before = sorted(map(tuple, M.mix(docs, block_words=30).select("doc_id", "taken").collect()))
+    quotas = M.quotas
+    halved = lambda *a: quotas(*a).withColumn("quota", F.transform("quota", lambda q: F.floor(q / 2)))
+    monkeypatch.setattr(M, "quotas", halved)
+    assert before != sorted(map(tuple, M.mix(docs, block_words=30).select("doc_id", "taken").collect()))
