@@ -14,7 +14,6 @@ RATE, REFINE_RATE = 0.05, 0.02
 GATES = 4
 BINS = 25
 BACKOFF = (2.0, 2.0, 2.0)  # prior weight of the node's own rate in each context
-STREAM_BITS = 512  # bits after which the mixer begins anew
 FIRST_WEIGHTS = (0.2, 0.35, 0.3, 0.4)  # of the node alone, then of the contexts
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], dtype=np.uint32)
 _EDGE = 1e-4
@@ -180,12 +179,8 @@ def mix_bits(said: np.ndarray, bits: Bits, starts: np.ndarray, weights=FIRST_WEI
 
 
 def stream_starts(bits: Bits, first: np.ndarray) -> np.ndarray:
-    """First decision of each stream: at the start of a text, and again after every ``STREAM_BITS`` decisions."""
-    begins = bits.first[np.flatnonzero(first)]
-    ends = np.concatenate((begins[1:], [len(bits.bit)]))
-    pieces = np.maximum(1, -(-(ends - begins) // STREAM_BITS))
-    part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    return np.repeat(begins, pieces) + part * STREAM_BITS
+    """First decision of each stream: a text, or what the block has of it, is one stream."""
+    return bits.first[np.flatnonzero(first)]
 
 
 def token_logs(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, code: Code, predictors: Predictors) -> np.ndarray:

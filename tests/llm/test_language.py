@@ -130,3 +130,15 @@ def test_spelling_is_a_probability_of_words():
     assert 0 < one < 1
     assert L.spell([b"ab"], counts)[0] > L.spell([b"qz"], counts)[0]
     assert len(L.spell([], counts)) == 0
+
+
+def test_the_mixer_learns_through_a_whole_text():
+    rng = np.random.default_rng(7)
+    symbols = rng.integers(0, 6, 6000)
+    hashes = (np.arange(6, dtype=np.uint64) * np.uint64(977) + np.uint64(3)) << np.uint64(34)
+    first = np.zeros(6000, dtype=bool)
+    first[[0, 5000]] = True
+    code = M.huffman(np.bincount(symbols, minlength=6))
+    bits = M.decisions(symbols, hashes[symbols], first, code)
+    assert len(bits.bit) > 10_000
+    assert M.stream_starts(bits, first).tolist() == [0, bits.first[5000]]
