@@ -37,7 +37,7 @@ from pulsegrid.llm.common import held_out, llm_query, table
 from pulsegrid.session import freeze, scratch_path
 
 FOLDS = 10
-VOCABULARY = 2048
+VOCABULARY = 8192
 BLOCK_TOKENS = 1 << 18
 BLOCK_WORDS = (1 << 16) - 2  # distinct words of a block, at most: their numbers take two bytes
 SPELL_ORDERS, SPELL_SLOTS, SPELL_BACKOFF = 3, 1 << 12, 8.0

@@ -142,3 +142,15 @@ def test_the_mixer_learns_through_a_whole_text():
     bits = M.decisions(symbols, hashes[symbols], first, code)
     assert len(bits.bit) > 10_000
     assert M.stream_starts(bits, first).tolist() == [0, bits.first[5000]]
+
+
+def test_words_beyond_the_first_two_thousand_are_coded_by_context(spark):
+    # 2,200 common words, and 800 rarer ones that always follow each other: only a context tells which comes.
+    common = [" ".join(f"c{k}" for k in range(j, j + 40)) for j in range(0, 2200, 40)] * 12
+    rarer = [" ".join(f"a{k} b{k}" for k in range(j, j + 20)) for j in range(0, 400, 20)] * 6
+    texts = common + rarer
+    ids = [i for i in range(3000) if not is_held(i)][: len(texts)]
+    held = next(i for i in range(5000, 6000) if is_held(i))
+    docs = make_docs(spark, [*texts, rarer[7]], ids=[*ids, held])
+    row = next(r for r in L.score_texts(docs).collect() if r["doc_id"] == held)
+    assert row["score"] > row["base_score"] * 0.6
