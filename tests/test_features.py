@@ -3,7 +3,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import Window, functions as F
 
-from conftest import rows_of
+from helpers import rows_of
 from pulsegrid.operators import series as S
 from pulsegrid.operators.skew import no_hot_keys
 from pulsegrid.plans.features import FeatureSettings, build_features

@@ -7,7 +7,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import assert_same
+from helpers import assert_same
 from pulsegrid.layout import DEFAULT_LAYOUT
 from pulsegrid.operators import examples, filters, series as S, splits
 from pulsegrid.operators.skew import (
