@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Once a table is written, the exchanges that led to it are of no more use; Spark can delete their files then.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def local_session(app: str, cores: str = "8", partitions: int = 8, memory: str = "16g") -> SparkSession:
     """Session for tests and benchmarks on one machine; a cluster brings its own settings."""
@@ -47,6 +52,20 @@ def scratch_path(spark: SparkSession, purpose: str) -> str:
     return f"{use_checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Lets Spark delete the shuffle files of each query inside when that query has ended."""
+    before = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, before)
+
+
 def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder as a table and read it from there.
 
@@ -57,5 +76,6 @@ def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
     between two of them keeps two copies at most.
     """
     path = path or scratch_path(df.sparkSession, "frozen")
-    df.write.mode("overwrite").parquet(path)
+    with tidy_shuffles(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
