@@ -66,7 +66,7 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_TIDY, before)
 
 
-def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
+def freeze(df: DataFrame, path: str | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder as a table and read it from there.
 
     Values that depend on the physical layout (partition ids, row positions) or on random draws must not be
@@ -77,5 +77,5 @@ def freeze(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     path = path or scratch_path(df.sparkSession, "frozen")
     with tidy_shuffles(df.sparkSession):
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
