@@ -32,7 +32,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pulsegrid.llm.common import llm_query, table
 from pulsegrid.session import freeze
@@ -44,8 +44,12 @@ _BATCH = 4 << 20  # bytes taken at a time; a longer text is sliced
 _PLACE_BITS = 24  # a place in a slice; the other bits of an anchor's rank are its hash
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
-# A unit is a run of windows of one document that share an anchor: they start at lo to hi.
-_UNIT = "digit long, class long, route long, _doc long, lo long, hi long, anchor long, settled boolean, crowded boolean"
+# A unit is a run of windows of one document that share an anchor: they start at lo to hi. It travels as one number:
+# lo, anchor - lo, hi - lo and flags, so that numbers of a document are in the order of their starts. ``meet`` is the
+# digit and ``other`` the class, or the other way round for a crowded unit, which need not meet its digit.
+_UNIT = "meet long, other long, _doc long, place long"
+_SPAN_BITS, _FLAG_BITS = 10, 3
+_SETTLED, _CROWDED, _MANY = 1, 2, 4
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # digit, class, doc, lo, hi, anchor
 
 
@@ -150,30 +154,49 @@ def _routed(rows: Rows) -> pd.DataFrame:
     crowded = new_class & ~new_digit & ~greatest
     # Settled rows meet nobody: numbers of their own keep a large class from travelling to one place.
     alone = (doc.view(np.uint64) * _MIX[0] + lo.view(np.uint64) * _MIX[1]).view(np.int64)
-    digit, classes = np.where(new_class, digit, alone), np.where(new_class, classes, lo)
-    return pd.DataFrame({
-        "digit": digit, "class": classes, "route": np.where(crowded, classes, digit), "_doc": doc, "lo": lo, "hi": hi,
-        "anchor": anchor, "settled": ~new_class, "crowded": crowded,
-    })
+    meet = np.where(crowded, classes, np.where(new_class, digit, alone))
+    other = np.where(crowded, digit, np.where(new_class, classes, lo))
+    flags = np.where(new_class, np.where(crowded, _CROWDED, 0), _SETTLED)
+    return pd.DataFrame({"meet": meet, "other": other, "_doc": doc, "place": packed(lo, hi, anchor, flags)})
+
+
+def packed(lo: np.ndarray, hi: np.ndarray, anchor: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    return (((lo << _SPAN_BITS | anchor - lo) << _SPAN_BITS | hi - lo) << _FLAG_BITS) | flags
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lo, hi, anchor)."""
+    span = (1 << _SPAN_BITS) - 1
+    lo = place >> (2 * _SPAN_BITS + _FLAG_BITS)
+    return lo, lo + (place >> _FLAG_BITS & span), lo + (place >> (_SPAN_BITS + _FLAG_BITS) & span)
+
+
+def _flag(which: int) -> Column:
+    return F.col("place").bitwiseAND(F.lit(which)) != 0
 
 
 def _sort(units: DataFrame) -> DataFrame:
-    """One pass: (_doc, lo, hi, anchor, settled) of the windows that are repeated or must be sorted deeper."""
-    met = Window.partitionBy("route")
-    company = units.withColumns(
-        {"_n": F.count(F.lit(1)).over(met), "many": F.col("crowded") | (F.min("class").over(met) != F.max("class").over(met))}
+    """One pass: (_doc, place) of the windows that are repeated, marked as settled, or must be sorted deeper."""
+    met = Window.partitionBy("meet")
+    crowded, settled = _flag(_CROWDED), _flag(_SETTLED)
+    several = F.when(F.min("other").over(met) != F.max("other").over(met), _MANY).otherwise(0)
+    company = units.withColumns({"_n": F.count(F.lit(1)).over(met), "_several": several})
+    alive = company.where(settled | crowded | (F.col("_n") > 1)).select(
+        F.when(crowded, F.col("other")).otherwise(F.col("meet")).alias("digit"),
+        F.when(crowded, F.col("meet")).otherwise(F.col("other")).alias("class"),
+        "_doc",
+        F.col("place").bitwiseOR(F.when(crowded, _MANY).otherwise(F.col("_several"))).alias("place"),
     )
-    alive = company.where(F.col("settled") | F.col("crowded") | (F.col("_n") > 1))
-    place = F.struct("_doc", "lo")
-    first = F.min(F.when(~F.col("settled"), place)).over(Window.partitionBy("digit", "class"))
-    judged = alive.withColumn("settled", F.col("settled") | (place > first))
-    return freeze(judged.where(F.col("settled") | F.col("many")).select("_doc", "lo", "hi", "anchor", "settled"))
+    unit = F.struct("_doc", "place")
+    first = F.min(F.when(~settled, unit)).over(Window.partitionBy("digit", "class"))
+    judged = alive.select("_doc", "place", F.when(unit > first, _SETTLED).otherwise(0).alias("_later"))
+    done = judged.select("_doc", F.col("place").bitwiseOR(F.col("_later")).alias("place"))
+    return freeze(done.where(_flag(_SETTLED) | _flag(_MANY)))
 
 
 def _deeper(texts: DataFrame, passed: DataFrame, split: Callable[..., Iterator[tuple]], *settings: int) -> DataFrame:
     """Divides the units that a pass has left open, document by document, and sorts the parts."""
-    names = ("lo", "hi", "anchor")
-    left = passed.where("NOT settled").groupBy("_doc").agg(*[F.collect_list(n).alias(n) for n in names])
+    left = passed.where(~_flag(_SETTLED)).groupBy("_doc").agg(F.collect_list("place").alias("_places"))
 
     def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -181,8 +204,8 @@ def _deeper(texts: DataFrame, passed: DataFrame, split: Callable[..., Iterator[t
                 some = batch.iloc[at : at + 64]
                 found = [
                     part
-                    for doc, text, *units in zip(some["_doc"], some["_bytes"], *(some[n] for n in names))
-                    for part in split(doc, text, zip(*(u.tolist() for u in units)), *settings)
+                    for doc, text, places in zip(some["_doc"], some["_bytes"], some["_places"])
+                    for part in split(doc, text, zip(*(u.tolist() for u in unpacked(places))), *settings)
                 ]
                 if found:
                     digit, classes, *rest = zip(*found)
@@ -207,14 +230,14 @@ def cut_repeats(
     docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, gram: int = GRAM, block: int = BLOCK
 ) -> DataFrame:
     """The key, ``n_bytes``, ``spans`` (removed bytes: array of start, end) and ``kept`` (the other bytes) of every document."""
-    if not 0 < gram <= threshold - block or gram % 8:
-        raise ValueError("an anchor has a multiple of 8 bytes and leaves room for a block of windows")
+    if not 0 < gram <= threshold - block or gram % 8 or threshold - gram >= 1 << _SPAN_BITS:
+        raise ValueError("an anchor has a multiple of 8 bytes and leaves room for a block, and less than 1,024 bytes")
     body = F.coalesce(F.col(f"`{text}`"), F.lit("")).cast("binary")
     found = docs.select(F.col(f"`{key}`").alias("_id"), body.alias("_bytes"), F.monotonically_increasing_id().alias("_mark"))
     order = [F.col("_id").isNull(), F.col("_id"), F.xxhash64("_bytes"), F.col("_mark")]
     ranged = found.repartitionByRange(*order).sortWithinPartitions(*order)
     # Numbers that rise with the order; stored, since they depend on the layout.
-    texts = freeze(ranged.select(F.monotonically_increasing_id().alias("_doc"), "_id", "_bytes"))
+    texts = freeze(ranged.select(F.monotonically_increasing_id().alias("_doc"), "_id", "_bytes"), compression="zstd")
 
     def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -225,20 +248,21 @@ def cut_repeats(
     anchors = _sort(long.mapInPandas(start, _UNIT))
     blocks = _deeper(long, anchors, block_units, threshold, block)
     windows = _deeper(long, blocks, window_units, threshold)
-    repeated = anchors.unionByName(blocks).unionByName(windows).where("settled")
-    spans = repeated.groupBy("_doc").agg(F.collect_list("lo").alias("_lo"), F.collect_list("hi").alias("_hi"))
+    repeated = anchors.unionByName(blocks).unionByName(windows).where(_flag(_SETTLED))
+    spans = repeated.groupBy("_doc").agg(F.collect_list("place").alias("_places"))
 
     @F.pandas_udf("spans array<struct<start: long, end: long>>, kept binary")
-    def cut(bodies: pd.Series, lows: pd.Series, highs: pd.Series) -> pd.DataFrame:
+    def cut(bodies: pd.Series, places: pd.Series) -> pd.DataFrame:
         spans, kept = [], []
-        for body, lo, hi in zip(bodies, lows, highs):
-            joined = _join_spans(lo.tolist(), (hi + threshold).tolist()) if lo is not None else []
+        for body, found in zip(bodies, places):
+            lo, hi, _ = unpacked(np.asarray([] if found is None else found, dtype=np.int64))
+            joined = _join_spans(lo.tolist(), (hi + threshold).tolist())
             edges = [0, *(x for span in joined for x in span), len(body)]
             spans.append([{"start": a, "end": b} for a, b in joined])
             kept.append(b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2])))
         return pd.DataFrame({"spans": spans, "kept": kept})
 
-    cut_up = texts.join(spans, "_doc", "left").select("_id", "_bytes", cut("_bytes", "_lo", "_hi").alias("_cut"))
+    cut_up = texts.join(spans, "_doc", "left").select("_id", "_bytes", cut("_bytes", "_places").alias("_cut"))
     return cut_up.select(F.col("_id").alias(key), F.octet_length("_bytes").cast("long").alias("n_bytes"), "_cut.*")
 
 

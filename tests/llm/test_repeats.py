@@ -135,6 +135,13 @@ def test_a_large_class_meets_in_few_rows():
     classes = R.np.arange(n) % 700
     place = R.np.arange(n)
     routed = R._routed((digit, classes, place, place, place, place))
-    assert (routed["route"] == 0).sum() == 2
-    assert routed["settled"].sum() == n - 700 and routed["crowded"].sum() == 698
-    assert routed.loc[routed["settled"], "route"].nunique() == n - 700
+    flags = routed["place"] & 7
+    assert (routed["meet"] == 0).sum() == 2
+    assert (flags == 1).sum() == n - 700 and (flags == 2).sum() == 698
+    assert routed.loc[flags == 1, "meet"].nunique() == n - 700
+
+
+def test_units_travel_as_one_number():
+    lo, back, run = R.np.array([0, 5, 1 << 31]), R.np.array([0, 60, 1023]), R.np.array([1023, 0, 7])
+    found = R.unpacked(R.packed(lo, lo + run, lo + back, R.np.array([7, 0, 1])))
+    assert [f.tolist() for f in found] == [lo.tolist(), (lo + run).tolist(), (lo + back).tolist()]
