@@ -1,66 +1,42 @@
-"""Gradient boosting with leaves fitted to the loss.
+"""Gradient boosting with leaves fitted to the loss, on inputs binned once.
 
-Spark ML boosts squared, absolute and logistic loss and keeps the tree's own leaf means. Here each round fits a
-Spark ML regression tree to the negative gradient, then refits the leaf values in one grouped pass and adds them
-to the running score. What reaches the driver per round is one number per leaf.
+Each round grows one tree, best leaf first, on the negative gradient (``growth``), from a store of binned rows
+(``binned``); then leaves take the value their loss asks for. What reaches the driver per pass are sums by leaf, input
+and bin. Scores of the rows are brought up to date while blocks are read and written anew every few rounds; with
+``resume_dir`` what has been fitted until then is kept, and a fit that ended early goes on from there.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 import random
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import partial
 
-from pyspark.ml import Estimator, Model, PipelineModel
-from pyspark.ml.feature import VectorSlicer
+import numpy as np
+from pyspark.errors import AnalysisException
+from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions.weights import expm1_clipped, log1p_clipped
+from pulsegrid.models import ensemble, growth
+from pulsegrid.models.binned import BinnedRows, Block, drawn, feature_edges, group_quantiles
+from pulsegrid.models.growth import COUNT, CURVE, PULL, FlatTree, Grown, Limits
 from pulsegrid.models.losses import Loss, make_loss
-from pulsegrid.operators.quantiles import value_range
 from pulsegrid.session import freeze, scratch_path
 
-_SHARES = 1_000_000
+_DRAW = 1 << 53
 
 
-def _drawn(row: str, salt: int, share: float) -> Column:
-    """Reproducible draw of a share of rows, a function of the stored row number only."""
-    return F.pmod(F.xxhash64(F.col(row), F.lit(salt)), F.lit(_SHARES)) < int(share * _SHARES)
-
-
-def grouped_quantile(df: DataFrame, keys: list[str], value: str, weight: str, tau: float) -> DataFrame:
-    """Weighted quantile per group: the first value at which ``tau`` of the group's weight is reached.
+class BoostedTrees(Estimator):
+    """``weigh`` maps the label to a sample weight; ``log_target`` fits log1p of the clipped label.
 
-    Weights are added up per (group, value range) on the map side; the range that holds the quantile, one per group,
-    is joined back and only its values are ordered. Groups, here leaves, are few and may be as large as the table.
+    ``l2`` weighs on splits and on leaves that are a ratio of gradients; leaves that are quantiles take no penalty.
     """
-    rows = df.select(*keys, F.col(value).alias("_v"), F.col(weight).alias("_w")).where(F.col("_w") > 0)
-    rows = rows.withColumn("_range", value_range("_v"))
-    group = keys or [F.lit(0)]
-    in_order = Window.partitionBy(*group).orderBy("_range")
-    whole = F.sum("_rw").over(in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    before = F.coalesce(F.sum("_rw").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ranges = rows.groupBy(*keys, "_range").agg(F.sum("_w").alias("_rw"))
-    ranges = ranges.select(*keys, "_range", "_rw", before.alias("_before"), (whole * tau * (1 - 1e-12)).alias("_wanted"))
-    held = ranges.where((F.col("_before") < F.col("_wanted")) & (F.col("_before") + F.col("_rw") >= F.col("_wanted")))
-    held = held.groupBy(*keys).agg(F.min_by(F.struct("_range", "_before", "_wanted"), "_range").alias("_h"))
-    held = held.select(*keys, "_h.*")
-    picked = rows.join(F.broadcast(held), [*keys, "_range"])
-    values = picked.groupBy(*keys, "_v").agg(
-        F.sum("_w").alias("_vw"), F.first("_before").alias("_before"), F.first("_wanted").alias("_wanted")
-    )
-    upto = F.sum("_vw").over(Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    values = values.withColumn("_reached", F.col("_before") + upto)
-    # Sums in another order may end a hair short of the mark; then it is the greatest value of the range.
-    hit = F.min(F.when(F.col("_reached") >= F.col("_wanted"), F.col("_v")))
-    return values.groupBy(*keys).agg(F.coalesce(hit, F.max("_v")).alias("value"))
-
-
-class BoostedTrees(Estimator):
-    """``weigh`` maps the label to a sample weight; ``log_target`` fits log1p of the clipped label."""
 
     def __init__(
         self,
@@ -68,9 +44,11 @@ class BoostedTrees(Estimator):
         tau: float = 0.5,
         rounds: int = 100,
         step: float = 0.06,
-        depth: int = 5,
+        leaves: int | None = 31,
+        depth: int | None = None,
         bins: int = 255,
         min_leaf: int = 20,
+        min_curvature: float = 0.0,
         l2: float = 0.0,
         row_share: float = 1.0,
         column_share: float = 1.0,
@@ -79,181 +57,306 @@ class BoostedTrees(Estimator):
         weigh: Callable[[Column], Column] | None = None,
         log_target: bool = False,
         checkpoint_every: int = 5,
+        resume_dir: str | None = None,
         seed: int = 42,
     ):
         super().__init__()
+        if leaves is None and depth is None:
+            raise ValueError("a tree needs a limit of leaves or of depth")
         self.loss = make_loss(loss, tau)
-        if l2 and self.loss.tau is not None:
-            raise ValueError("leaves of this loss are quantiles and take no penalty")
-        self.rounds, self.step, self.depth, self.bins = rounds, step, depth, bins
-        self.min_leaf, self.l2 = min_leaf, l2
+        self.rounds, self.step, self.bins = rounds, step, bins
+        self.limits = Limits(leaves, depth, min_leaf, min_curvature, l2)
         self.row_share, self.column_share = row_share, column_share
         self.valid_share, self.patience = valid_share, patience
         self.weigh, self.log_target = weigh, log_target
-        self.checkpoint_every, self.seed = checkpoint_every, seed
+        self.checkpoint_every, self.resume_dir, self.seed = checkpoint_every, resume_dir, seed
 
-    def _start(self, train: DataFrame) -> float:
-        quantile = self.loss.start_quantile
-        if quantile is not None:
-            row = grouped_quantile(train, [], "_y", "_w", quantile).first()
-            return float(row["value"]) if row and row["value"] is not None else 0.0
-        row = train.agg(F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).first()
-        mean = float(row[0] or 0.0)
-        return math.log(max(mean, 1e-6)) if self.loss.name == "poisson" else mean
+    def _settings(self) -> str:
+        """All that decides the trees, but for how many there are."""
+        parts = (self.loss, self.step, self.bins, self.limits, self.row_share, self.column_share, self.valid_share,
+                 self.patience, self.log_target, self.checkpoint_every, self.seed)
+        return hashlib.sha256(repr(parts).encode()).hexdigest()
 
-    def _fit(self, df: DataFrame) -> BoostedTreesModel:
+    def prepare(self, df: DataFrame) -> Prepared:
+        """Rows with label, weight, hash and bins, stored. Fits that differ in other settings may share them."""
         label = F.col("label").cast("double")
         y = log1p_clipped(label) if self.log_target else label
         weight = self.weigh(label) if self.weigh else F.lit(1.0)
         # Draws depend on what a row holds, not on where it lies: another cluster draws the same rows.
         content = [c for c, kind in df.dtypes if kind != "vector"]
         row = F.xxhash64(*content, vector_to_array("features"))
-        base = df.where(label.isNotNull()).select(
-            "features", y.alias("_y"), weight.cast("double").alias("_w"), row.alias("_row")
+        held = F.pmod(F.xxhash64("_row", F.lit(self.seed)), F.lit(_DRAW)) < int(self.valid_share * _DRAW)
+        base = freeze(
+            df.where(label.isNotNull())
+            .select("features", y.alias("_y"), weight.cast("double").alias("_w"), row.alias("_row"))
+            .withColumn("_held", held)
         )
-        state = freeze(base)
-        held = _drawn("_row", self.seed, self.valid_share) if self.valid_share > 0 else F.lit(False)
-        state = state.withColumn("_held", held)
-        start = self._start(state.where(~F.col("_held")))
-        state = state.withColumn("_f", F.lit(start))
-        width = len(df.select("features").first()["features"])
-
-        stages, leaves, losses = [], [], []
-        folder = scratch_path(df.sparkSession, "boosting")
-        for i in range(self.rounds):
-            fitted = self._fit_tree(state, i, width)
-            grown = state
-            for stage in fitted:
-                grown = stage.transform(grown)
-            values, held_loss = self._leaf_values(grown, f"_leaf{i}")
-            stages.append(fitted)
-            leaves.append(values)
-            state = grown.select(
-                "features", "_y", "_w", "_row", "_held", (F.col("_f") + _leaf_step(f"_leaf{i}", values, self.step)).alias("_f")
-            )
-            if (i + 1) % self.checkpoint_every == 0:
-                state = freeze(state, f"{folder}/{(i + 1) // self.checkpoint_every % 2}")
-            if held_loss is not None:  # loss of the score before this round
-                losses.append(held_loss)
-                if _no_progress(losses, self.patience):
+        edges = feature_edges(base.where("NOT _held"), self.bins)
+        return Prepared(base, BinnedRows.store(base, edges))
+
+    def fit_prepared(self, prepared: Prepared) -> BoostedTreesModel:
+        fit = _Fit(self, prepared)
+        if not fit.resume():
+            fit.begin()
+        fit.run()
+        return BoostedTreesModel(fit.trees, fit.start, self.step, self.loss, self.log_target)
+
+    def _fit(self, df: DataFrame) -> BoostedTreesModel:
+        prepared = self.prepare(df)
+        model = self.fit_prepared(prepared)
+        prepared.rows.release()
+        return model
+
+
+@dataclass(frozen=True)
+class Prepared:
+    base: DataFrame
+    rows: BinnedRows
+
+
+class _Fit:
+    """A fit under way: the rows with their scores, the trees so far and the losses of held rows."""
+
+    def __init__(self, model: BoostedTrees, prepared: Prepared):
+        self.model, self.base, self.rows = model, prepared.base, prepared.rows
+        self.spark = prepared.base.sparkSession
+        self.folder = model.resume_dir or scratch_path(self.spark, "boosting")
+        self.trees: list[FlatTree] = []
+        self.losses: list[float] = []
+        self.start = 0.0
+        self.stored = 0  # trees that are in the stored scores
+        self.own = False  # whether the rows are this fit's alone
+
+    def begin(self) -> None:
+        self.start = self._start(self.rows)
+        self.rows = self.rows.later(partial(_shift, by=self.start))
+
+    def _start(self, rows: BinnedRows) -> float:
+        loss = self.model.loss
+        if loss.start_quantile is not None:
+            found = group_quantiles(rows, 1, _labels, loss.start_quantile)[0]
+            return 0.0 if found is None else found
+        total, weight = rows.fold(_label_sums, lambda a, b: (a[0] + b[0], a[1] + b[1])) or (0.0, 0.0)
+        mean = total / weight if weight else 0.0
+        return math.log(max(mean, 1e-6)) if loss.name == "poisson" else mean
+
+    def run(self) -> None:
+        model = self.model
+        while len(self.trees) < model.rounds:
+            i = len(self.trees)
+            root, held = self._root(i)
+            if held is not None:  # loss of the score before this round
+                self.losses.append(held)
+                if _no_progress(self.losses, model.patience):
                     break
-        return BoostedTreesModel(stages, leaves, start, self.step, self.loss, self.log_target)
-
-    def _fit_tree(self, state: DataFrame, i: int, width: int) -> list:
-        pull = self.loss.pull(F.col("_y"), F.col("_f"))
-        rows = state.where(~F.col("_held")).withColumn("_pull", pull)
-        if self.row_share < 1:
-            rows = rows.where(_drawn("_row", self.seed + i + 1, self.row_share))
-        stages, source = [], "features"
-        if self.column_share < 1:
-            chosen = random.Random(self.seed + i).sample(range(width), max(1, int(width * self.column_share)))
-            source = f"_chosen{i}"
-            stages.append(VectorSlicer(inputCol="features", outputCol=source, indices=sorted(chosen)))
-            rows = stages[0].transform(rows)
-        tree = DecisionTreeRegressor(
-            featuresCol=source,
-            labelCol="_pull",
-            weightCol="_w",
-            maxDepth=self.depth,
-            maxBins=self.bins,
-            minInstancesPerNode=self.min_leaf,
-            leafCol=f"_leaf{i}",
-            seed=self.seed,
-        )
-        model = tree.fit(rows)
-        model.setPredictionCol("")
-        return [*stages, model]
-
-    def _leaf_values(self, grown: DataFrame, leaf: str) -> tuple[dict[int, float], float | None]:
-        y, f = F.col("_y"), F.col("_f")
-        rows = grown.select(
-            F.col(leaf).cast("int").alias("leaf"),
-            "_w",
-            "_held",
-            (y - f).alias("_e"),
-            self.loss.pull(y, f).alias("_g"),
-            self.loss.curvature(y, f).alias("_h"),
-            self.loss.value(y, f).alias("_l"),
-        )
-        train = rows.where(~F.col("_held"))
-        if self.loss.tau is not None:
-            found = grouped_quantile(train, ["leaf"], "_e", "_w", self.loss.tau)
-        else:
-            down = F.sum(F.col("_w") * F.col("_h")) + self.l2
-            found = train.groupBy("leaf").agg((F.sum(F.col("_w") * F.col("_g")) / F.nullif(down, F.lit(0.0))).alias("value"))
-        values = {row["leaf"]: float(row["value"] or 0.0) for row in found.collect()}
-        if self.valid_share <= 0:
-            return values, None
-        held = rows.where("_held").agg(F.avg("_l")).first()[0]
-        return values, None if held is None else float(held)
+            grown = growth.grow(root, partial(self._measure, i), model.limits, self._chosen(i))
+            values = self._leaf_values(grown)
+            self.trees.append(growth.flatten(grown.splits, values, self.rows.edges))
+            self.rows = self.rows.later(partial(_step, splits=grown.splits, values=values, step=model.step))
+            if len(self.trees) % model.checkpoint_every == 0:
+                self._store()
+        if self.own:
+            self.rows.release()
 
+    def _chosen(self, i: int) -> np.ndarray | None:
+        width, share = self.rows.width, self.model.column_share
+        if share >= 1:
+            return None
+        return np.array(sorted(random.Random(self.model.seed + i).sample(range(width), max(1, int(width * share)))))
 
-def _no_progress(losses: list[float], patience: int) -> bool:
-    if len(losses) <= patience:
+    def _gradients(self, i: int) -> Callable[[Block], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows of this round, pulls, curvatures) of a block."""
+        loss, share, salt = self.model.loss, self.model.row_share, self.model.seed + i + 1
+
+        def of(block: Block):
+            keep = ~block.held
+            if share < 1:
+                keep &= drawn(block.row, salt, share)
+            pull, curve = loss.arrays(block.y, block.score)
+            return np.flatnonzero(keep), block.w * pull, block.w * curve
+
+        return of
+
+    def _size(self) -> int:
+        return max(map(len, self.rows.edges), default=0) + 1
+
+    def _root(self, i: int) -> tuple[np.ndarray, float | None]:
+        gradients, size, loss = self._gradients(i), self._size(), self.model.loss
+
+        def work(block: Block):
+            rows, pull, curve = gradients(block)
+            held = loss.values(block.y, block.score)[block.held]
+            return growth.histogram(block.bins, rows, pull, curve, size), np.array([held.sum(), len(held)])
+
+        found = self.rows.fold(work, lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        if found is None:
+            return np.zeros((self.rows.width, size, 3)), None
+        total, count = found[1]
+        return found[0], float(total / count) if self.model.valid_share > 0 and count else None
+
+    def _measure(self, i: int, splits: list, requests: list) -> np.ndarray:
+        if not requests:
+            return np.zeros((0, self.rows.width, self._size(), 3))
+        gradients, size = self._gradients(i), self._size()
+
+        def work(block: Block):
+            rows, pull, curve = gradients(block)
+            return growth.requested(block.bins, splits, requests, pull, curve, size, rows)
+
+        return self.rows.fold(work, np.add)
+
+    def _leaf_values(self, grown: Grown) -> dict[int, float]:
+        loss, l2 = self.model.loss, self.model.limits.l2
+        number = {leaf.node: k for k, leaf in enumerate(grown.leaves)}
+        splits = grown.splits
+
+        def leaf_of(block: Block) -> np.ndarray:
+            group = np.empty(len(block.y), dtype=np.int64)
+            for node, at in growth.routes(block.bins, splits).items():
+                group[at] = number[node]
+            return group
+
+        if loss.tau is not None:
+
+            def residuals(block: Block):
+                return leaf_of(block), block.y - block.score, np.where(block.held, 0.0, block.w)
+
+            found = group_quantiles(self.rows, len(number), residuals, loss.tau)
+            return {node: found[k] or 0.0 for node, k in number.items()}
+        sums = np.array([leaf.stats[:COUNT] for leaf in grown.leaves])
+        if self.model.row_share < 1:  # trees are grown on drawn rows, leaves are fitted to all
+
+            def work(block: Block):
+                group, weight = leaf_of(block), np.where(block.held, 0.0, block.w)
+                pull, curve = loss.arrays(block.y, block.score)
+                return np.stack([np.bincount(group, weight * v, minlength=len(number)) for v in (pull, curve)], axis=1)
+
+            sums = self.rows.fold(work, np.add)
+        if sums is None:
+            return {}
+        down = sums[:, CURVE] + l2
+        ratio = np.divide(sums[:, PULL], down, out=np.zeros(len(sums)), where=down > 0)
+        return {node: float(ratio[k]) for node, k in number.items()}
+
+    # -------------------------------------------------------- what has been fitted so far
+
+    def _store(self) -> None:
+        """Writes the scores and, to go on from, the new trees and a manifest, which is written last."""
+        done = len(self.trees)
+        path = f"{self.folder}/{done // self.model.checkpoint_every % 2}"
+        before, self.rows = self.rows, self.rows.written(f"{path}/rows")
+        if self.own:
+            before.release()
+        self.own = True
+        if self.model.resume_dir is None:
+            return
+        ensemble.write_trees(self.spark, self.trees[self.stored :], f"{self.folder}/trees/upto={done}", first=self.stored)
+        about = {
+            "settings": self.model._settings(), "data": self._data(), "state": self._state(self.rows), "trees": done,
+            "start": self.start, "losses": self.losses, "edges": [e.tolist() for e in self.rows.edges],
+        }
+        manifest = self.spark.createDataFrame([(json.dumps(about),)], "about string")
+        manifest.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+        self.stored = done
+
+    def _data(self) -> str:
+        """Tells the training rows from others."""
+        row = self.base.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_row", "_y", "_w").cast("decimal(38,0)"))).first()
+        return f"{row[0]} {row[1]}"
+
+    @staticmethod
+    def _state(rows: BinnedRows) -> str:
+        row = rows.frame.agg(F.count(F.lit(1)), F.sum(F.xxhash64("block", "score", "row").cast("decimal(38,0)"))).first()
+        return f"{row[0]} {row[1]}"
+
+    def resume(self) -> bool:
+        """Goes on from the fullest manifest that agrees with settings, rows and stored scores; False if there is none."""
+        if self.model.resume_dir is None:
+            return False
+        found = []
+        for slot in (0, 1):
+            try:
+                row = self.spark.read.parquet(f"{self.folder}/{slot}/manifest").first()
+            except AnalysisException:
+                continue
+            about = json.loads(row["about"]) if row else {}
+            if about.get("settings") == self.model._settings() and about["trees"] <= self.model.rounds:
+                found.append((about["trees"], slot, about))
+        for done, slot, about in sorted(found, key=lambda f: -f[0]):
+            edges = [np.array(e, dtype=np.float64) for e in about["edges"]]
+            rows = BinnedRows(self.spark.read.parquet(f"{self.folder}/{slot}/rows"), edges)
+            # The rows of the slot may be newer than its manifest, if a fit ended between the two.
+            if about["data"] != self._data() or about["state"] != self._state(rows):
+                continue
+            self.trees = ensemble.read_trees(self.spark.read.parquet(f"{self.folder}/trees"), done)
+            self.own = True
+            self.rows, self.start, self.losses, self.stored = rows, about["start"], about["losses"], done
+            return True
         return False
-    return min(losses[-patience:]) >= min(losses[:-patience])
 
 
-def _leaf_step(leaf: str, values: dict[int, float], step: float) -> Column:
-    """Score change of a row from the value of its leaf.
+def _shift(block: Block, by: float) -> None:
+    block.score += by
 
-    The values travel as one text constant that Spark folds into an array, so a long ensemble stays a short plan.
-    """
-    size = max(values, default=0) + 1
-    text = ",".join(repr(step * values.get(i, 0.0)) for i in range(size))
-    return F.expr(f"coalesce(get(CAST(split('{text}', ',') AS array<double>), CAST({leaf} AS int)), 0D)")
+
+def _step(block: Block, splits: list, values: dict[int, float], step: float) -> None:
+    for node, at in growth.routes(block.bins, splits).items():
+        block.score[at] += step * values.get(node, 0.0)
+
+
+def _labels(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.zeros(len(block.y), dtype=np.int64), block.y, np.where(block.held, 0.0, block.w)
+
+
+def _label_sums(block: Block) -> tuple[float, float]:
+    weight = np.where(block.held, 0.0, block.w)
+    return float(weight @ block.y), float(weight.sum())
+
+
+def _no_progress(losses: list[float], patience: int) -> bool:
+    if len(losses) <= patience:
+        return False
+    return min(losses[-patience:]) >= min(losses[:-patience])
 
 
 class BoostedTreesModel(Model):
-    def __init__(self, stages: list, leaves: list, start: float, step: float, loss: Loss, log_target: bool):
+    def __init__(self, trees: list[FlatTree], start: float, step: float, loss: Loss, log_target: bool):
         super().__init__()
-        self.stages, self.leaves = stages, leaves
-        self.start, self.step, self.loss, self.log_target = start, step, loss, log_target
+        self.trees, self.start, self.step, self.loss, self.log_target = trees, start, step, loss, log_target
+        self._scorer: Model | None = None
 
     @property
     def rounds(self) -> int:
-        return len(self.leaves)
+        return len(self.trees)
 
     def truncated(self, rounds: int) -> BoostedTreesModel:
         """The model after fewer rounds: exactly what a shorter fit with the same settings gives."""
-        return BoostedTreesModel(
-            self.stages[:rounds], self.leaves[:rounds], self.start, self.step, self.loss, self.log_target
-        )
+        return BoostedTreesModel(self.trees[:rounds], self.start, self.step, self.loss, self.log_target)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        scored, score = df, F.lit(self.start)
-        for stages in self.stages:
-            for stage in stages:
-                scored = stage.transform(scored)
-        steps = [_leaf_step(f"_leaf{i}", values, self.step) for i, values in enumerate(self.leaves)]
-        if steps:
-            score = F.aggregate(F.array(*steps), score, lambda total, x: total + x)
+        score = F.lit(float(self.start))
+        scored = df
+        if self.trees:
+            if self._scorer is None:
+                self._scorer = ensemble.tree_sum(df.sparkSession, self.trees, self.step)
+            scored = self._scorer.transform(df)
+            score = score + F.col(ensemble.SCORE)
         value = self.loss.prediction(score)
         value = expm1_clipped(value) if self.log_target else value
         return scored.select(*df.columns, value.alias("yhat"))
 
     def save_parts(self, spark: SparkSession, path: str) -> dict:
-        flat = [stage for stages in self.stages for stage in stages]
-        if flat:
-            PipelineModel(flat).write().overwrite().save(f"{path}/trees")
-        rows = [(i, leaf, value) for i, values in enumerate(self.leaves) for leaf, value in values.items()]
-        table = spark.createDataFrame(rows, "round int, leaf int, value double")
-        table.write.mode("overwrite").parquet(f"{path}/leaves")
+        ensemble.write_trees(spark, self.trees, f"{path}/trees")
         return {
             "start": self.start,
             "step": self.step,
             "loss": self.loss.name,
             "tau": self.loss.tau,
             "log_target": self.log_target,
-            "sizes": json.dumps([len(s) for s in self.stages]),
+            "rounds": self.rounds,
         }
 
     @classmethod
     def load_parts(cls, spark: SparkSession, path: str, meta: dict) -> BoostedTreesModel:
-        sizes = json.loads(meta["sizes"])
-        flat = iter(PipelineModel.load(f"{path}/trees").stages) if sizes else iter(())
-        stages = [[next(flat) for _ in range(n)] for n in sizes]
-        leaves: list[dict[int, float]] = [{} for _ in sizes]
-        for row in spark.read.parquet(f"{path}/leaves").collect():
-            leaves[row["round"]][row["leaf"]] = row["value"]
-        return cls(stages, leaves, meta["start"], meta["step"], Loss(meta["loss"], meta["tau"]), meta["log_target"])
+        trees = ensemble.read_trees(spark.read.parquet(f"{path}/trees"), meta["rounds"])
+        return cls(trees, meta["start"], meta["step"], Loss(meta["loss"], meta["tau"]), meta["log_target"])

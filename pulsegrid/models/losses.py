@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 
@@ -42,6 +43,29 @@ class Loss:
             return F.sqrt(1.0 + e * e) - 1.0
         return e * e
 
+    def arrays(self, y: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pull and curvature of arrays."""
+        if self.name == "quantile":
+            return np.where(y > f, self.tau, self.tau - 1.0), np.ones(len(y))
+        if self.name == "poisson":
+            rate = np.exp(f)
+            return y - rate, rate
+        if self.name == "pseudo_huber":
+            near = 1.0 / np.sqrt(1.0 + (y - f) * (y - f))
+            return (y - f) * near, near
+        return y - f, np.ones(len(y))
+
+    def values(self, y: np.ndarray, f: np.ndarray) -> np.ndarray:
+        """``value`` of arrays."""
+        e = y - f
+        if self.name == "quantile":
+            return np.maximum(self.tau * e, (self.tau - 1.0) * e)
+        if self.name == "poisson":
+            return np.exp(f) - y * f
+        if self.name == "pseudo_huber":
+            return np.sqrt(1.0 + e * e) - 1.0
+        return e * e
+
     def prediction(self, f: Column) -> Column:
         return F.exp(f) if self.name == "poisson" else f
 

@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pulsegrid.functions.weights import band_weight, power_weight
 from pulsegrid.models.boosting import BoostedTrees
 from pulsegrid.models.composite import Blend, TwoStage
-from pulsegrid.models.linear import HuberRegression, RidgeRegression
+from pulsegrid.models.linear import HuberRegression, RidgeRegression, StochasticRidge
 from pulsegrid.models.search import GridSearchedTrees, ToleranceBlend
 from pulsegrid.operators.baselines import CALENDAR_BASELINES
 
@@ -20,27 +20,28 @@ Maker = Callable[..., Estimator]
 # Names that predict without fitting.
 UNFITTED = ("naive_last", *CALENDAR_BASELINES)
 
-# Model names and their default settings. Leaf counts 31, 63, 127 become depths 5, 6, 7. Quantile leaves
-# take no penalty, so those models have none.
+# Model names and their default settings. Leaves default to 31, depth to none, rows of a leaf to 20.
 _BOOSTED = {
     "hgb_mae": dict(loss="absolute", rounds=400, step=0.06, weigh=lambda y: band_weight(y, 80, 400, 1.5)),
     "hgb_q80": dict(loss="quantile", tau=0.8, rounds=600, step=0.06, min_leaf=100),
     "hgb_poisson_log1p": dict(loss="poisson", rounds=400, step=0.06, log_target=True),
     "lgbm_q80": dict(
-        loss="quantile", tau=0.8, rounds=1200, step=0.05, depth=6, min_leaf=80, column_share=0.8
+        loss="quantile", tau=0.8, rounds=1200, step=0.05, leaves=63, min_leaf=80, l2=1.0, column_share=0.8
     ),
     "lgbm_poisson_log1p": dict(
-        loss="poisson", rounds=1800, step=0.04, depth=7, min_leaf=40, l2=1.0, column_share=0.8, log_target=True
+        loss="poisson", rounds=1800, step=0.04, leaves=127, min_leaf=40, l2=1.0, column_share=0.8, log_target=True
     ),
-    "cat_q80": dict(loss="quantile", tau=0.8, rounds=2500, step=0.05, depth=8, min_leaf=1, row_share=0.9),
-    "cat_mae": dict(loss="absolute", rounds=2500, step=0.05, depth=8, min_leaf=1, row_share=0.9),
+    "cat_q80": dict(loss="quantile", tau=0.8, rounds=2500, step=0.05, leaves=None, depth=8, min_leaf=1, l2=7.0, row_share=0.9),
+    "cat_mae": dict(loss="absolute", rounds=2500, step=0.05, leaves=None, depth=8, min_leaf=1, l2=7.0, row_share=0.9),
     "xgb_poisson": dict(
-        loss="poisson", rounds=1500, step=0.05, depth=8, min_leaf=1, l2=1.0, row_share=0.8, column_share=0.8
+        loss="poisson", rounds=1500, step=0.05, leaves=None, depth=8, min_leaf=1, min_curvature=1.0, l2=1.0,
+        row_share=0.8, column_share=0.8,
     ),
     "xgb_huber": dict(
-        loss="pseudo_huber", rounds=2000, step=0.05, depth=8, min_leaf=4, l2=1.0, row_share=0.8, column_share=0.8
+        loss="pseudo_huber", rounds=2000, step=0.05, leaves=None, depth=8, min_leaf=1, min_curvature=4.0, l2=1.0,
+        row_share=0.8, column_share=0.8,
     ),
-}
+}
 # Settings of the blended and two-stage models.
 _PLAIN_MAE = dict(loss="absolute", rounds=400, step=0.06, min_leaf=100)
 
@@ -103,7 +104,7 @@ def _tolerance_blend(seed: int, bases: dict[str, dict] | None = None, **settings
 _MAKERS: dict[str, Maker] = {
     "linreg": _linreg,
     "ridge": lambda seed, **s: RidgeRegression(**{"alpha": 1.0, **s}),
-    "ridge_sgd": lambda seed, **s: RidgeRegression(**{"alpha": 1e-4, "per_row": True, "max_iter": 20, **s}),
+    "ridge_sgd": lambda seed, **s: StochasticRidge(**{"alpha": 1e-4, "max_iter": 20, "seed": seed, **s}),
     "huber": lambda seed, **s: HuberRegression(**s),
     "rf100": _forest(100),
     "rf200": _forest(200),

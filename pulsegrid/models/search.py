@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import Future, ThreadPoolExecutor
 from itertools import product
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,7 +17,7 @@ from pulsegrid.models.boosting import BoostedTrees, BoostedTreesModel
 from pulsegrid.models.composite import Blend, BlendModel
 from pulsegrid.operators.folds import Fold, expanding_folds, time_index
 
-# The default grid, in the order in which combinations are tried. Depth None means no limit.
+# The default grid, in the order in which combinations are tried. Depth None means no limit but 31 leaves.
 DEFAULT_GRID = {
     "learning_rate": [0.04, 0.06, 0.08],
     "max_iter": [400, 600, 800],
@@ -23,10 +25,6 @@ DEFAULT_GRID = {
     "max_depth": [None, 6, 8],
     "max_bins": [255],
 }
-# Trees without a depth limit stop at 31 leaves in the grid's own terms; five levels give 32.
-UNLIMITED_DEPTH = 5
-
-
 def combinations(grid: Mapping[str, Sequence]) -> list[dict]:
     return [dict(zip(grid, values)) for values in product(*grid.values())]
 
@@ -41,8 +39,12 @@ def in_time_order(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> tuple[DataF
 class GridSearchedTrees(Estimator):
     """Quantile boosting with settings chosen by the mean absolute error over expanding folds.
 
-    Combinations that differ only in the number of rounds share one fit per fold: the shorter model is the
-    beginning of the longer one. The first best combination wins; it is then fitted on all rows.
+    Combinations that differ only in the number of rounds share one fit per fold: the shorter model is the beginning of
+    the longer one, and all of them are judged in one pass. Fits with as many bins share the binned rows of a fold.
+    ``workers`` fits run side by side as Spark jobs, each in a scheduler pool of its own (set ``spark.scheduler.mode`` to
+    FAIR to have them share executors evenly). Combinations are decided on in their order, whatever ends first: a fit
+    is started ahead as if nothing were pruned, and one that pruning makes needless is dropped before it starts. So
+    results are those of a search one after the other. The first best combination wins; it is then fitted on all rows.
     """
 
     def __init__(
@@ -53,6 +55,7 @@ class GridSearchedTrees(Estimator):
         prune: bool = True,
         valid_share: float = 0.1,
         patience: int = 30,
+        workers: int = 4,
         layout: Layout = DEFAULT_LAYOUT,
         seed: int = 42,
     ):
@@ -60,17 +63,18 @@ class GridSearchedTrees(Estimator):
         self.grid = dict(grid or DEFAULT_GRID)
         self.folds, self.tau, self.prune = folds, tau, prune
         self.valid_share, self.patience, self.layout, self.seed = valid_share, patience, layout, seed
+        self.workers = max(workers, 1)
         self.results: list[dict] = []
         self.best: dict = {}
+        self.fits = 0
 
     def _trees(self, combo: Mapping, rounds: int) -> BoostedTrees:
-        depth = combo.get("max_depth")
         return BoostedTrees(
             loss="quantile",
             tau=self.tau,
             rounds=rounds,
             step=combo.get("learning_rate", 0.06),
-            depth=UNLIMITED_DEPTH if depth is None else depth,
+            depth=combo.get("max_depth"),
             bins=combo.get("max_bins", 255),
             min_leaf=combo.get("min_samples_leaf", 100),
             valid_share=self.valid_share,
@@ -81,24 +85,36 @@ class GridSearchedTrees(Estimator):
     def _fit(self, df: DataFrame) -> BoostedTreesModel:
         rows, count = in_time_order(df, self.layout)
         folds = expanding_folds(count, self.folds)
-        longest = max(self.grid.get("max_iter", [600]))
-        fitted: dict[tuple, BoostedTreesModel] = {}
-        best_error = math.inf
-        self.results = []
-        for combo in combinations(self.grid):
-            errors = []
-            for fold in folds:
-                key = (fold.number, *[(k, v) for k, v in combo.items() if k != "max_iter"])
-                if key not in fitted:
-                    fitted[key] = self._trees(combo, longest).fit(rows.where(fold.train()))
-                model = fitted[key].truncated(combo.get("max_iter", longest))
-                errors.append(_absolute_error(model, rows, fold))
-                if self.prune and len(errors) >= 2 and sum(errors) / len(errors) > best_error:
-                    break
-            error = sum(errors) / len(errors)
-            self.results.append({**combo, "cv_mae": error, "n_folds": len(errors)})
-            if error < best_error:
-                best_error, self.best = error, combo
+        wanted = sorted(set(self.grid.get("max_iter", [600])))
+        longest = wanted[-1]
+        combos = combinations(self.grid)
+        prepared = {
+            (fold.number, bins): self._trees({"max_bins": bins}, longest).prepare(rows.where(fold.train()))
+            for fold in folds
+            for bins in set(self.grid.get("max_bins", [255]))
+        }
+
+        def errors_of(combo: Mapping, fold: Fold) -> dict[int, float]:
+            """Error for each number of rounds."""
+            model = self._trees(combo, longest).fit_prepared(prepared[(fold.number, combo.get("max_bins", 255))])
+            return _absolute_errors(model, rows, fold, wanted)
+
+        self.results, best_error = [], math.inf
+        with _Ahead(df.sparkSession, errors_of, combos, folds, self.workers) as ahead:
+            for at, combo in enumerate(combos):
+                errors = []
+                for fold in folds:
+                    errors.append(ahead.result(at, fold)[combo.get("max_iter", longest)])
+                    if self.prune and len(errors) >= 2 and sum(errors) / len(errors) > best_error:
+                        break
+                ahead.done(at)
+                error = sum(errors) / len(errors)
+                self.results.append({**combo, "cv_mae": error, "n_folds": len(errors)})
+                if error < best_error:
+                    best_error, self.best = error, combo
+            self.fits = ahead.started
+        for kept in prepared.values():
+            kept.rows.release()
         return self._trees(self.best, self.best.get("max_iter", longest)).fit(rows)
 
     def result_table(self, spark: SparkSession) -> DataFrame:
@@ -108,9 +124,69 @@ class GridSearchedTrees(Estimator):
         return spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
 
 
-def _absolute_error(model: BoostedTreesModel, rows: DataFrame, fold: Fold) -> float:
-    tested = model.transform(rows.where(fold.test()))
-    return float(tested.agg(F.avg(F.abs(F.col("label") - F.col("yhat")))).first()[0])
+class _Ahead:
+    """Runs fits side by side, in the order in which a search without pruning would ask for them."""
+
+    def __init__(self, spark: SparkSession, run: Callable, combos: list[dict], folds: list[Fold], workers: int):
+        self.combos, self.folds, self.workers = combos, folds, workers
+        self.pool = ThreadPoolExecutor(workers)
+        self.futures: dict[tuple, Future] = {}
+        self.started = 0
+        free = list(range(workers))
+
+        @inheritable_thread_target(spark)
+        def in_pool(combo: Mapping, fold: Fold) -> dict[int, float]:
+            lane = free.pop()
+            try:
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"grid-{lane}")
+                self.started += 1
+                return run(combo, fold)
+            finally:
+                free.append(lane)
+
+        self.run = in_pool
+
+    def __enter__(self) -> _Ahead:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.pool.shutdown(wait=True, cancel_futures=True)
+
+    @staticmethod
+    def _key(combo: Mapping, fold: Fold) -> tuple:
+        return (fold.number, *[(k, v) for k, v in combo.items() if k != "max_iter"])
+
+    def _ask(self, at: int, fold: Fold) -> Future:
+        key = self._key(self.combos[at], fold)
+        if key not in self.futures or self.futures[key].cancelled():
+            self.futures[key] = self.pool.submit(self.run, self.combos[at], fold)
+        return self.futures[key]
+
+    def result(self, at: int, fold: Fold) -> dict[int, float]:
+        wanted = self._ask(at, fold)
+        waiting = sum(not f.done() for f in self.futures.values())
+        for combo, number in product(range(at, len(self.combos)), range(len(self.folds))):
+            if waiting >= 2 * self.workers:
+                break
+            if (combo, number) > (at, fold.number):
+                waiting += not self._ask(combo, self.folds[number]).done()
+        return wanted.result()
+
+    def done(self, at: int) -> None:
+        """Drops fits that no later combination asks for."""
+        later = {self._key(c, fold) for c in self.combos[at + 1 :] for fold in self.folds}
+        for key, future in self.futures.items():
+            if key not in later:
+                future.cancel()
+
+
+def _absolute_errors(model: BoostedTreesModel, rows: DataFrame, fold: Fold, rounds: Sequence[int]) -> dict[int, float]:
+    """Mean absolute error on the fold of the model after each number of rounds, in one pass."""
+    scored = rows.where(fold.test())
+    for n in rounds:
+        scored = model.truncated(n).transform(scored).withColumnRenamed("yhat", f"yhat_{n}")
+    means = [F.avg(F.abs(F.col("label") - F.col(f"yhat_{n}"))) for n in rounds]
+    return dict(zip(rounds, map(float, scored.agg(*means).first())))
 
 
 def blend_accuracies(

@@ -47,7 +47,7 @@ _CELL_SCOPE, _PLACED_SCOPE, _UNPLACED_SCOPE = 0, 1, 2
 
 
 def calendar_statistics(
-    train: DataFrame, how: str, target: str = "steps_t", layout: Layout = DEFAULT_LAYOUT
+    train: DataFrame, how: str | Callable[[Column], Column], target: str = "steps_t", layout: Layout = DEFAULT_LAYOUT
 ) -> DataFrame:
     """Statistic of the target per (dow, hour) and over all rows, in one go: at most 170 rows.
 
@@ -72,7 +72,7 @@ def calendar_table(train: DataFrame, how: str, target: str = "steps_t", layout:
 
 def calendar_forecast(
     df: DataFrame,
-    how: str,
+    how: str | Callable[[Column], Column],
     target: str = "steps_t",
     name: str = "yhat",
     layout: Layout = DEFAULT_LAYOUT,

@@ -54,6 +54,12 @@ class RunResult:
     counts: DataFrame
 
 
+def chosen_inputs(features: DataFrame, settings: RunSettings, layout: Layout) -> list[str]:
+    """Columns the models learn from: all numeric ones but the target, the current value and identifiers."""
+    exclude = (*settings.exclude, *_NOT_FEATURES, *(() if layout.tie_is_input else layout.tie))
+    return numeric_features(features, exclude=exclude)
+
+
 def prepare(
     features: DataFrame, settings: RunSettings, layout: Layout | None = None, hot: HotKeys | None = None
 ) -> tuple[DataFrame, list[str]]:
@@ -63,8 +69,7 @@ def prepare(
     rows = min_samples(features, settings.min_samples_per_user, layout, hot) if settings.min_samples_per_user else features
     rows = split(rows, settings.split_mode, layout, hot, **settings.split)
     rows = rows.where(F.col("split").isNotNull())
-    exclude = (*settings.exclude, *_NOT_FEATURES, *(() if layout.tie_is_input else layout.tie))
-    inputs = numeric_features(rows, exclude=exclude)
+    inputs = chosen_inputs(rows, settings, layout)
     vectors = [c for c in (f"{layout.key}_vec",) if c in rows.columns]
     filled = fill_missing(rows.withColumns({f"_x_{c}": F.col(c) for c in inputs}), [f"_x_{c}" for c in inputs], as_float=True)
     assembler = VectorAssembler(inputCols=[*[f"_x_{c}" for c in inputs], *vectors], outputCol="features")

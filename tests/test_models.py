@@ -61,15 +61,31 @@ def test_penalty_per_row(data, frame):
     assert predict(model, frame) == pytest.approx(ridge_line(*data, 0.5 * len(data[1])), abs=1e-3)
 
 
-def test_huber_solution_has_no_gradient(data, frame):
+def huber_gradient(x, y, model, alpha):
+    r = (y - model.intercept - x @ model.coefficients.toArray()) / model.scale
+    inside = np.abs(r) <= 1.35
+    slope = np.where(inside, 2 * r, 2 * 1.35 * np.sign(r))
+    line = -(x.T @ slope) + 2 * alpha * model.coefficients.toArray()
+    return np.array([*line, slope.sum(), len(y) - (r[inside] ** 2).sum() - 1.35**2 * (~inside).sum()])
+
+
+@pytest.mark.parametrize("alpha", [1e-4, 50.0])
+def test_huber_solution_has_no_gradient(data, frame, alpha):
+    model = registry.make_model("huber", alpha=alpha).fit(frame)
+    assert np.abs(huber_gradient(*data, model, alpha)).max() < 1e-6 * len(data[1])
+
+
+def test_huber_shrugs_off_outliers(data, frame):
     x, y = data
-    model = registry.make_model("huber", alpha=1e-4).fit(frame)
-    w, scale = model.coefficients.toArray(), model.scale
-    r = (y - model.intercept - x @ w) / scale
-    slope = np.where(np.abs(r) <= 1.35, 2 * r, 2 * 1.35 * np.sign(r))
-    gradient = -(x.T @ slope) + 2 * 1e-4 * w
-    assert np.abs(gradient).max() < 0.02 * len(y)
-    assert abs(slope.sum()) < 0.02 * len(y)
+    wild = frame.withColumn("label", F.when(F.col("event_id") % 20 == 0, F.col("label") + 5000).otherwise(F.col("label")))
+    far = np.abs(predict(registry.make_model("huber").fit(wild), frame) - predict(registry.make_model("huber").fit(frame), frame))
+    assert far.max() < 8 < np.abs(predict(registry.make_model("linreg").fit(wild), frame) - y).mean()
+
+
+def test_stochastic_descent_stops_early_and_lowers_the_loss(frame):
+    estimator = registry.make_model("ridge_sgd")
+    estimator.fit(frame)
+    assert len(estimator.losses) < 20 and estimator.losses[-1] < 0.8 * estimator.losses[0]
 
 
 LOSS_SETTINGS = [("squared", 0.5), ("absolute", 0.5), ("quantile", 0.8), ("poisson", 0.5), ("pseudo_huber", 0.5)]
@@ -176,10 +192,19 @@ def test_grid_search(spark, frame):
     assert len(combinations(DEFAULT_GRID)) == 81
 
 
-@pytest.mark.parametrize("name", ["linreg", "huber", "hgb_l2", "hgb_q80", "lgbm_poisson_log1p", "hgb_mae_qblend", "two_stage_hgb"])
+def test_concurrent_search_equals_one_after_the_other(frame):
+    grid = {"learning_rate": [0.5, 0.02, 0.3], "max_iter": [1, 3], "min_samples_leaf": [10, 40]}
+    one, many = (GridSearchedTrees(grid, folds=3, workers=n) for n in (1, 5))
+    first, second = one.fit(frame), many.fit(frame)
+    assert one.results == many.results and one.best == many.best and first.trees == second.trees
+    assert any(r["n_folds"] < 3 for r in one.results)  # pruning has stopped some
+    assert one.fits <= many.fits <= 3 * 3 * 2
+
+
+@pytest.mark.parametrize("name", ["linreg", "huber", "ridge_sgd", "hgb_l2", "hgb_q80", "lgbm_poisson_log1p", "hgb_mae_qblend", "two_stage_hgb"])
 def test_saved_models_predict_the_same(spark, frame, tmp_path, name):
     options = {"hgb_l2": {"maxIter": 2}, "two_stage_hgb": {"rounds": 1, "regressor": {"rounds": 1}}}
-    default = {} if name in ("linreg", "huber") else {"rounds": 1}
+    default = {} if name in ("linreg", "huber", "ridge_sgd") else {"rounds": 1}
     model = registry.make_model(name, **options.get(name, default)).fit(frame)
     save_model(spark, model, str(tmp_path / name))
     again = load_model(spark, str(tmp_path / name))
