@@ -68,6 +68,24 @@ for _name, _how in (("baseline_mean", "mean"), ("baseline_median", "median"), ("
     )(_baseline(_how))
 
 
+# A statistic of one's own: the mean of the least and the greatest value.
+_MIDDLE = "(min(steps_t) + max(steps_t)) / 2"
+
+
+@check(
+    "baseline_own_statistic",
+    f"""WITH {SPLIT_SIGNAL},
+cells AS (SELECT dow, "hour", {_MIDDLE} AS v FROM base WHERE split = 'train' GROUP BY dow, "hour"),
+whole AS (SELECT {_MIDDLE} AS g FROM base WHERE split = 'train')
+SELECT event_id, split, {sql_round('CAST(CAST(coalesce(v, g, 0) AS FLOAT) AS DOUBLE)', 4)} AS yhat
+FROM base LEFT JOIN cells USING (dow, "hour") CROSS JOIN whole""",
+)
+def baseline_own_statistic(spark: SparkSession, sf: str) -> DataFrame:
+    rows = split_signal(spark, sf, lagged=False)
+    found = baselines.calendar_forecast(rows, lambda c: (F.min(c) + F.max(c)) / 2)
+    return found.select("event_id", "split", rounded("yhat", 4).alias("yhat"))
+
+
 # The forecast of cells never seen in train: train covers only the first hours of the day.
 @check(
     "baseline_unseen_cells",

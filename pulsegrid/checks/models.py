@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pulsegrid.checks.common import check, rounded, signal, sql_round
 from pulsegrid.checks.forecasts import SPLIT_SIGNAL, _predict_sql, split_signal
 from pulsegrid.models.registry import make_model
-from pulsegrid.models.search import blend_accuracies
+from pulsegrid.models.search import DEFAULT_GRID, blend_accuracies
 from pulsegrid.operators import baselines, metrics
 from pulsegrid.plans.features import FeatureSettings, build_features
 from pulsegrid.plans.train import RunSettings, prepare
 
-_SMALL_FEATURES = FeatureSettings(user_id_encoding="drop", allow_step_inputs=True, lags=(1, 2), roll_windows=(4, 16))
+# All inputs of the default feature job, without the user numbers.
+_FEATURES = FeatureSettings(user_id_encoding="drop", allow_step_inputs=True)
 _ROUNDS = 3
 
 
@@ -36,7 +37,7 @@ def blend_alpha_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _frame(spark: SparkSession, sf: str) -> DataFrame:
-    features = build_features(signal(spark, sf), _SMALL_FEATURES)
+    features = build_features(signal(spark, sf), _FEATURES)
     return prepare(features, RunSettings("fit", models={}))[0]
 
 
@@ -75,27 +76,48 @@ check("ridge_short_one_input", _ONE_INPUT.replace("{0}", "500 * (SELECT count(*)
 )
 
 
-# Small settings: the fits run on all rows, with few rounds.
+# Reweighted least squares with a scale, step by step: rows beyond 1.35 scales of the line weigh less.
+_HUBER = f"""WITH RECURSIVE {SPLIT_SIGNAL}, xy AS (SELECT event_id, split, coalesce(steps_lag1, 0) AS x, steps_t AS y FROM base),
+train AS (SELECT x, y FROM xy WHERE split = 'train'),
+least AS (SELECT covar_pop(x, y) / var_pop(x) AS a, avg(y) - avg(x) * covar_pop(x, y) / var_pop(x) AS b FROM train),
+steps AS (
+  SELECT 0 AS step, a, b, (SELECT sqrt(avg((y - least.a * x - least.b) ** 2)) FROM train) AS s FROM least
+  UNION ALL
+  SELECT step + 1, a2, (wy - a2 * wx) / w, s2 FROM (
+    SELECT step, w, wx, wy, s2, (wxy - wx * wy / w) / (wxx + 1e-4::DOUBLE * s2 - wx * wx / w) AS a2 FROM (
+      SELECT step, sum(u) AS w, sum(u * x) AS wx, sum(u * y) AS wy, sum(u * x * x) AS wxx, sum(u * x * y) AS wxy,
+             sqrt(sum(CASE WHEN far THEN 0 ELSE r * r END) / (count(*) - 1.8225::DOUBLE * count(*) FILTER (far))) AS s2
+      FROM (
+        SELECT step, x, y, y - a * x - b AS r, abs(y - a * x - b) > 1.35::DOUBLE * s AS far,
+               CASE WHEN abs(y - a * x - b) > 1.35::DOUBLE * s THEN 1.35::DOUBLE * s / abs(y - a * x - b) ELSE 1 END AS u
+        FROM steps, train WHERE step < 80)
+      GROUP BY step)))
+SELECT event_id, split, {sql_round('a * x + b', 3)} AS yhat FROM xy, (SELECT a, b FROM steps WHERE step = 80)"""
+check("huber_one_input", _HUBER)(partial(_one_input, "huber", {}))
+
+
+# The registry's settings but for the number of rounds or trees, and one base of the tolerance blend, whose own is a grid
+# search of 405 fits.
 FITS = {
     "fit_linear": ("linreg", {}),
     "fit_ridge": ("ridge", {}),
     "fit_ridge_short": ("ridge_sgd", {}),
     "fit_huber": ("huber", {}),
-    "fit_forest": ("rf100", {"numTrees": 5, "maxDepth": 5}),
+    "fit_forest": ("rf100", {"numTrees": 5}),
     "fit_boost_l2": ("hgb_l2", {"maxIter": _ROUNDS}),
     "fit_boost_absolute": ("hgb_mae", {"rounds": _ROUNDS}),
     "fit_boost_quantile": ("hgb_q80", {"rounds": _ROUNDS}),
     "fit_boost_poisson": ("hgb_poisson_log1p", {"rounds": _ROUNDS}),
-    "fit_boost_poisson_rate": ("xgb_poisson", {"rounds": _ROUNDS, "depth": 4}),
-    "fit_boost_pseudo_huber": ("xgb_huber", {"rounds": _ROUNDS, "depth": 4}),
-    "fit_boost_row_column_share": ("lgbm_q80", {"rounds": _ROUNDS, "depth": 4}),
-    "fit_boost_deep": ("cat_q80", {"rounds": 1}),
-    "fit_blend": ("hgb_mae_blend", {"rounds": 2}),
-    "fit_quantile_blend": ("hgb_mae_qblend", {"rounds": 2}),
-    "fit_two_stage": ("two_stage_hgb", {"rounds": 2, "regressor": {"rounds": 2}}),
+    "fit_boost_poisson_rate": ("xgb_poisson", {"rounds": _ROUNDS}),
+    "fit_boost_pseudo_huber": ("xgb_huber", {"rounds": _ROUNDS}),
+    "fit_boost_row_column_share": ("lgbm_q80", {"rounds": _ROUNDS}),
+    "fit_boost_deep": ("cat_q80", {"rounds": _ROUNDS}),
+    "fit_blend": ("hgb_mae_blend", {"rounds": _ROUNDS}),
+    "fit_quantile_blend": ("hgb_mae_qblend", {"rounds": _ROUNDS}),
+    "fit_two_stage": ("two_stage_hgb", {"rounds": _ROUNDS, "regressor": {"rounds": _ROUNDS}}),
     "fit_tolerance_blend": (
         "ensemble_tol",
-        {"bases": {"lgbm_poisson_log1p": {"rounds": 2, "depth": 4}, "hgb_q80": {"rounds": 2}}},
+        {"bases": {"lgbm_poisson_log1p": {"rounds": _ROUNDS}, "hgb_q80": {"rounds": _ROUNDS}}},
     ),
 }
 for _name, (_model, _options) in FITS.items():
@@ -104,8 +126,8 @@ for _name, (_model, _options) in FITS.items():
 
 @check("grid_search_quantile")
 def grid_search_quantile(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole default grid on all folds, with a few rounds in place of hundreds."""
     frame = _frame(spark, sf).where(F.col("split") == "train")
-    grid = {"learning_rate": [0.1, 0.3], "max_iter": [1, 2], "min_samples_leaf": [50], "max_depth": [None]}
-    search = make_model("hgb_q80_auto", grid=grid, folds=2)
+    search = make_model("hgb_q80_auto", grid={**DEFAULT_GRID, "max_iter": [1, 2, 3]})
     search.fit(frame)
     return search.result_table(spark)
