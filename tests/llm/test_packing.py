@@ -17,9 +17,7 @@ from texts import make_docs
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 @pytest.fixture(scope="module")
@@ -38,6 +36,20 @@ def test_ids_are_those_of_the_tokenizer(tokenizer, chunked, texts):
     assert [np.frombuffer(b, "<u4").tolist() for b in chunked.encode(texts)] == expected
 
 
+END = "<|endoftext|>"
+
+
+@pytest.mark.parametrize("text", [END, END * 2, f"hello {END} world", f"{END}start", f"end {END}", f"a{END}  b\n{END}\n c", "<|endoftext|", f" {END} {END}  "])
+def test_the_added_token_has_its_id(tokenizer, chunked, text):
+    expected = tokenizer.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(next(chunked.encode([text])), "<u4").tolist() == expected
+    assert (50256 in expected) == (END in text)
+
+
+def test_texts_with_the_added_token_are_packed_by_their_ids(spark, tokenizer):
+    check(make_docs(spark, [f"some words {END} more {i} {END}{END}" for i in range(40)] + [END * 1500, None]), tokenizer)
+
+
 def check(docs, tokenizer):
     rows = P.pack(docs).collect()
     whole = Counter()
