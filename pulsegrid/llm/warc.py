@@ -42,6 +42,7 @@ VERSION = b"WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 REVISIT_BYTES = 100
+MOST_READERS = 1 << 16  # tasks of a reading job
 ARCHIVE_BYTES = 64 << 20  # payload bytes after which a new archive is begun
 SAMPLE_BYTES, SAMPLE_RECORDS = 4 << 20, 2000  # of the first records of a task, to train the dictionary
 DICTIONARY_BYTES = 64 << 10
@@ -293,7 +294,9 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                 if rows:
                     yield pd.DataFrame(rows)
 
-    files = manifest.repartition(F.col("file"))  # a task reads some of the files, each from its start to its end
+    # A task reads some of the files, each from its start to its end. Their number is stated: a manifest is a few bytes a
+    # file, which Spark would put into a single task.
+    files = manifest.repartition(min(max(manifest.count(), 1), MOST_READERS), "file")
     return files.mapInPandas(read, READ_SCHEMA)
 
 

@@ -57,6 +57,17 @@ def test_round_trip_equals_brute_force(spark, sf_dir):
             assert hashlib.sha256(r["payload"]).hexdigest() == r["payload_digest"]
 
 
+def test_many_archives_are_read_by_many_tasks(spark):
+    from pyspark import TaskContext
+
+    pages = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "concat('page ', id) AS html").repartition(40)
+    manifest, folder = W.archive_pages(pages)
+    files = manifest.count()
+    task = F.udf(lambda _: TaskContext.get().partitionId(), "int")
+    used = W.read_archives(manifest, folder).select(task("page_id").alias("t")).distinct().count()
+    assert files >= 4 and used > files / 3
+
+
 def test_empty_table(spark):
     read, _, _ = round_trip(spark.createDataFrame([], PAGES))
     assert read.count() == 0
