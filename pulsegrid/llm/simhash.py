@@ -37,6 +37,7 @@ HASH_SEED = 42
 TILE = 16_384  # fingerprints in a tile
 _ROWS = 128  # rows of a tile compared at a time: the working set stays in the processor's cache
 _SLICE = 1 << 15  # shingles hashed at a time
+_SALTS = 16  # places that the rows of one component or star are dealt to
 
 
 def fingerprint(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
@@ -141,7 +142,11 @@ def tile_links(prints: DataFrame, distance: int = DISTANCE, tile: int = TILE) ->
     work = (
         pairs.join(tiles, ["_ones", "_tile"])
         .join(second, ["_ones2", "_tile2"])
-        .select("_prints", F.when(~same, F.col("_prints2")).alias("_prints2"), F.rand(1).alias("_spread"))
+        # Dealt by the numbers of the pair, not by chance: a stage that runs again deals every pair as before.
+        .select(
+            "_prints", F.when(~same, F.col("_prints2")).alias("_prints2"),
+            F.xxhash64("_ones", "_tile", "_ones2", "_tile2").alias("_spread"),
+        )
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, "_spread")
     )
 
@@ -156,20 +161,28 @@ def tile_links(prints: DataFrame, distance: int = DISTANCE, tile: int = TILE) ->
     return work.mapInPandas(compare, "u long, v long")
 
 
+def _join_value(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Joins one row per key to rows of which a key may have any share: each key's rows are dealt to ``_SALTS`` places."""
+    salt = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(_SALTS)).cast("int")
+    copies = F.explode(F.array(*[F.lit(i) for i in range(_SALTS)]))
+    return rows.withColumn("_salt", salt).join(values.withColumn("_salt", copies), [key, "_salt"]).drop("_salt")
+
+
 def connect(links: DataFrame) -> DataFrame:
     """(node, root) for every linked node that is not its group's smallest, by alternating star steps.
 
-    Minima are combined before the exchange and joined back, so a node with very many neighbours is not gathered.
+    Minima are combined before the exchange and joined back, the neighbours of a node dealt to several places, so a node
+    with very many of them is not gathered.
     """
     edges = freeze(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     seen = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = _join_value(both.where("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = freeze(large.distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        small = _join_value(large, least, "u")
         edges = freeze(
             small.where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(least.select("u", F.col("m").alias("v"))).distinct()
@@ -188,7 +201,7 @@ def components(marked: DataFrame, key: str, distance: int = DISTANCE, tile: int
         "print", "_least", F.coalesce("root", "print").alias("root")
     )
     least = labelled.groupBy("root").agg(F.min("_least").alias("component_id"))
-    return labelled.drop("_least").join(least, "root")
+    return _join_value(labelled.drop("_least"), least, "root")
 
 
 def groups(

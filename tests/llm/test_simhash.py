@@ -119,3 +119,12 @@ def test_one_document_of_each_group_stays(spark, edge_docs, sample_docs, clashin
     least = brute_groups(prints)
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted({least[p] for p in least}, key=str)
     assert S.drop_near_copies(no_docs).count() == 0 and S.groups(no_docs).count() == 0
+
+
+def test_a_large_component_is_dealt_to_many_places(spark):
+    """Neighbours of one node meet its minimum in several places, and the result is that of a plain join."""
+    rows = spark.range(3000).selectExpr("0L AS u", "id AS v").unionByName(spark.range(5).selectExpr("id + 1 AS u", "id AS v"))
+    values = spark.range(4).selectExpr("id AS u", "id * 10 AS m")
+    found = S._join_value(rows, values, "u")
+    assert sorted(map(tuple, found.select("u", "v", "m").collect())) == sorted(map(tuple, rows.join(values, "u").select("u", "v", "m").collect()))
+    assert "pmod" in found._jdf.queryExecution().optimizedPlan().toString()
