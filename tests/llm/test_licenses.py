@@ -64,3 +64,14 @@ def test_empty_table_and_long_notice(no_docs, edge_docs):
     except ValueError:
         return
     raise AssertionError("a notice longer than a stride must be refused")
+
+
+def test_only_latin_capitals_are_lowered(spark):
+    """The Kelvin sign and the dotted capital I are letters of their own and not k and i."""
+    from pyspark.sql import functions as F
+
+    texts = ["MIT License", "MİT License", "KEEP THE KÉÈP", "ÉTÉ GNU General Public License"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = [r[0] for r in df.select(L.words_column(F.col("text"))).collect()]
+    assert found[0] == ["mit", "license"] and found[1] == ["mİt", "license"]
+    assert found[2][0] == "Keep" and found[3][1:] == ["gnu", "general", "public", "license"]
