@@ -3,23 +3,24 @@
 A text is a run of tokens: its lower-cased words and one end. Frequent tokens are written in a Huffman code, all
 others as an escape. Every turn of the code is a binary decision, predicted from several hashed contexts (the node
 alone, the word before, the two words before, the last frequent word); the predictions are mixed as log odds by gated
-weights that learn from every decision of the text as they go, and the result is refined by an adaptive table. An
-escaped token is priced by its training count or, if it was never met, letter by letter. The sum of the logs is the
-score; ``bits_per_byte`` divides it by the text's bytes.
+weights that learn from every token of the text as they go, once for all decisions of the token, and the result is
+refined by an adaptive table. An escaped token is priced by its training count or, if it was never met, letter by
+letter. The sum of the logs is the score; ``bits_per_byte`` divides it by the text's bytes.
 
-Jobs. (1) Texts become blocks of at most ``BLOCK_TOKENS`` tokens: local word numbers and the block's distinct words,
-stored once. (2) Each block sends its distinct word hashes and their training counts to shards by hash; a shard adds
-them up over all blocks and sends each block its totals back. (3) Training blocks count the decisions per context
-slot; the tables, whose size is fixed, are added up in two steps. (4) Each block meets its totals and is scored.
-Everything counts all training texts. What is exchanged is the words of each block once, not of each text, so a
-frequent word costs a row entry per block; shards are balanced by hash.
+Jobs. (1) Texts are ordered by length, so that those of like length lie side by side, and become blocks of about
+``BLOCK_TOKENS`` tokens: local word numbers and the block's distinct words, stored once. A text is never parted, so
+its score does not depend on what else is in its block. (2) Each block lists its distinct words with their training
+counts; Spark adds them up by word. (3) Training blocks count the decisions per context slot; the tables, whose size is
+fixed, are added up in two steps. (4) The totals of words that are not frequent are joined back to the blocks that hold
+them, and each block is scored. Everything counts all training texts. What is exchanged is the words of each block once,
+not of each text; frequent words, which lie in all blocks, are known to all and take no part in the join.
 
-Bounded on the driver: the ``VOCABULARY`` most frequent tokens, the context tables (fixed size), one row per shard.
+Bounded on the driver: the ``VOCABULARY`` most frequent tokens and the context tables (fixed size).
 
 Defined results: a null or empty text is its end alone. Repeated rows have scores of their own. A text longer than a
-block continues in the next block, where contexts begin anew; sums are over the whole text. Without training texts
-N and V are 0 and the scores come from the untrained model. An empty table gives an empty table. Words are told apart
-by 64-bit hashes. Only the named columns are read, so other columns cannot clash.
+block is a block of its own, whole. Without training texts
+N and V are 0 and the scores come from the untrained model. An empty table gives an empty table. Contexts tell words apart
+by 64-bit hashes, counts by the words themselves. Only the named columns are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -34,15 +35,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.llm import mixer
 from pulsegrid.llm.common import held_out, llm_query, table
-from pulsegrid.session import freeze, scratch_path
+from pulsegrid.session import freeze
 
 FOLDS = 10
 VOCABULARY = 8192
 BLOCK_TOKENS = 1 << 18
-BLOCK_WORDS = (1 << 16) - 2  # distinct words of a block, at most: their numbers take two bytes
+BLOCK_WORDS = (1 << 16) - 1  # a block with more distinct words takes no further text; up to here numbers take two bytes
 SPELL_ORDERS, SPELL_SLOTS, SPELL_BACKOFF = 3, 1 << 12, 8.0
 NOVEL = (0.01, 0.9)  # bounds on the share of escapes given to words never met in training
-_END = np.uint64(0)  # hash that stands for the end token; words' hashes are odd
 
 
 def word_hash(word: bytes) -> int:
@@ -58,119 +58,86 @@ class _Numbers(dict):
 
 
 _BLOCK = (
-    "block long, marks array<long>, keys array<string>, held array<boolean>, counts array<long>, ids binary, words binary, train binary"
+    "block long, keys array<string>, held array<boolean>, counts array<long>, ids binary, words binary, train binary"
 )
 
 
 def _cut_blocks(block_tokens: int):
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Blocks of texts: per text its mark, fold and number of tokens, and all tokens as local numbers."""
+        """Blocks of texts: per text its key, fold and number of tokens, and all tokens as local numbers."""
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        known, marks, keys, held, counts, parts, size = _Numbers(), [], [], [], [], [], 0
+        known, keys, held, parts = _Numbers(), [], [], []
 
         def block() -> pd.DataFrame:
-            ids = np.concatenate(parts)
+            ids, counts = np.concatenate(parts), np.array(list(map(len, parts)))
             learned = np.repeat(~np.array(held), counts)
             train = np.bincount(ids[learned], minlength=len(known) + 1).astype("<u4")
             return pd.DataFrame(
                 {
-                    "block": [number], "marks": [marks], "keys": [keys], "held": [held], "counts": [counts],
-                    "ids": [ids.tobytes()], "words": [b"\n".join(known)], "train": [train.tobytes()],
+                    "block": [number], "keys": [keys], "held": [held], "counts": [counts.tolist()],
+                    "ids": [ids.astype("<u2" if len(known) <= BLOCK_WORDS else "<u4").tobytes()],
+                    "words": [b"\n".join(known)], "train": [train.tobytes()],
                 }
             )
 
+        size = 0
         for batch in batches:
-            for mark, key, fold, text in zip(batch["mark"], batch["key"], batch["held"], batch["text"]):
+            for key, fold, text in zip(batch["key"], batch["held"], batch["text"]):
                 # Bytes methods treat ASCII alone: lower() changes A-Z, split() parts at 09-0D and 20.
                 words = text.encode("utf-8").lower().split()
-                at = 0
-                while True:
-                    room = min(block_tokens - size, BLOCK_WORDS - len(known))
-                    piece = words[at : at + room]
-                    ends = at + len(piece) == len(words) and len(piece) < room
-                    ids = np.fromiter(map(known.__getitem__, piece), dtype="<u2", count=len(piece))
-                    parts.append(np.append(ids, np.uint16(0)) if ends else ids)
-                    marks.append(mark)
-                    keys.append(key)
-                    held.append(bool(fold))
-                    counts.append(len(piece) + ends)
-                    size += len(piece) + ends
-                    at += len(piece)
-                    if size >= block_tokens or len(known) >= BLOCK_WORDS:
-                        yield block()
-                        number += 1
-                        known, marks, keys, held, counts, parts, size = _Numbers(), [], [], [], [], [], 0
-                    if ends:
-                        break
+                if parts and (size + len(words) >= block_tokens or len(known) >= BLOCK_WORDS):
+                    yield block()
+                    number += 1
+                    known, keys, held, parts, size = _Numbers(), [], [], [], 0
+                ids = np.fromiter(map(known.__getitem__, words), dtype=np.uint32, count=len(words))
+                parts.append(np.append(ids, np.uint32(0)))
+                keys.append(key)
+                held.append(bool(fold))
+                size += len(words) + 1
         if parts:
             yield block()
 
     return cut
 
 
+def _ids(row, tokens: int) -> np.ndarray:
+    """Local word numbers of a block's tokens."""
+    return np.frombuffer(row.ids, dtype="<u2" if len(row.ids) == 2 * tokens else "<u4")
+
+
 def _local_hashes(words: bytes) -> np.ndarray:
     found = words.split(b"\n") if words else []
     return np.fromiter((0, *map(word_hash, found)), dtype=np.uint64, count=len(found) + 1)
 
 
-def _share_out(shards: int):
-    def share_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(shard, block, hashes, counts) of every block's distinct words."""
-        for batch in batches:
-            for block, words, train in zip(batch["block"], batch["words"], batch["train"]):
-                hashes, counts = _local_hashes(words), np.frombuffer(train, dtype="<u4")
-                shard = ((hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-                rows = [order[a:b] for a, b in zip(cuts, cuts[1:])]
-                yield pd.DataFrame(
-                    {
-                        "shard": np.arange(shards),
-                        "block": block,
-                        "hashes": [hashes[r].tobytes() for r in rows],
-                        "counts": [counts[r].tobytes() for r in rows],
-                    }
-                )
-
-    return share_out
-
+def _local_words(words: bytes) -> list[bytes]:
+    """A block's distinct words by local number; the end, number 0, is the empty word."""
+    return [b"", *(words.split(b"\n") if words else [])]
 
-_TOTALS = (
-    "shard long, block long, totals binary, tokens long, distinct long, single long, top_hashes binary,"
-    " top_counts binary, levels array<int>, level_words array<long>"
-)
 
+def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(word, training count) of every block's distinct words that are trained on."""
+    for batch in batches:
+        for words, train in zip(batch["words"], batch["train"]):
+            counts = np.frombuffer(train, dtype="<u4").astype(np.int64)
+            met = np.flatnonzero(counts)
+            own = _local_words(words)
+            yield pd.DataFrame({"word": [own[i] for i in met.tolist()], "count": counts[met]})
 
-def _level(counts: np.ndarray) -> np.ndarray:
-    """Which of a fixed number of ranges a count lies in, eight for each power of two."""
-    return np.floor(8 * np.log2(counts)).astype(np.int32)
 
+def _rare_words(model_of):
+    def rare_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """(word, block, place in the block) of every block's words that are not frequent."""
+        model = model_of.value
+        for batch in batches:
+            for block, words in zip(batch["block"], batch["words"]):
+                rare = np.flatnonzero(model.symbols(_local_hashes(words)) == len(model.vocabulary))
+                own = _local_words(words)
+                yield pd.DataFrame({"word": [own[i] for i in rare.tolist()], "block": block, "at": rare})
 
-def _add_up(group: pd.DataFrame) -> pd.DataFrame:
-    """Totals of a shard's words, for each block in the block's order, and one row of sums and frequent words."""
-    hashes = [np.frombuffer(b, dtype=np.uint64) for b in group["hashes"]]
-    counts = np.concatenate([np.frombuffer(b, dtype="<u4") for b in group["counts"]])
-    words, place = np.unique(np.concatenate(hashes), return_inverse=True)
-    totals = np.bincount(place, weights=counts, minlength=len(words)).astype(np.int64)
-    ends = np.cumsum([len(h) for h in hashes])
-    shard = int(group["shard"].iloc[0])
-    back = pd.DataFrame(
-        {"shard": shard, "block": group["block"], "totals": [totals[place[a:b]].tobytes() for a, b in zip(ends - [len(h) for h in hashes], ends)]}
-    )
-    back["levels"] = back["level_words"] = [[] for _ in range(len(back))]
-    top = np.lexsort((words, -totals))[:VOCABULARY]
-    top = top[totals[top] > 0]
-    levels, level_words = np.unique(_level(totals[top]), return_counts=True)
-    sums = {
-        "shard": [shard], "block": [-1], "tokens": [int(totals.sum())], "distinct": [int((totals > 0).sum())],
-        "single": [int((totals == 1).sum())],
-        "top_hashes": [words[top].tobytes()], "top_counts": [totals[top].tobytes()],
-        "levels": [levels.tolist()], "level_words": [level_words.tolist()],
-    }
-    whole = pd.concat((back, pd.DataFrame(sums)), ignore_index=True)
-    return whole.astype({"tokens": "Int64", "distinct": "Int64", "single": "Int64"})
+    return rare_words
 
 
 @dataclass
@@ -180,6 +147,7 @@ class LanguageModel:
     tokens: int
     distinct: int
     vocabulary: np.ndarray  # hashes of the frequent tokens, most frequent first
+    counts: np.ndarray  # and their training counts
     code: mixer.Code | None  # of the frequent tokens and the escape, which is last
     rare_tokens: int
     novel: float  # share of escapes given to words never met: that of words met once among the rare
@@ -230,8 +198,8 @@ def spell(words: list[bytes], counts: np.ndarray) -> np.ndarray:
 
 def _runs(row, hashes: np.ndarray, symbols: np.ndarray, kept: np.ndarray | None = None):
     """Symbols, hashes and text starts of a block's tokens, of the kept texts only if given."""
-    ids = np.frombuffer(row.ids, dtype="<u2")
     counts = np.asarray(row.counts, dtype=np.int64)
+    ids = _ids(row, int(counts.sum()))
     first = np.zeros(len(ids), dtype=bool)
     begins = np.cumsum(counts) - counts
     first[begins[counts > 0]] = True
@@ -241,10 +209,13 @@ def _runs(row, hashes: np.ndarray, symbols: np.ndarray, kept: np.ndarray | None
     return symbols[ids], hashes[ids], first
 
 
-def _table_rows(tables: list[np.ndarray], spelling: np.ndarray, salt: int) -> pd.DataFrame:
+_SPELLING = 1 + mixer.CONTEXTS  # number of the letter counts among the tables
+
+
+def _table_rows(tables: dict[int, np.ndarray], salt: int) -> pd.DataFrame:
     """The tables of a task, cut into rows of fixed size."""
     rows = []
-    for k, counts in enumerate([*tables, spelling]):
+    for k, counts in tables.items():
         for chunk, at in enumerate(range(0, len(counts), 1 << 15)):
             part = counts[at : at + (1 << 15)]
             if part.any():
@@ -262,14 +233,29 @@ def _sum_rows(group: pd.DataFrame) -> pd.DataFrame:
     return row
 
 
-def _count_tables(blocks: DataFrame, model: LanguageModel, salts: int) -> list[np.ndarray]:
-    """Decision counts of all training texts, and letter counts of their words."""
+def _letters(salts: int):
+    def letters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Letter counts of the distinct words of training."""
+        from pyspark import TaskContext
+
+        spelling = np.zeros(SPELL_ORDERS * SPELL_SLOTS * 256, dtype=np.int64)
+        for batch in batches:
+            words = [w for w in batch["word"] if w]
+            for at in range(0, len(words), 1 << 14):
+                spelling += count_letters(words[at : at + (1 << 14)])
+        yield _table_rows({_SPELLING: spelling}, TaskContext.get().partitionId() % salts)
+
+    return letters
+
+
+def _count_tables(blocks: DataFrame, totals: DataFrame, model: LanguageModel, salts: int) -> list[np.ndarray]:
+    """Decision counts of all training texts, and letter counts of their words, each word once."""
     shared = blocks.sparkSession.sparkContext.broadcast(model)
     nodes = len(model.vocabulary)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        tables, spelling, salt = None, np.zeros(SPELL_ORDERS * SPELL_SLOTS * 256, dtype=np.int64), 0
+        tables, salt = None, 0
         for batch in batches:
             for row in batch.itertuples(index=False):
                 hashes = _local_hashes(row.words)
@@ -279,13 +265,10 @@ def _count_tables(blocks: DataFrame, model: LanguageModel, salts: int) -> list[n
                 if len(token) and nodes:
                     found = mixer.count_bits(mixer.decisions(token, word, first, own.code), nodes)
                     tables = found if tables is None else [a + b for a, b in zip(tables, found)]
-                learned = np.frombuffer(row.train, dtype="<u4")[1:] > 0
-                words = [w for w, k in zip(row.words.split(b"\n"), learned) if k] if row.words else []
-                if words:
-                    spelling += count_letters(words)
-        yield _table_rows(tables or [spelling[:0]] * (1 + mixer.CONTEXTS), spelling, salt)
+        yield _table_rows(dict(enumerate(tables or [])), salt)
 
-    parts = blocks.select("block", "held", "counts", "ids", "words", "train").mapInPandas(count, _CHUNK)
+    parts = blocks.select("block", "held", "counts", "ids", "words").mapInPandas(count, _CHUNK)
+    parts = parts.unionByName(totals.select("word").mapInPandas(_letters(salts), _CHUNK))
     once = parts.groupBy("number", "chunk", "salt").applyInPandas(_sum_rows, _CHUNK)
     summed = once.groupBy("number", "chunk").applyInPandas(_sum_rows, _CHUNK)
     sizes = [2 * max(nodes, 1)] + [2 << mixer.SLOT_BITS] * mixer.CONTEXTS + [SPELL_ORDERS * SPELL_SLOTS * 256]
@@ -297,7 +280,7 @@ def _count_tables(blocks: DataFrame, model: LanguageModel, salts: int) -> list[n
     return tables
 
 
-_SCORES = "mark long, key string, held boolean, n_tokens long, n_known long, base_score double, score double, bytes long"
+_SCORES = "key string, held boolean, n_tokens long, n_known long, base_score double, score double, bytes long"
 
 
 def _score_blocks(model_of):
@@ -309,15 +292,12 @@ def _score_blocks(model_of):
             for row in batch.itertuples(index=False):
                 hashes = _local_hashes(row.words)
                 symbols = model.symbols(hashes)
-                totals = np.zeros(len(hashes), dtype=np.int64)
-                shards = len(row.shards)
-                shard = ((hashes >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                ranked = [np.frombuffer(t["totals"], dtype=np.int64) for t in sorted(row.shards, key=lambda t: t["shard"])]
-                totals[order] = np.concatenate(ranked)
+                totals = np.append(model.counts, 0)[symbols]
+                if row.at is not None:
+                    totals[np.asarray(row.at)] = np.asarray(row.totals)
                 base = np.log10((totals + 0.1) / (n + 0.1 * (v + 1)))
-                ids = np.frombuffer(row.ids, dtype="<u2")
                 counts = np.asarray(row.counts, dtype=np.int64)
+                ids = _ids(row, int(counts.sum()))
                 text = np.repeat(np.arange(len(counts)), counts)
                 # Price of the escaped words: by their count, or by their letters if never met.
                 rare = max(model.rare_tokens, 1)
@@ -326,7 +306,7 @@ def _score_blocks(model_of):
                 met = escaped & (totals > 0)
                 price[met] = np.log((1 - model.novel) * np.minimum(totals[met], rare) / rare)
                 new = np.flatnonzero(escaped & (totals == 0))
-                words = [b""] + (row.words.split(b"\n") if row.words else [])
+                words = _local_words(row.words)
                 price[new] = np.log(model.novel) + spell([words[i] for i in new], model.spelling)
                 logs = price[ids]
                 if model.code is not None:
@@ -336,7 +316,6 @@ def _score_blocks(model_of):
                 size = len(counts)
                 yield pd.DataFrame(
                     {
-                        "mark": row.marks,
                         "key": row.keys,
                         "held": row.held,
                         "n_tokens": counts,
@@ -359,65 +338,45 @@ def score_texts(
     the model's probability) and ``bits_per_byte`` (words and one byte after each).
     """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[key].dataType
-    # The running number tells repeated rows apart; it is stored in the blocks, with the key, and not computed again.
+    # The running number parts texts of one length, however many there are.
     marked = docs.select(
         F.monotonically_increasing_id().alias("mark"), F.col(key).cast("string").alias("key"),
         held_out(F.col(key), folds).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    folder = scratch_path(spark, "blocks")
-    marked.mapInPandas(_cut_blocks(block_tokens), _BLOCK).write.option("compression", "zstd").parquet(folder)
-    blocks = spark.read.parquet(folder)
-
-    sent = blocks.select("block", "words", "train").mapInPandas(
-        _share_out(shards), "shard long, block long, hashes binary, counts binary"
-    )
-    totals = freeze(sent.repartition(shards, "shard").groupBy("shard").applyInPandas(_add_up, _TOTALS))
-    sums = totals.where("block = -1")
-    n, v, single = (x or 0 for x in sums.agg(F.sum("tokens"), F.sum("distinct"), F.sum("single")).first())
-    # The level that the last of the frequent words has; shards send what lies on it or above.
-    by_level = sums.select(F.explode(F.arrays_zip("levels", "level_words")).alias("l")).groupBy("l.levels")
-    found, least = 0, 0
-    for row in sorted(by_level.agg(F.sum("l.level_words").alias("words")).collect(), reverse=True):
-        found, least = found + row["words"], row["levels"]
-        if found >= VOCABULARY:
-            break
-    pairs = sums.mapInPandas(_top_pairs(least), "hash long, count long")
-    top = pairs.orderBy(F.desc("count"), "hash").limit(VOCABULARY).collect()
-    hashes = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
+    ranged = marked.withColumn("size", F.length("text")).repartitionByRange("size", "mark")
+    cut = ranged.sortWithinPartitions("size", "mark").drop("size", "mark").mapInPandas(_cut_blocks(block_tokens), _BLOCK)
+    blocks = freeze(cut, compression="zstd")
+
+    listed = blocks.select("words", "train").mapInPandas(_word_counts, "word binary, count long")
+    totals = freeze(listed.groupBy("word").agg(F.sum("count").alias("count")))
+    single = F.sum((F.col("count") == 1).cast("long"))
+    n, v, single = (x or 0 for x in totals.agg(F.sum("count"), F.count(F.lit(1)), single).first())
+    top = totals.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
+    hashes = np.array([word_hash(bytes(r["word"])) if r["word"] else 0 for r in top], dtype=np.uint64)
     counts = np.array([r["count"] for r in top], dtype=np.int64)
     rare = int(n - counts.sum())
     novel = min(max(single / max(rare, 1), NOVEL[0]), NOVEL[1])
     code = mixer.huffman(np.append(counts, max(rare, 1))) if len(top) else None
-    model = LanguageModel(n, v, hashes, code, rare, novel, [], np.zeros(0))
+    model = LanguageModel(n, v, hashes, counts, code, rare, novel, [], np.zeros(0))
     salts = max(1, int(blocks.count() ** 0.5))
-    *tables, spelling = _count_tables(blocks, model, salts)
+    *tables, spelling = _count_tables(blocks, totals, model, salts)
     model.tables, model.spelling = tables, spelling.astype(np.float64)
 
-    returned = totals.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("shard", "totals")).alias("shards"))
-    work = blocks.drop("train").join(returned, "block")
-    parts = work.mapInPandas(_score_blocks(spark.sparkContext.broadcast(model)), _SCORES)
-    sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score", "bytes")]
-    scores = parts.groupBy("mark").agg(F.first("key").alias("key"), F.first("held").alias("held"), *sums)
-    return scores.select(
+    shared = spark.sparkContext.broadcast(model)
+    rare = blocks.select("block", "words").mapInPandas(_rare_words(shared), "word binary, block long, at long")
+    returned = rare.join(totals, "word").groupBy("block").agg(
+        F.collect_list("at").alias("at"), F.collect_list("count").alias("totals")
+    )  # the distinct words of a block
+    work = blocks.drop("train").join(returned, "block", "left")
+    parts = work.mapInPandas(_score_blocks(shared), _SCORES)
+    return parts.select(
         F.col("key").cast(kind).alias(key), F.col("held").alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
         (-F.col("score") / F.log10(F.lit(2.0)) / F.col("bytes")).alias("bits_per_byte"),
     )
 
 
-def _top_pairs(least: int):
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for hashes, counts in zip(batch["top_hashes"], batch["top_counts"]):
-                hashes, counts = np.frombuffer(hashes, np.int64), np.frombuffer(counts, np.int64)
-                high = _level(counts) >= least
-                yield pd.DataFrame({"hash": hashes[high], "count": counts[high]})
-
-    return pairs
-
-
 @llm_query("op7_context_mixing")
 def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document."""

@@ -129,62 +129,72 @@ class Predictors:
         return said
 
 
-def mix_bits(said: np.ndarray, bits: Bits, starts: np.ndarray, weights=FIRST_WEIGHTS) -> np.ndarray:
+def mix_tokens(said: np.ndarray, bits: Bits, starts: np.ndarray, weights=FIRST_WEIGHTS) -> np.ndarray:
     """Natural log of the probability of every decision.
 
-    Streams begin at ``starts`` and are handled side by side, a decision of each at a time. A stream's mixer has a set
-    of weights for each gate (how deep in the code the decision is) and learns from each decision after predicting
-    it. Its output is refined by a table of the outcomes seen at that output, which learns in the same way.
+    ``starts`` are the first tokens of the streams, which are handled side by side, a token of each at a time. A stream's
+    mixer has a set of weights for each gate (how deep in the code a decision is). It predicts all decisions of a
+    token and then learns from all of them at once. Its output is refined by a table of the outcomes seen at that
+    output, which learns in the same way.
     """
-    lengths = np.diff(np.concatenate((starts, [len(bits.bit)])))
+    tokens = len(bits.first) - 1
+    lengths = np.diff(np.append(starts, tokens))
     order = np.argsort(-lengths, kind="stable")
     starts, lengths = starts[order], lengths[order]
     n = len(starts)
-    # Decisions step by step: those of all streams that have a first one, then a second one, and so on.
+    # Tokens step by step: those of all streams that have a first one, then a second one, and so on.
     active = np.searchsorted(-lengths, -np.arange(lengths[0] if n else 0), side="left")
     ends = np.cumsum(active)
-    stream = np.arange(len(said)) - np.repeat(ends - active, active)
-    place = starts[stream] + np.repeat(np.arange(len(active)), active)
+    stream = np.arange(tokens) - np.repeat(ends - active, active)
+    token = starts[stream] + np.repeat(np.arange(len(active)), active)
+    sizes = np.diff(bits.first)[token]
+    upto = np.cumsum(sizes)
+    place = np.repeat(bits.first[token] - upto + sizes, sizes) + np.arange(len(said))
     x, y = said[place], bits.bit[place].astype(np.float32)
-    sets = stream * GATES + bits.gate[place]
+    own_stream = np.repeat(stream, sizes)
+    sets = own_stream * GATES + bits.gate[place]
+    step_ends = upto[ends - 1] if len(ends) else ends
+    step_starts = np.append(0, step_ends[:-1])
+    # Decisions of a token that share a set of weights lie next to each other; their sums go to the set together.
+    new = np.empty(len(said), dtype=bool)
+    new[1:] = sets[1:] != sets[:-1]
+    new[step_starts] = True
+    runs = np.flatnonzero(new)
+    run_ends = np.searchsorted(runs, step_ends)
+    run_starts = np.append(0, run_ends[:-1])
+    run_sets = sets[runs]
     w = np.tile(np.asarray(weights, dtype=np.float32), (n * GATES, 1))
     middle = np.float32((BINS - 1) / 2)
     table = np.tile(1 / (1 + np.exp(-(np.arange(BINS, dtype=np.float32) - middle) * np.float32(_BIN_WIDTH))), n)
-    first_cell = np.arange(n) * BINS
+    first_cell = own_stream * BINS
     mixed, refined = np.empty(len(y), dtype=np.float32), np.empty(len(y), dtype=np.float32)
     rate, slow = np.float32(RATE), np.float32(REFINE_RATE)
-    for begin, end in zip((ends - active).tolist(), ends.tolist()):
-        now, here, own_set = x[begin:end], y[begin:end], sets[begin:end]
-        own = w.take(own_set, axis=0)
-        z = np.einsum("ij,ij->i", own, now)
+    steps = zip(step_starts.tolist(), step_ends.tolist(), run_starts.tolist(), run_ends.tolist(), (active * BINS).tolist())
+    for begin, end, run, run_end, cells in steps:
+        now, here = x[begin:end], y[begin:end]
+        z = np.einsum("ij,ij->i", w.take(sets[begin:end], axis=0), now)
         np.clip(z, -9, 9, out=z)
         p = mixed[begin:end]
         np.negative(z, out=p)
         np.exp(p, out=p)
         p += 1
         np.reciprocal(p, out=p)
-        own += (rate * (here - p))[:, None] * now
-        w[own_set] = own
+        w[run_sets[run:run_end]] += np.add.reduceat((rate * (here - p))[:, None] * now, runs[run:run_end] - begin, axis=0)
         z *= np.float32(1 / _BIN_WIDTH)
         z += middle + np.float32(0.5)  # within 0 and BINS, as z is bounded
         cell = z.astype(np.int64)
-        cell += first_cell[: end - begin]
+        cell += first_cell[begin:end]
         seen = table.take(cell)
         refined[begin:end] = seen
-        table[cell] = seen + slow * (here - seen)
+        table[:cells] += slow * np.bincount(cell, here - seen, minlength=cells).astype(np.float32)
     p = np.clip(0.75 * mixed + 0.25 * refined, _EDGE, 1 - _EDGE)
     result = np.empty(len(y), dtype=np.float32)
     result[place] = np.log(np.where(y > 0, p, 1 - p))
     return result
 
 
-def stream_starts(bits: Bits, first: np.ndarray) -> np.ndarray:
-    """First decision of each stream: a text, or what the block has of it, is one stream."""
-    return bits.first[np.flatnonzero(first)]
-
-
 def token_logs(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, code: Code, predictors: Predictors) -> np.ndarray:
-    """Natural log of the probability of every token's symbol."""
+    """Natural log of the probability of every token's symbol; each text is a stream."""
     bits = decisions(symbols, hashes, first, code)
-    logs = mix_bits(predictors.said(bits), bits, stream_starts(bits, first)).astype(np.float64)
+    logs = mix_tokens(predictors.said(bits), bits, np.flatnonzero(first)).astype(np.float64)
     return np.add.reduceat(logs, bits.first[:-1])

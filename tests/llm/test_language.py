@@ -132,16 +132,70 @@ def test_spelling_is_a_probability_of_words():
     assert len(L.spell([], counts)) == 0
 
 
-def test_the_mixer_learns_through_a_whole_text():
+def plain_mixer(symbols, hashes, code, tables):
+    """Natural log of every token's probability, one decision at a time in plain numbers; the text is one stream."""
+    pairs = [t.reshape(-1, 2).astype(float) for t in tables]
+    weights = [list(M.FIRST_WEIGHTS) for _ in range(M.GATES)]
+    middle = (M.BINS - 1) / 2
+    table = [1 / (1 + math.exp(-(i - middle) * M._BIN_WIDTH)) for i in range(M.BINS)]
+    bits = M.decisions(symbols, hashes, np.arange(len(symbols)) == 0, code)
+    clip = lambda p: min(max(p, M._EDGE), 1 - M._EDGE)
+    odds = lambda p: math.log(clip(p) / (1 - clip(p)))
+    logs = []
+    for t in range(len(symbols)):
+        total, learned, refined = 0.0, [], []
+        for d in range(bits.first[t], bits.first[t + 1]):
+            zero, one = pairs[0][bits.node[d]]
+            base = (one + 0.5) / (zero + one + 1)
+            x = [odds(base)]
+            for k, slots in enumerate(bits.slots):
+                zero, one = pairs[k + 1][slots[d]]
+                x.append(odds((one + M.BACKOFF[k] * base) / (zero + one + M.BACKOFF[k])))
+            own = weights[bits.gate[d]]
+            z = min(max(sum(a * b for a, b in zip(own, x)), -9), 9)
+            p, y = 1 / (1 + math.exp(-z)), int(bits.bit[d])
+            cell = int(z / M._BIN_WIDTH + middle + 0.5)
+            final = clip(0.75 * p + 0.25 * table[cell])
+            total += math.log(final if y else 1 - final)
+            learned.append((bits.gate[d], [M.RATE * (y - p) * v for v in x]))
+            refined.append((cell, M.REFINE_RATE * (y - table[cell])))
+        for gate, change in learned:  # all decisions of the token were predicted before any is learned from
+            weights[gate] = [a + b for a, b in zip(weights[gate], change)]
+        for cell, change in refined:
+            table[cell] += change
+        logs.append(total)
+    return np.array(logs)
+
+
+def test_mixer_equals_one_decision_at_a_time():
     rng = np.random.default_rng(7)
-    symbols = rng.integers(0, 6, 6000)
-    hashes = (np.arange(6, dtype=np.uint64) * np.uint64(977) + np.uint64(3)) << np.uint64(34)
-    first = np.zeros(6000, dtype=bool)
-    first[[0, 5000]] = True
-    code = M.huffman(np.bincount(symbols, minlength=6))
-    bits = M.decisions(symbols, hashes[symbols], first, code)
-    assert len(bits.bit) > 10_000
-    assert M.stream_starts(bits, first).tolist() == [0, bits.first[5000]]
+    symbols = rng.zipf(1.6, 3000) % 40
+    hashes = (np.arange(40, dtype=np.uint64) * np.uint64(977) + np.uint64(3)) << np.uint64(34)
+    first = np.zeros(3000, dtype=bool)
+    first[[0, 10, 11, 600, 1400]] = True
+    code = M.huffman(np.bincount(symbols, minlength=40))
+    tables = M.count_bits(M.decisions(symbols, hashes[symbols], first, code), 39)
+    found = M.token_logs(symbols, hashes[symbols], first, code, M.Predictors.of(tables))
+    edges = [*np.flatnonzero(first), 3000]
+    expected = np.concatenate([plain_mixer(symbols[a:b], hashes[symbols[a:b]], code, tables) for a, b in zip(edges, edges[1:])])
+    assert np.abs(found - expected).max() < 2e-3 and abs(found.sum() - expected.sum()) < 1e-3 * abs(expected.sum())
+
+
+def test_scores_do_not_depend_on_the_layout(spark, sample_docs):
+    """Other numbers of files, partitions and tokens in a block give the same scores."""
+    take = lambda df, **o: {r["doc_id"]: (r["base_score"], r["score"]) for r in L.score_texts(df, **o).collect()}
+    whole = take(sample_docs.repartition(1))
+    for other in (take(sample_docs.repartition(4)), take(sample_docs.repartition(16), block_tokens=900)):
+        assert other.keys() == whole.keys()
+        for key, (base, score) in whole.items():
+            assert math.isclose(other[key][0], base, rel_tol=1e-12) and math.isclose(other[key][1], score, rel_tol=1e-6)
+
+
+def test_texts_of_like_length_share_blocks(spark):
+    docs = make_docs(spark, ["w " * n for n in [5, 3000, 7, 2500, 6, 2800] * 20])
+    frame = docs.selectExpr("CAST(doc_id AS string) AS key", "false AS held", "text").orderBy("text")
+    blocks = frame.coalesce(1).mapInPandas(L._cut_blocks(20_000), L._BLOCK).collect()
+    assert all(sum(b["counts"]) < 24_000 for b in blocks) and sum(len(b["keys"]) for b in blocks) == 120
 
 
 def test_words_beyond_the_first_two_thousand_are_coded_by_context(spark):
