@@ -1,7 +1,9 @@
 """Toxicity: a lexicon learned from labels, found in whole texts in spite of misspelling, weighed by context.
 
 1. Lexicon. From labelled rows: words, and beginnings of words, that occur in toxic texts far more often than chance
-   allows. Whole words stay beside the beginnings that cover them, since only they can be found misspelled. Texts with the same smallest word hash count once, so that copies of one text do not vote many times.
+   allows. Whole words stay beside the beginnings that cover them, since only they can be found misspelled. Copies and
+   near copies have one vote, in the words' counts and in those of the classes: texts whose words have the same two
+   smallest hashes, by two hash functions, are one voter.
 2. Matching. Every word of a text runs through the Levenshtein automaton of the lexicon's trie (``automaton``), which
    finds words of 4 letters or more and beginnings of 5 or more within one edit; stand-ins such as ``@`` for ``a`` are
    undone first. A word that several clean texts of the sample use is no misspelling of a term.
@@ -11,8 +13,9 @@
    fitted on the labelled sample as well, so the data decide how much a quoted or a misspelled hit is worth; as far as
    the sample has no misspelled hits, they are worth as much as exact ones.
 
-Labels are learned from a sample: at most ``SAMPLE`` rows of each label, the smallest hashes of the id, whatever the
-size of the input. Lexicon and model have a bounded size and are sent to every task; scoring is one narrow pass.
+Labels are learned from a sample: at most ``SAMPLE`` ids of each label, those with the smallest hashes, whatever the size
+of the input, with one text each. That bounds lexicon, exceptions and model, which hold words of the sample only and are
+sent to every task; all its words take part, whatever their length or number. Scoring is one narrow pass.
 
 Defined results: a null or empty text has no hits and the score of a text without any. Without labelled rows of both
 kinds nothing can be learned and every score is 0. Repeated rows get the same score. Documents that several label rows
@@ -36,16 +39,13 @@ from pulsegrid.session import freeze
 
 FOLDS = 5
 SAMPLE = 8_000  # labelled rows of each label to learn from, at most
-LEXICON = 2_000  # terms at most, beside the words that a beginning covers; 4 * LEXICON in all
 STEM_LETTERS = (4, 5, 6)
-LONGEST_WORD = 40  # letters of a word that are matched; longer strings are no words
 EDITS = 1
 FUZZY_WORD, FUZZY_STEM = 4, 5  # letters from which a word or a beginning may be misspelled
 USUAL = 2  # clean texts that use a word near a term from which on it is no misspelling
-USUAL_WORDS = 20_000  # at most, the most frequent
 ALIKE = ((2, 1), (5, 4))  # measures of misspelled hits, and of exact ones, whose weight they have without evidence
 WINDOW = 6  # words before and after a hit
-WORD_CACHE = 300_000
+WORD_CACHE, CACHED_LETTERS = 300_000, 64  # words whose matches a task remembers, and their letters at most
 
 # Marks that open and close quotations, verbs that report speech, characters used in place of letters.
 QUOTES = "\"'“”„«»‘’‹›"
@@ -59,7 +59,7 @@ _EDGES = ".,;:!?()[]{}|…–—-" + QUOTES
 
 def plain_word(token: str) -> str:
     """Lower-case word without marks at its ends."""
-    return token.lower().strip(_EDGES)[:LONGEST_WORD]
+    return token.lower().strip(_EDGES)
 
 
 @dataclass
@@ -98,9 +98,11 @@ class ToxicityModel:
         cache = self.cache
         if len(cache) > WORD_CACHE:
             cache.clear()
+        rare = {}
         for token in set(tokens).difference(cache):
-            cache[token] = self.look_up(token)
-        found = [(i, m) for i, m in enumerate(map(cache.__getitem__, tokens)) if m]
+            (cache if len(token) <= CACHED_LETTERS else rare)[token] = self.look_up(token)
+        look = cache.__getitem__ if not rare else (cache | rare).__getitem__
+        found = [(i, m) for i, m in enumerate(map(look, tokens)) if m]
         return len(tokens), [(*m, in_quotation(tokens, i)) for i, m in found]
 
     def measures(self, text: str) -> list[float]:
@@ -142,7 +144,14 @@ def _labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: st
     hashed = known.withColumn("_hash", F.xxhash64("_id"))
     sample = [hashed.where(F.col("toxic") == k).orderBy("_hash", "_id").limit(SAMPLE) for k in (0, 1)]
     chosen = sample[0].unionByName(sample[1]).select("_id", "toxic")  # 2 * SAMPLE rows at most
-    return docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
+    found = docs.select(F.col(key).alias("_id"), F.col(text).alias("text")).join(F.broadcast(chosen), "_id")
+    return freeze(found.groupBy("_id", "toxic").agg(F.min("text").alias("text")))  # one text of an id; read several times
+
+
+def _voter(words: set[str]) -> int:
+    """Stands for a text and its copies: the smallest hashes of its words by two hash functions."""
+    first, second = (min(xxhash.xxh64_intdigest(w, seed) for w in words) for seed in (0, 1))
+    return (first ^ second * 0x9E3779B97F4A7C15) & (1 << 63) - 1
 
 
 def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +161,7 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = {w for w in map(plain_word, set((text or "").split())) if w and not w.isdigit()}
             if not words:
                 continue
-            voter = min(xxhash.xxh64_intdigest(w) for w in words) >> 1
+            voter = _voter(words)
             stems = {w[:n] for w in words for n in STEM_LETTERS if len(w) > n}
             rows = [(w, False) for w in words] + [(s, True) for s in stems]
             yield pd.DataFrame(
@@ -162,11 +171,12 @@ def _votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def learn_lexicon(sample: DataFrame) -> tuple[list[Term], frozenset[str]]:
     """Terms whose votes in toxic texts chance does not explain, strongest first; usual words within an edit of one."""
-    classes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    votes = freeze(sample.select("text", "toxic").mapInPandas(_votes, "term string, stem boolean, toxic int, voter long"))
+    of_class = votes.groupBy("toxic").agg(F.count_distinct("voter").alias("n")).collect()
+    classes = {r["toxic"]: r["n"] for r in of_class}
     bad, good = classes.get(1, 0), classes.get(0, 0)
     if not bad or not good:
         return [], frozenset()
-    votes = sample.select("text", "toxic").mapInPandas(_votes, "term string, stem boolean, toxic int, voter long")
     counts = votes.groupBy("term", "stem").agg(
         F.count_distinct(F.when(F.col("toxic") == 1, F.col("voter"))).alias("bad"),
         F.count_distinct(F.when(F.col("toxic") == 0, F.col("voter"))).alias("good"),
@@ -180,15 +190,13 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[Term], frozenset[str]]:
         F.col("good") > 0, F.col("good") * F.log((1 - rate) / (1 - share))
     ).otherwise(0.0)
     strong = counted.where((F.col("bad") >= 4) & (rate >= 0.8)).withColumn("surprise", surprise)
-    top = strong.where("surprise > 9").orderBy(F.desc("surprise"), "term", "stem").limit(4 * LEXICON).collect()
+    top = strong.where("surprise > 9").orderBy(F.desc("surprise"), "term", "stem").collect()  # terms of the sample
     terms: list[Term] = []
     stems: set[str] = set()
-    own = 0
     for row in top:
         covered = any(row["term"][:k] in stems for k in STEM_LETTERS if k <= len(row["term"]) - row["stem"])
-        if covered and row["stem"] or not covered and own == LEXICON:
+        if covered and row["stem"]:
             continue  # a stronger, shorter beginning finds it too
-        own += not covered
         if row["stem"]:
             stems.add(row["term"])
         odds = (row["bad"] + 0.5) / (row["good"] + 0.5) * good / bad
@@ -201,8 +209,8 @@ def learn_lexicon(sample: DataFrame) -> tuple[list[Term], frozenset[str]]:
             yield batch[[bool(f and f.edits) for f in found]]
 
     used = counted.where(~F.col("stem") & (F.col("good") >= USUAL)).select("term", "good")
-    usual = used.mapInPandas(near, "term string, good long").orderBy(F.desc("good"), "term").limit(USUAL_WORDS)
-    return terms, frozenset(r["term"] for r in usual.collect())
+    usual = used.mapInPandas(near, "term string, good long").collect()  # words of the sample near a term
+    return terms, frozenset(r["term"] for r in usual)
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, penalty: float = 0.05, steps: int = 40) -> tuple[float, ...]:
@@ -247,7 +255,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score_column(spark: SparkSession, model: ToxicityModel, text: Column) -> Column:
     """Score of a text, 0 to 1."""
-    shared = spark.sparkContext.broadcast((model.terms, model.weights, model.usual))  # bounded by constants
+    shared = spark.sparkContext.broadcast((model.terms, model.weights, model.usual))  # bounded by the sample
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

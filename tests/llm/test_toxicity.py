@@ -74,7 +74,7 @@ def test_scores_tell_held_out_texts_apart(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
     model = T.learn(docs, labels)
-    assert 5 <= len(model.terms) <= T.LEXICON
+    assert 5 <= len(model.terms)
     scored = docs.withColumn("score", T.score_column(spark, model, F.col("text")))
     rows = scored.join(labels, "doc_id").select("doc_id", "toxic", "score").collect()
     held = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
@@ -124,6 +124,55 @@ def test_copies_of_one_text_do_not_make_its_words_terms(spark):
     assert any("loser".startswith(t) for t in terms) and not any("rare".startswith(t) or "odd" == t for t in terms)
 
 
+def test_an_id_that_is_repeated_weighs_once(spark):
+    toxic = [f"word{i} loser other{i}" for i in range(30)]
+    clean = [f"calm{i} text{i} loss" for i in range(30)]
+    once = make_docs(spark, toxic + clean)
+    labels = labels_of(spark, [(i, 1, int(i < 30)) for i in range(60)])
+    often = once.unionByName(make_docs(spark, [clean[3]] * 500, ids=[33] * 500))
+    assert T._labelled(often, labels, "doc_id", "text", "toxic").count() == T._labelled(once, labels, "doc_id", "text", "toxic").count()
+    a, b = T.learn(once, labels), T.learn(often, labels)
+    assert a.terms == b.terms and a.weights == b.weights
+
+
+def test_long_words_are_read_whole(spark):
+    model = T.ToxicityModel([Term("idiot", 3.0), Term("x" * 90, 2.0)])
+    assert model.look_up("x" * 90) == (2.0, 0) and model.look_up("x" * 91) == (2.0, 1) and model.look_up("x" * 60) is None
+    assert model.hits("a " + "x" * 90 + " " + "y" * 5000)[1] == [(2.0, 0, False)]
+
+
+def plain_score(model, text):
+    """The score from the lexicon by comparing every word with every term."""
+    tokens = text.split()
+    found = []
+    for i, token in enumerate(tokens):
+        word = T.plain_word(token)
+        best = None
+        for reading in {word, word.translate(T.STAND_INS) if not word.isalpha() else word}:
+            if not reading or (reading != word and reading.isdigit()):
+                continue
+            for t in model.terms:
+                spent = min(edits(reading[:k], t.text) for k in (range(len(reading) + 1) if t.stem else [len(reading)]))
+                allowed = 1 if len(t.text) >= (T.FUZZY_STEM if t.stem else T.FUZZY_WORD) else 0
+                if spent <= allowed and not (spent and reading in model.usual):
+                    best = min(best or (9, 0), (spent, -t.weight))
+        if best:
+            found.append((-best[1], best[0], T.in_quotation(tokens, i)))
+    exact, off, quoted = ([w for w, e, q in found if (q, bool(e)) == k or (k is None and q)] for k in ((False, False), (False, True), None))
+    x = [1, np.log1p(sum(exact)), np.log1p(sum(off)), np.log1p(sum(quoted)), (len(exact) / max(len(tokens), 1)) ** 0.5, (len(off) / max(len(tokens), 1)) ** 0.5]
+    return 1 / (1 + np.exp(-np.dot(model.weights, x)))
+
+
+def test_score_equals_comparing_every_word_with_every_term(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    model = T.learn(docs, labels)
+    texts = [r["text"] or "" for r in docs.orderBy("doc_id").limit(60).collect()] + ['he said "idoit" to me', "1d10t and stuupid tresh", ""]
+    for text in texts:
+        text = " ".join(text.split()[:120])
+        assert model.score(text) == pytest.approx(plain_score(model, text), abs=1e-9)
+
+
 TYPOS = {"stupid": ["stuupid", "stupd", "ztupid"], "trash": ["tresh"], "worthless": ["wrthless"], "clown": ["clwn"], "idiot": ["ideot"], "scum": ["scuum"]}
 
 
