@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
 
-ROUNDS = 4000  # columns generated at most; any set of columns gives a valid packing
+ROUNDS = 4000  # columns generated at most; any set of columns gives a valid packing, and a warning says if more would help
 _EPS = 1e-9
 
 
@@ -70,6 +71,8 @@ def solve(demand: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[t
         inverse -= np.outer(direction, row)
         inverse[out] = row
         patterns[out] = items
+    else:
+        warnings.warn(f"column generation ended after {rounds} rounds, before the optimum", stacklevel=2)
     return [(p, float(a)) for p, a in zip(patterns, amount) if a > _EPS]
 
 

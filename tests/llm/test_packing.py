@@ -110,6 +110,11 @@ def test_known_program():
     assert sum(p.copies for p in patterns) == 7
 
 
+def test_an_early_end_is_reported():
+    with pytest.warns(UserWarning, match="before the optimum"):
+        C.solve({3: 50, 5: 40, 7: 30, 11: 20}, 32, rounds=1)
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.dictionaries(st.integers(1, 32), st.integers(1, 500), max_size=20))
 def test_program_covers_the_demand_and_reaches_the_bound(demand):
