@@ -39,8 +39,9 @@ from pulsegrid.session import freeze
 
 FOLDS = 10
 VOCABULARY = 8192
-BLOCK_TOKENS = 1 << 18
-BLOCK_WORDS = (1 << 16) - 1  # a block with more distinct words takes no further text; up to here numbers take two bytes
+BLOCK_TOKENS = 1 << 20
+BLOCK_WORDS = 1 << 18  # a block with as many distinct words takes no further text
+PART_BYTES, MOST_PARTS = 16 << 20, 20_000  # text of a task that cuts blocks, and how many such tasks before it grows
 SPELL_ORDERS, SPELL_SLOTS, SPELL_BACKOFF = 3, 1 << 12, 8.0
 NOVEL = (0.01, 0.9)  # bounds on the share of escapes given to words never met in training
 
@@ -77,7 +78,7 @@ def _cut_blocks(block_tokens: int):
             return pd.DataFrame(
                 {
                     "block": [number], "keys": [keys], "held": [held], "counts": [counts.tolist()],
-                    "ids": [ids.astype("<u2" if len(known) <= BLOCK_WORDS else "<u4").tobytes()],
+                    "ids": [ids.astype("<u2" if len(known) < 1 << 16 else "<u4").tobytes()],
                     "words": [b"\n".join(known)], "train": [train.tobytes()],
                 }
             )
@@ -263,7 +264,7 @@ def _count_tables(blocks: DataFrame, totals: DataFrame, model: LanguageModel, sa
                 token, word, first = _runs(row, hashes, symbols, ~np.asarray(row.held, dtype=bool))
                 salt = int(row.block >> 32) % salts
                 if len(token) and nodes:
-                    found = mixer.count_bits(mixer.decisions(token, word, first, own.code), nodes)
+                    found = mixer.count_tokens(token, word, first, own.code, nodes)
                     tables = found if tables is None else [a + b for a, b in zip(tables, found)]
         yield _table_rows(dict(enumerate(tables or [])), salt)
 
@@ -329,6 +330,26 @@ def _score_blocks(model_of):
     return score
 
 
+def _by_length(texts: DataFrame) -> DataFrame:
+    """Texts of like length side by side, in partitions of like size.
+
+    Lengths fall into classes of half a power of two, each dealt to as many partitions as its bytes ask for.
+    """
+    sized = texts.withColumn("size", F.octet_length("text")).withColumn("class", F.floor(2 * F.log2(F.col("size") + 1)).cast("int"))
+    weights = {r["class"]: r["bytes"] for r in sized.groupBy("class").agg(F.sum("size").alias("bytes")).collect()}  # 63 rows at most
+    size = max(PART_BYTES, sum(weights.values()) // MOST_PARTS)
+    parts = {c: max(1, -(-weights[c] // size)) for c in sorted(weights)}
+    first = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist()))
+    place = F.create_map(*[F.lit(x) for c in parts for x in (c, first[c])]) if parts else None
+    number = F.create_map(*[F.lit(x) for c in parts for x in (c, parts[c])]) if parts else None
+    if not parts:
+        return texts.drop("mark")
+    at = F.col("class")
+    dealt = sized.withColumn("part", (place[at] + F.pmod(F.xxhash64("mark"), number[at])).cast("int"))
+    ranged = dealt.repartitionById(sum(parts.values()), F.col("part"))
+    return ranged.sortWithinPartitions("size", "mark").drop("size", "class", "part", "mark")
+
+
 def score_texts(
     docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS, block_tokens: int = BLOCK_TOKENS
 ) -> DataFrame:
@@ -339,13 +360,12 @@ def score_texts(
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
-    # The running number parts texts of one length, however many there are.
+    # The running number deals texts of one length out, however many there are.
     marked = docs.select(
         F.monotonically_increasing_id().alias("mark"), F.col(key).cast("string").alias("key"),
         held_out(F.col(key), folds).alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    ranged = marked.withColumn("size", F.length("text")).repartitionByRange("size", "mark")
-    cut = ranged.sortWithinPartitions("size", "mark").drop("size", "mark").mapInPandas(_cut_blocks(block_tokens), _BLOCK)
+    cut = _by_length(marked).mapInPandas(_cut_blocks(block_tokens), _BLOCK)
     blocks = freeze(cut, compression="zstd")
 
     listed = blocks.select("words", "train").mapInPandas(_word_counts, "word binary, count long")

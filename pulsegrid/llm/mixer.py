@@ -12,6 +12,8 @@ SLOT_BITS = 19
 FREQUENT = 256  # words that can be the last frequent one
 RATE, REFINE_RATE = 0.05, 0.02
 GATES = 4
+CHUNK = 1 << 16  # tokens whose decisions are worked out at a time
+STREAMS = 1 << 14  # texts that are handled side by side, at most
 BINS = 25
 BACKOFF = (2.0, 2.0, 2.0)  # prior weight of the node's own rate in each context
 FIRST_WEIGHTS = (0.2, 0.35, 0.3, 0.4)  # of the node alone, then of the contexts
@@ -68,8 +70,8 @@ class Bits:
     slots: list[np.ndarray]  # of each hashed context
 
 
-def decisions(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, code: Code) -> Bits:
-    """Decisions of tokens given by symbol and word hash; ``first`` marks the first token of a text."""
+def contexts(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each token's contexts: the word before, the two before, the last frequent word, all of its text."""
     word = (hashes >> np.uint64(32)).astype(np.uint32)
     one = np.concatenate((np.zeros(1, np.uint32), word[:-1]))
     one[first] = 1
@@ -79,14 +81,20 @@ def decisions(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, code:
     begin = np.maximum.accumulate(np.where(first, place, 0))
     last = np.maximum.accumulate(np.concatenate(([-1], np.where(symbols < FREQUENT, place, -1)[:-1])))
     frequent = np.where(last >= begin, symbols[np.maximum(last, 0)] + 1, 0).astype(np.uint32)
+    seen = (one, one * np.uint32(31) + two, frequent)
+    return [(c + np.uint32(k)) * _MULTIPLIERS[k] for k, c in enumerate(seen)]
+
+
+def expand(symbols: np.ndarray, seen: list[np.ndarray], code: Code) -> Bits:
+    """Decisions of tokens given by symbol and contexts."""
     lengths = code.lengths[symbols]
     ends = np.cumsum(lengths)
     step = np.repeat(code.starts[symbols] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
     node = code.nodes[step]
     turn = (node.astype(np.uint32) + np.uint32(1)) * _MULTIPLIERS[0]
     slots = []
-    for k, context in enumerate((one, one * np.uint32(31) + two, frequent)):
-        mixed = np.repeat((context + np.uint32(k)) * _MULTIPLIERS[k], lengths)
+    for context in seen:
+        mixed = np.repeat(context, lengths)
         mixed ^= turn
         mixed ^= mixed >> np.uint32(15)
         mixed *= _MULTIPLIERS[2]
@@ -95,6 +103,22 @@ def decisions(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, code:
     return Bits(np.concatenate(([0], ends)), node, code.gates[step], code.turns[step], slots)
 
 
+def decisions(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, code: Code) -> Bits:
+    """Decisions of tokens given by symbol and word hash; ``first`` marks the first token of a text."""
+    return expand(symbols, contexts(symbols, hashes, first), code)
+
+
+def count_tokens(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, code: Code, nodes: int) -> list[np.ndarray]:
+    """``count_bits`` of any number of tokens, some at a time."""
+    seen = contexts(symbols, hashes, first)
+    total: list[np.ndarray] = []
+    for at in range(0, len(symbols), CHUNK):
+        part = slice(at, at + CHUNK)
+        found = count_bits(expand(symbols[part], [c[part] for c in seen], code), nodes)
+        total = [a + b for a, b in zip(total, found)] if total else found
+    return total
+
+
 def count_bits(bits: Bits, nodes: int) -> list[np.ndarray]:
     """Counts of zeros and ones per node and per slot of each context, as flat arrays of pairs."""
     tables = [np.bincount(2 * bits.node.astype(np.int64) + bits.bit, minlength=2 * nodes)]
@@ -129,72 +153,94 @@ class Predictors:
         return said
 
 
-def mix_tokens(said: np.ndarray, bits: Bits, starts: np.ndarray, weights=FIRST_WEIGHTS) -> np.ndarray:
-    """Natural log of the probability of every decision.
+class Mixer:
+    """Gated weights and refinement tables of streams that are handled side by side, a token of each at a time.
 
-    ``starts`` are the first tokens of the streams, which are handled side by side, a token of each at a time. A stream's
-    mixer has a set of weights for each gate (how deep in the code a decision is). It predicts all decisions of a
-    token and then learns from all of them at once. Its output is refined by a table of the outcomes seen at that
-    output, which learns in the same way.
+    A stream has a set of weights for each gate (how deep in the code a decision is). It predicts all decisions of a token
+    and then learns from all of them at once. Its output is refined by a table of the outcomes seen at that output,
+    which learns in the same way.
     """
-    tokens = len(bits.first) - 1
-    lengths = np.diff(np.append(starts, tokens))
-    order = np.argsort(-lengths, kind="stable")
-    starts, lengths = starts[order], lengths[order]
-    n = len(starts)
-    # Tokens step by step: those of all streams that have a first one, then a second one, and so on.
-    active = np.searchsorted(-lengths, -np.arange(lengths[0] if n else 0), side="left")
-    ends = np.cumsum(active)
-    stream = np.arange(tokens) - np.repeat(ends - active, active)
-    token = starts[stream] + np.repeat(np.arange(len(active)), active)
-    sizes = np.diff(bits.first)[token]
-    upto = np.cumsum(sizes)
-    place = np.repeat(bits.first[token] - upto + sizes, sizes) + np.arange(len(said))
-    x, y = said[place], bits.bit[place].astype(np.float32)
-    own_stream = np.repeat(stream, sizes)
-    sets = own_stream * GATES + bits.gate[place]
-    step_ends = upto[ends - 1] if len(ends) else ends
-    step_starts = np.append(0, step_ends[:-1])
-    # Decisions of a token that share a set of weights lie next to each other; their sums go to the set together.
-    new = np.empty(len(said), dtype=bool)
-    new[1:] = sets[1:] != sets[:-1]
-    new[step_starts] = True
-    runs = np.flatnonzero(new)
-    run_ends = np.searchsorted(runs, step_ends)
-    run_starts = np.append(0, run_ends[:-1])
-    run_sets = sets[runs]
-    w = np.tile(np.asarray(weights, dtype=np.float32), (n * GATES, 1))
-    middle = np.float32((BINS - 1) / 2)
-    table = np.tile(1 / (1 + np.exp(-(np.arange(BINS, dtype=np.float32) - middle) * np.float32(_BIN_WIDTH))), n)
-    first_cell = own_stream * BINS
-    mixed, refined = np.empty(len(y), dtype=np.float32), np.empty(len(y), dtype=np.float32)
-    rate, slow = np.float32(RATE), np.float32(REFINE_RATE)
-    steps = zip(step_starts.tolist(), step_ends.tolist(), run_starts.tolist(), run_ends.tolist(), (active * BINS).tolist())
-    for begin, end, run, run_end, cells in steps:
-        now, here = x[begin:end], y[begin:end]
-        z = np.einsum("ij,ij->i", w.take(sets[begin:end], axis=0), now)
-        np.clip(z, -9, 9, out=z)
-        p = mixed[begin:end]
-        np.negative(z, out=p)
-        np.exp(p, out=p)
-        p += 1
-        np.reciprocal(p, out=p)
-        w[run_sets[run:run_end]] += np.add.reduceat((rate * (here - p))[:, None] * now, runs[run:run_end] - begin, axis=0)
-        z *= np.float32(1 / _BIN_WIDTH)
-        z += middle + np.float32(0.5)  # within 0 and BINS, as z is bounded
-        cell = z.astype(np.int64)
-        cell += first_cell[begin:end]
-        seen = table.take(cell)
-        refined[begin:end] = seen
-        table[:cells] += slow * np.bincount(cell, here - seen, minlength=cells).astype(np.float32)
-    p = np.clip(0.75 * mixed + 0.25 * refined, _EDGE, 1 - _EDGE)
-    result = np.empty(len(y), dtype=np.float32)
-    result[place] = np.log(np.where(y > 0, p, 1 - p))
-    return result
+
+    def __init__(self, streams: int, weights=FIRST_WEIGHTS):
+        self.weights = np.tile(np.asarray(weights, dtype=np.float32), (streams * GATES, 1))
+        cells = (np.arange(BINS, dtype=np.float32) - np.float32((BINS - 1) / 2)) * np.float32(_BIN_WIDTH)
+        self.table = np.tile(1 / (1 + np.exp(-cells)), streams)
+
+    def run(self, said: np.ndarray, bits: Bits, stream: np.ndarray, steps: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of every decision of tokens that come step by step, streams in order.
+
+        ``stream`` is the stream of each token, ``steps`` how many tokens each step has.
+        """
+        own_stream = np.repeat(stream, np.diff(bits.first))
+        sets = own_stream * GATES + bits.gate
+        token_ends = np.cumsum(steps)
+        ends = bits.first[token_ends]
+        starts = np.append(0, ends[:-1])
+        # Decisions of a token that share a set of weights lie next to each other; their sums go to the set together.
+        new = np.empty(len(said), dtype=bool)
+        new[1:] = sets[1:] != sets[:-1]
+        new[starts] = True
+        runs = np.flatnonzero(new)
+        run_ends = np.searchsorted(runs, ends)
+        run_starts = np.append(0, run_ends[:-1])
+        run_sets = sets[runs]
+        runs = runs - np.repeat(starts, run_ends - run_starts)
+        first_cell = own_stream * BINS
+        y = bits.bit.astype(np.float32)
+        mixed, refined = np.empty(len(y), dtype=np.float32), np.empty(len(y), dtype=np.float32)
+        rate, slow, width = np.float32(RATE), np.float32(REFINE_RATE), np.float32(1 / _BIN_WIDTH)
+        middle = np.float32((BINS - 1) / 2 + 0.5)
+        w, table = self.weights, self.table
+        bounds = (starts.tolist(), ends.tolist(), run_starts.tolist(), run_ends.tolist(), (steps * BINS).tolist())
+        for begin, end, run, run_end, cells in zip(*bounds):
+            now, here = said[begin:end], y[begin:end]
+            z = np.einsum("ij,ij->i", w.take(sets[begin:end], axis=0), now)
+            np.clip(z, -9, 9, out=z)
+            p = mixed[begin:end]
+            np.negative(z, out=p)
+            np.exp(p, out=p)
+            p += 1
+            np.reciprocal(p, out=p)
+            pull = ((here - p) * rate)[:, None] * now
+            w[run_sets[run:run_end]] += np.add.reduceat(pull, runs[run:run_end], axis=0)
+            z *= width
+            z += middle  # within 0 and BINS, as z is bounded
+            cell = z.astype(np.int64)
+            cell += first_cell[begin:end]
+            seen = table.take(cell)
+            refined[begin:end] = seen
+            # Streams are in order of length, so those of a step are the first ones.
+            table[:cells] += slow * np.bincount(cell, here - seen, minlength=cells).astype(np.float32)
+        p = np.clip(0.75 * mixed + 0.25 * refined, _EDGE, 1 - _EDGE)
+        return np.log(np.where(y > 0, p, 1 - p))
 
 
 def token_logs(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, code: Code, predictors: Predictors) -> np.ndarray:
-    """Natural log of the probability of every token's symbol; each text is a stream."""
-    bits = decisions(symbols, hashes, first, code)
-    logs = mix_tokens(predictors.said(bits), bits, np.flatnonzero(first)).astype(np.float64)
-    return np.add.reduceat(logs, bits.first[:-1])
+    """Natural log of the probability of every token's symbol; each text is a stream.
+
+    Streams go side by side, the longest first; their decisions are worked out some steps at a time, so what is held at
+    once is bounded by ``CHUNK`` tokens and the tokens themselves.
+    """
+    seen = contexts(symbols, hashes, first)
+    starts = np.flatnonzero(first)
+    lengths = np.diff(np.append(starts, len(symbols)))
+    order = np.argsort(-lengths, kind="stable")
+    logs = np.empty(len(symbols))
+    for at in range(0, len(order), STREAMS):
+        own_starts, own_lengths = starts[order[at : at + STREAMS]], lengths[order[at : at + STREAMS]]
+        mixer = Mixer(len(own_starts))
+        # Tokens step by step: those of all streams that have a first one, then a second one, and so on.
+        active = np.searchsorted(-own_lengths, -np.arange(own_lengths[0]), side="left")
+        ends = np.cumsum(active)
+        step = 0
+        while step < len(active):
+            done = int(ends[step - 1]) if step else 0
+            until = max(step + 1, int(np.searchsorted(ends, done + CHUNK, side="right")))
+            steps = active[step:until]
+            stream = np.arange(int(steps.sum())) - np.repeat(np.cumsum(steps) - steps, steps)
+            token = own_starts[stream] + np.repeat(np.arange(step, until), steps)
+            bits = expand(symbols[token], [c[token] for c in seen], code)
+            found = mixer.run(predictors.said(bits), bits, stream, steps).astype(np.float64)
+            logs[token] = np.add.reduceat(found, bits.first[:-1])
+            step = until
+    return logs
