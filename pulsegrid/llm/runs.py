@@ -12,7 +12,7 @@ one period back. Accesses change O(log n) segments on average, whatever the text
 
 What is sent to the automaton. A run of at least ``least`` words and three periods lies in a stretch where every
 window of a third of ``least`` words occurs twice; windows are compared by hash first, and only such stretches, cut
-until every window recurs within its own stretch, are searched. Equal hashes only make a stretch longer, so nothing is
+some times more to where windows recur within the stretch itself, are searched. Equal hashes only make a stretch longer, so nothing is
 lost. Ordinary texts have no such stretch and cost one pass over their words.
 
 Defined results: a null text is empty; a text without words has no runs; repeated rows are searched each on its own; an
@@ -33,6 +33,7 @@ from pulsegrid.llm.common import llm_query, table, words_of
 
 LEAST = 24  # words
 EXPONENT = 3  # periods
+_PASSES = 8  # times that a stretch is cut; a stretch that could be cut further is only longer than need be
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 RUNS = ArrayType(StructType([StructField(name, LongType()) for name in ("start", "length", "period")]))
 
@@ -210,18 +211,18 @@ def _repeated(words: np.ndarray, size: int) -> np.ndarray:
 def stretches(words: np.ndarray, least: int = LEAST, exponent: int = EXPONENT) -> list[tuple[int, int]]:
     """(start, end) of stretches that hold every run of ``least`` words and ``exponent`` >= 3 periods."""
     size = max(least // 3, 1)
-    todo, done = [(0, len(words))], []
+    todo, done = [(0, len(words), 0)], []
     while todo:
-        start, end = todo.pop()
+        start, end, passes = todo.pop()
         if end - start < least:
             continue
         twice = _repeated(words[start:end], size)
         edges = np.flatnonzero(np.diff(np.concatenate(([0], twice.view(np.int8), [0]))))
         parts = [(start + a, start + b + size - 1) for a, b in zip(edges[::2].tolist(), edges[1::2].tolist())]
-        if parts == [(start, end)]:
-            done.append((start, end))
+        if parts == [(start, end)] or passes == _PASSES:
+            done.extend(part for part in parts if part[1] - part[0] >= least)
         else:
-            todo.extend(parts)
+            todo.extend((*part, passes + 1) for part in parts)
     return sorted(done)
 
 
