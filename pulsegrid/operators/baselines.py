@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pulsegrid.functions.calendar import calendar_field
 from pulsegrid.layout import DEFAULT_LAYOUT, Layout
 from pulsegrid.operators.quantiles import exact_mode, exact_quantiles
+from pulsegrid.session import freeze
 
 CELL = ["dow", "hour"]
 # Model name to statistic.
@@ -46,13 +47,8 @@ def statistic(
 _CELL_SCOPE, _PLACED_SCOPE, _UNPLACED_SCOPE = 0, 1, 2
 
 
-def calendar_statistics(
-    train: DataFrame, how: str | Callable[[Column], Column], target: str = "steps_t", layout: Layout = DEFAULT_LAYOUT
-) -> DataFrame:
-    """Statistic of the target per (dow, hour) and over all rows, in one go: at most 170 rows.
-
-    Each row counts for its cell and for the whole; the copies are combined before any exchange.
-    """
+def _scoped(train: DataFrame, target: str, layout: Layout) -> DataFrame:
+    """(scope, dow, hour, target): each row counts for its cell and for the whole."""
     rows = with_calendar(train, layout).where(F.col(target).isNotNull()).select(*CELL, target)
     placed = F.col("dow").isNotNull() & F.col("hour").isNotNull()
     nowhere = [F.lit(None).cast("int").alias(c) for c in CELL]
@@ -60,8 +56,44 @@ def calendar_statistics(
     whole = F.struct(F.lit(_PLACED_SCOPE).alias("scope"), *nowhere)
     rest = F.struct(F.lit(_UNPLACED_SCOPE).alias("scope"), *nowhere)
     scopes = F.when(placed, F.array(cell, whole)).otherwise(F.array(rest))
-    copies = rows.select(F.explode(scopes).alias("_s"), target).select("_s.*", target)
-    return statistic(copies, ["scope", *CELL], target, how, "value", few_groups=True)
+    return rows.select(F.explode(scopes).alias("_s"), target).select("_s.*", target)
+
+
+_SCOPED = ["scope", *CELL]
+
+
+def calendar_statistics(
+    train: DataFrame, how: str | Callable[[Column], Column], target: str = "steps_t", layout: Layout = DEFAULT_LAYOUT
+) -> DataFrame:
+    """Statistic of the target per (dow, hour) and over all rows, in one go: at most 170 rows.
+
+    The copies of a row are combined before any exchange.
+    """
+    return statistic(_scoped(train, target, layout), _SCOPED, target, how, "value", few_groups=True)
+
+
+def calendar_counts(train: DataFrame, target: str = "steps_t", layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
+    """How often each value occurs per (dow, hour) and over all rows, stored: mean, median and mode are read from it.
+
+    Train rows are read once for all three. Counts are combined before the exchange, and a group is never gathered.
+    """
+    narrow = train.select(*[c for c in train.columns if c in {target, layout.ts, *CELL}])
+    scoped = _scoped(narrow, target, layout)
+    counted = scoped.groupBy(*_SCOPED, F.col(target).cast("double").alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    return freeze(counted)
+
+
+def statistic_of_counts(counts: DataFrame, how: str) -> DataFrame:
+    """Mean, median or mode per scope from ``calendar_counts``."""
+    if how == "mean":
+        mean = F.sum(F.col("value") * F.col("rows")) / F.sum("rows")
+        return counts.groupBy(*_SCOPED).agg(mean.alias("value"))
+    if how == "median":
+        return exact_quantiles(counts, _SCOPED, "value", {"value": 0.5}, few_groups=True, weight="rows")
+    if how == "mode":
+        best = F.min_by(F.col("value"), F.struct(-F.col("rows"), F.col("value")))
+        return counts.groupBy(*_SCOPED).agg(best.alias("value"))
+    raise ValueError(f"unsupported statistic {how!r}")
 
 
 def calendar_table(train: DataFrame, how: str, target: str = "steps_t", layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
@@ -77,16 +109,20 @@ def calendar_forecast(
     name: str = "yhat",
     layout: Layout = DEFAULT_LAYOUT,
     train: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Predict every row by its (dow, hour) statistic of the train rows, else by the global one, else by 0.
 
     The global value covers the rows in the calendar table, or all rows if none has a calendar. The lookup has
     at most 170 entries by design, so it is one map value, computed once as a scalar subquery; the rows are
-    only projected. The forecast is rounded to single precision, as the reported errors are defined on it.
+    only projected. With ``counts`` of the train rows the statistic is read from these. The forecast is rounded to single precision, as the reported errors are defined on it.
     """
-    train = df.where(F.col("split") == "train") if train is None else train
-    train = train.select(*[c for c in train.columns if c in {target, layout.ts, *CELL}])
-    found = calendar_statistics(train, how, target, layout)
+    if counts is not None and not callable(how):
+        found = statistic_of_counts(counts, how)
+    else:
+        train = df.where(F.col("split") == "train") if train is None else train
+        train = train.select(*[c for c in train.columns if c in {target, layout.ts, *CELL}])
+        found = calendar_statistics(train, how, target, layout)
     entry = F.struct(
         F.when(F.col("scope") == _CELL_SCOPE, F.col("dow") * 24 + F.col("hour")).otherwise(-F.col("scope")),
         F.col("value").cast("double"),

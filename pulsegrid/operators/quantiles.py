@@ -37,25 +37,29 @@ def exact_quantiles(
     value: str | Column,
     probabilities: Mapping[str, float],
     few_groups: bool = False,
+    weight: str | None = None,
 ) -> DataFrame:
     """One row per group that has a value, one column per entry of ``probabilities``, linear interpolation.
 
     ``few_groups`` states that the number of groups is bounded by design (hours, calendar cells, models); then
     the wanted ranges, at most two per probability and group, are broadcast and the rows never shuffle. Otherwise
-    what is exchanged are distinct values with their counts.
+    what is exchanged are distinct values with their counts. ``weight`` names a column of counts: a row then stands
+    for that many rows.
     """
     keys = list(keys)
     value = F.col(value) if isinstance(value, str) else value
-    rows = df.select(*keys, value.cast("double").alias("_v")).where("_v IS NOT NULL AND NOT isnan(_v)")
+    held = [F.col(weight).cast("long").alias("_w")] if weight else []
+    rows_in = "sum(_w)" if weight else "count(1)"
+    rows = df.select(*keys, value.cast("double").alias("_v"), *held).where("_v IS NOT NULL AND NOT isnan(_v)")
     rows = rows.withColumn("_range", value_range("_v"))
 
     names = [f"`{k}`" for k in keys]
     group = ", ".join(names or ["0"])
     if few_groups:
-        counts = rows.groupBy(*keys, "_range").agg(F.expr("count(1) AS _n"))
+        counts = rows.groupBy(*keys, "_range").agg(F.expr(f"{rows_in} AS _n"))
     else:
         # equal values collapse before any exchange, so a value that fills a long series is no hot key of the join
-        rows = rows.groupBy(*keys, "_range", "_v").agg(F.expr("count(1) AS _n"))
+        rows = rows.groupBy(*keys, "_range", "_v").agg(F.expr(f"{rows_in} AS _n"))
         counts = rows.groupBy(*keys, "_range").agg(F.expr("sum(_n) AS _n"))
     counts = counts.selectExpr(
         *names,
@@ -73,10 +77,10 @@ def exact_quantiles(
         marks = F.broadcast(marks)
 
     picked = rows.alias("r").join(marks.alias("m"), _same([*keys, "_range"], "r", "m"))
-    kept = ["_total", "_before", "_v", *(() if few_groups else ["_n"])]
+    kept = ["_total", "_before", "_v", *((["_w"] if weight else []) if few_groups else ["_n"])]
     picked = picked.selectExpr(*[f"r.{n} AS {n}" for n in names], "r._range AS _range", *kept)
     if few_groups:
-        picked = picked.groupBy(*keys, "_range", "_total", "_before", "_v").agg(F.expr("count(1) AS _n"))
+        picked = picked.groupBy(*keys, "_range", "_total", "_before", "_v").agg(F.expr(f"{rows_in} AS _n"))
     inside = ", ".join([*names, "_range"])
     start = (
         f"_before + coalesce(sum(_n) OVER (PARTITION BY {inside} ORDER BY _v"

@@ -13,7 +13,7 @@ map-side combined count over a single column) and send only the long ones down a
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
@@ -27,6 +27,7 @@ HOT_KEY_LIST = 10_000
 # Rows of one window task on the block path.
 BLOCK_ROWS = 1_000_000
 
+_ROW = "_row"  # number of a row of a long series
 _POSITION_BITS = 33  # row position inside a partition in monotonically_increasing_id()
 
 
@@ -137,10 +138,14 @@ def add_series_columns(
 
 
 def _in_blocks(df: DataFrame, columns: SeriesColumns, layout: Layout, block_rows: int) -> DataFrame:
+    return _add_in_blocks(number_rows(df, layout.full_order, _ROW), columns, layout, block_rows).drop(_ROW)
+
+
+def _add_in_blocks(numbered: DataFrame, columns: SeriesColumns, layout: Layout, block_rows: int) -> DataFrame:
+    """Window columns of rows numbered without gaps, block by block; rows keep their number."""
     size = max(block_rows, columns.back, columns.ahead, 1)
-    numbered = number_rows(df, layout.full_order, "_row")
-    home = F.floor(F.col("_row") / F.lit(size))
-    offset = F.col("_row") % F.lit(size)
+    home = F.floor(F.col(_ROW) / F.lit(size))
+    offset = F.col(_ROW) % F.lit(size)
     targets = F.array_compact(
         F.array(
             home,
@@ -149,14 +154,74 @@ def _in_blocks(df: DataFrame, columns: SeriesColumns, layout: Layout, block_rows
         )
     )
     copies = numbered.withColumn("_home", home).withColumn("_block", F.explode(targets))
-    window = Window.partitionBy("_block", layout.key).orderBy("_row")
+    window = Window.partitionBy("_block", layout.key).orderBy(_ROW)
     return (
         copies.withColumns(dict(columns.build(window)))
         .where(F.col("_block") == F.col("_home"))
-        .drop("_row", "_home", "_block")
+        .drop("_home", "_block")
     )
 
 
+@dataclass(frozen=True)
+class DividedSeries:
+    """The rows of a job with several window stages, divided into ordinary and long series once.
+
+    Long series are put in order and numbered once, the one time their rows are written. A stage reads the halo of a
+    block from the numbers; after a filter the rows that are left are numbered anew from the counts of each block, so
+    a block's halo again holds the last rows that were kept before it, however many blocks back they lie.
+    """
+
+    ordinary: DataFrame | None
+    long: DataFrame | None
+    layout: Layout
+    block_rows: int = BLOCK_ROWS
+
+    @classmethod
+    def divide(cls, df: DataFrame, layout: Layout = DEFAULT_LAYOUT, hot: HotKeys | None = None) -> DividedSeries:
+        hot = find_hot_keys(df, layout.key) if hot is None else hot
+        if not hot:
+            return cls(df, None, layout)
+        ordinary, long = hot.divide(df)
+        return cls(ordinary, number_rows(long, layout.full_order, _ROW), layout, hot.block_rows)
+
+    def add(self, columns: SeriesColumns) -> DividedSeries:
+        """Window columns per series."""
+        window = Window.partitionBy(self.layout.key).orderBy(*self.layout.order)
+        return replace(
+            self,
+            ordinary=None if self.ordinary is None else self.ordinary.withColumns(dict(columns.build(window))),
+            long=None if self.long is None else _add_in_blocks(self.long, columns, self.layout, self.block_rows),
+        )
+
+    def each(self, change: Callable[[DataFrame], DataFrame]) -> DividedSeries:
+        """A change of every row by itself."""
+        return replace(
+            self,
+            ordinary=None if self.ordinary is None else change(self.ordinary),
+            long=None if self.long is None else change(self.long),
+        )
+
+    def keep(self, choose: Callable[[DataFrame], DataFrame]) -> DividedSeries:
+        """A filter; the rows of long series that stay are numbered without gaps again."""
+        kept = self.each(choose)
+        if kept.long is None:
+            return kept
+        block = F.floor(F.col(_ROW) / F.lit(self.block_rows))
+        placed = kept.long.withColumn("_home", block)
+        counts = placed.groupBy("_home").agg(F.count(F.lit(1)).alias("_n"))  # a row for each block
+        earlier = Window.orderBy("_home").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select("_home", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+        place = F.row_number().over(Window.partitionBy("_home").orderBy(_ROW)) - 1
+        numbered = placed.withColumn("_place", place).join(F.broadcast(starts), "_home")
+        return replace(kept, long=numbered.withColumn(_ROW, F.col("_start") + F.col("_place")).drop("_home", "_place", "_start"))
+
+    def together(self) -> DataFrame:
+        if self.long is None:
+            return self.ordinary
+        long = self.long.drop(_ROW)
+        return long if self.ordinary is None else self.ordinary.unionByName(long)
+
+
 def number_in_series(
     df: DataFrame,
     layout: Layout = DEFAULT_LAYOUT,

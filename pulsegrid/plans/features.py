@@ -11,7 +11,14 @@ from pulsegrid.layout import DAILY_LAYOUT, Layout, layout_of
 from pulsegrid.operators import series as S
 from pulsegrid.operators.encode import one_hot, one_hot_vector
 from pulsegrid.operators.filters import known_target, strict_cadence
-from pulsegrid.operators.skew import HotKeys, SeriesColumns, add_series_columns, find_hot_keys, no_hot_keys
+from pulsegrid.operators.skew import (
+    DividedSeries,
+    HotKeys,
+    SeriesColumns,
+    add_series_columns,
+    find_hot_keys,
+    no_hot_keys,
+)
 
 
 @dataclass(frozen=True)
@@ -87,17 +94,18 @@ def build_features(
         df = df.withColumn("steps_t", F.col("steps"))
     elif not strict:
         early.append(S.target_column("steps", settings.horizon))
+    rows = DividedSeries.divide(df, layout, hot)
     if early:
-        df = add_series_columns(df, S.combine(early), layout, hot)
+        rows = rows.add(S.combine(early))
     if strict:
-        df = strict_cadence(df, settings.strict_step_minutes)
+        rows = rows.keep(lambda df: strict_cadence(df, settings.strict_step_minutes))
         if settings.horizon:
-            df = add_series_columns(df, S.target_column("steps", settings.horizon), layout, hot)
+            rows = rows.add(S.target_column("steps", settings.horizon))
         if not settings.gap:
-            df = df.drop("delta_minutes_from_prev")
+            rows = rows.each(lambda df: df.drop("delta_minutes_from_prev"))
 
-    df = known_target(df.withColumns(calendar_fields(settings.calendar, layout.ts)))
-    df = add_series_columns(df, _input_columns(settings), layout, hot)
+    rows = rows.keep(lambda df: known_target(df.withColumns(calendar_fields(settings.calendar, layout.ts))))
+    df = rows.add(_input_columns(settings)).together()
     return _encode(df, settings, layout, hot)
 
 

@@ -1,15 +1,17 @@
 """Train-and-compare job and the job that scores an earlier run again.
 
 Layout of a run folder: ``settings`` (one row of JSON), ``models/<name>`` (saved models), ``scored`` (long table
-of all forecasts, one partition per model) and ``model_compare`` (leaderboard as CSV).
+of all forecasts, one partition per model), ``sketches`` (quantile sketches of the errors) and ``model_compare``
+(leaderboard as CSV).
 """
 
 from __future__ import annotations
 
 import json
 import warnings
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import Model
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pulsegrid.layout import Layout, layout_of
 from pulsegrid.models.registry import UNFITTED, make_model
 from pulsegrid.models.store import describe_model, load_model, save_model, saved_models
-from pulsegrid.operators import baselines, examples, leaderboard, metrics
+from pulsegrid.operators import baselines, examples, leaderboard, metrics, sketches
 from pulsegrid.operators.encode import fill_missing, numeric_features
 from pulsegrid.operators.filters import min_samples
 from pulsegrid.operators.skew import HotKeys, find_hot_keys
@@ -98,6 +100,7 @@ def forecast(
     run_dir: str | None = None,
     resume: bool = False,
     layout: Layout | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Frame with ``yhat`` from the named model; a saved model is loaded instead of fitted when resuming."""
     spark = frame.sparkSession
@@ -106,7 +109,7 @@ def forecast(
     if key == "naive_last":
         return baselines.naive_forecast(frame, "ref_prev")
     if key in UNFITTED:
-        return baselines.calendar_forecast(frame, baselines.CALENDAR_BASELINES[key], layout=layout)
+        return baselines.calendar_forecast(frame, baselines.CALENDAR_BASELINES[key], layout=layout, counts=counts)
     path = f"{run_dir}/models/{name}" if run_dir else None
     if path and resume and describe_model(spark, path):
         return load_model(spark, path).transform(frame)
@@ -165,9 +168,11 @@ def train_and_compare(
             features_path = load_settings(spark, run_dir, settings)[1]
         about = json.dumps({**asdict(settings), "features_path": features_path})
         write_table(spark.createDataFrame([(about,)], "settings string").coalesce(1), f"{run_dir}/settings")
-    parts = []
+    parts, counts = [], None
+    if {m.lower() for m in settings.models} & {*baselines.CALENDAR_BASELINES}:
+        counts = baselines.calendar_counts(frame.where(F.col("split") == "train"), layout=layout)
     for name in settings.models:
-        part = _narrow(forecast(frame, name, settings, run_dir, resume, layout), name, layout)
+        part = _narrow(forecast(frame, name, settings, run_dir, resume, layout, counts), name, layout)
         if run_dir:
             path = f"{run_dir}/scored/model={name}"
             write_table(part.drop("model"), path)
@@ -179,14 +184,25 @@ def train_and_compare(
     table, board = _board(scored, settings)
     if run_dir:
         write_csv(board.coalesce(1), f"{run_dir}/model_compare")
+        write_table(sketches.error_sketches(scored), f"{run_dir}/sketches")
         for name, example in examples_of(scored, list(settings.models), layout).items():
             write_csv(example.coalesce(1), f"{run_dir}/examples/{name}")
     if results:
         rows = board.select("run_id", "model", "task", "split_mode", "horizon", *RESULT_COLUMNS, "note")
-        append_results(_not_recorded(rows, results) if resume else rows, results)
+        append_results(rows, results)
     return RunResult(board, table, scored, split_counts(frame, layout))
 
 
+def run_percentiles(
+    spark: SparkSession, run_dirs: Sequence[str], probabilities: Mapping[str, float] | None = None, by: Sequence[str] = metrics.GROUP
+) -> DataFrame:
+    """Percentiles of the absolute errors of several runs together, from their stored sketches: no scored row is read."""
+    stored = [spark.read.parquet(f"{run_dir}/sketches") for run_dir in run_dirs]
+    merged = sketches.merge_sketches(reduce(DataFrame.unionByName, stored), by)
+    wanted = probabilities or {f"P{p}_abs_err": p / 100.0 for p in metrics.PERCENTILES}
+    return sketches.sketch_quantiles(merged, wanted, by)
+
+
 def examples_of(scored: DataFrame, models: list[str], layout: Layout, split_name: str = "test") -> dict[str, DataFrame]:
     """Per model the first scored rows of a split and the gap example of its first eligible series."""
     found = {}
@@ -197,15 +213,6 @@ def examples_of(scored: DataFrame, models: list[str], layout: Layout, split_name
     return found
 
 
-def _not_recorded(rows: DataFrame, results: str) -> DataFrame:
-    """Result rows of models that the table of all runs does not have for this run."""
-    try:
-        known = rows.sparkSession.read.parquet(results).select("run_id", "model").distinct()
-    except AnalysisException:
-        return rows
-    return freeze(rows.join(known, ["run_id", "model"], "left_anti").select(rows.columns))
-
-
 def load_settings(spark: SparkSession, run_dir: str, fallback: RunSettings | None = None) -> tuple[RunSettings, str | None]:
     try:
         about = json.loads(spark.read.parquet(f"{run_dir}/settings").first()["settings"])

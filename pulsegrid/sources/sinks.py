@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.layout import DEFAULT_LAYOUT, Layout
 
@@ -28,10 +28,22 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def append_results(rows: DataFrame, path: str) -> None:
-    """Add the result rows of a run to the table of all runs."""
-    if "run_id" not in rows.columns:
-        raise ValueError("result rows need a run_id")
-    rows.write.mode("append").parquet(path)
+    """Put the result rows of a run into the table of all runs.
+
+    Rows are staged and then take the place of what the table had for the same run and model, in one commit. A run that
+    is recorded twice, one after the other or at the same time, has one set of rows; other runs are not touched.
+    """
+    missing = {"run_id", "model"} - {*rows.columns}
+    if missing:
+        raise ValueError(f"result rows need {sorted(missing)}")
+    placed = rows.withColumns({"of_run": F.col("run_id"), "of_model": F.col("model")})
+    staged = placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    staged.partitionBy("of_run", "of_model").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """The table of all runs, without the folders' names."""
+    return spark.read.parquet(path).drop("of_run", "of_model")
 
 
 def write_report(tables: Mapping[str, DataFrame], folder: str, csv: bool = False) -> dict[str, str]:

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.models import registry
 from pulsegrid.models.store import describe_model, load_model
+from pulsegrid.operators.sketches import rank_error
 from pulsegrid.plans.features import FeatureSettings, build_features
-from pulsegrid.plans.train import RunSettings, load_settings, prepare, rescore_run, train_and_compare
+from pulsegrid.plans.train import RunSettings, load_settings, prepare, rescore_run, run_percentiles, train_and_compare
+from pulsegrid.sources.sinks import read_results
 
 FEATURES = FeatureSettings(user_id_encoding="drop", allow_step_inputs=True, lags=(1, 2), roll_windows=(4,))
 
@@ -42,12 +44,24 @@ def test_board(run):
 
 def test_results_table_grows(spark, run):
     folder, settings, board, _ = run
-    rows = spark.read.parquet(str(folder / "results")).collect()
+    rows = read_results(spark, str(folder / "results")).collect()
     assert {(r["run_id"], r["model"]) for r in rows} == {("r1", m) for m in settings.models}
     csv = spark.read.option("header", True).csv(str(folder / "run" / "model_compare"))
     assert csv.count() == 4 and csv.columns[:2] == ["rank", "model"]
 
 
+def test_percentiles_of_stored_sketches(spark, run):
+    """Errors of a run from its sketches, within the stated bound of the scored rows."""
+    folder, _, _, result = run
+    found = run_percentiles(spark, [str(folder / "run")] * 2, {"p": 0.75}).collect()
+    errors = result.scored.selectExpr("model", "split", "abs(y - yhat) AS e").where("e IS NOT NULL").toPandas()
+    for row in found:
+        e = errors[(errors.model == row["model"]) & (errors.split == row["split"])].e
+        assert row["n"] == 2 * len(e)
+        assert (e < row["p"]).mean() - rank_error() <= 0.75 <= (e <= row["p"]).mean() + rank_error()
+    assert len(found) == 12
+
+
 def test_resume_loads_instead_of_fitting(spark, run, features_path, monkeypatch):
     folder, settings, board, _ = run
 

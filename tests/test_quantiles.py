@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from pulsegrid.models.boosting import grouped_quantile
+from pulsegrid.operators import quantiles as Q
 from pulsegrid.operators.quantiles import attach, exact_mode, exact_quantiles, value_range
 
 PROBS = {"p0": 0.0, "p10": 0.1, "p50": 0.5, "p90": 0.9, "p95": 0.95, "p100": 1.0}
@@ -88,12 +88,24 @@ def test_attach_matches_missing_keys(spark):
     assert {r["k"]: r["x"] for r in attach(left, right, ["k"]).collect()} == {"a": 1, None: 2, "z": None}
 
 
-def test_weighted_quantile_is_close(spark):
-    rng = np.random.default_rng(3)
-    values, weights = rng.normal(0, 50, 4000), rng.uniform(0.5, 3, 4000)
-    df = spark.createDataFrame([(float(v), float(w)) for v, w in zip(values, weights)], "v double, w double")
-    order = np.argsort(values)
-    reached = np.cumsum(weights[order]) / weights.sum()
-    for tau in (0.2, 0.5, 0.8):
-        exact = values[order][np.searchsorted(reached, tau)]
-        assert grouped_quantile(df, [], "v", "w", tau).first()["value"] == pytest.approx(exact)
+def test_weighted_quantiles_count_rows(spark):
+    rows = [(i % 3, float((i * 7) % 11), 1 + i % 4) for i in range(60)] + [(3, None, 5)]
+    counted = spark.createDataFrame(rows, "k int, v double, n long")
+    plain = counted.selectExpr("k", "v", "explode(sequence(1, int(n)))").select("k", "v")
+    wanted = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}
+    for few in (True, False):
+        take = lambda df, **o: sorted(map(tuple, Q.exact_quantiles(df, ["k"], "v", wanted, few_groups=few, **o).collect()))  # noqa: B023,E731
+        assert take(counted, weight="n") == take(plain)
+
+
+def test_sketches_keep_their_bound_and_merge(spark):
+    from pulsegrid.operators import sketches as K
+
+    df = spark.range(40_000).selectExpr("id % 4 AS g", "cast(pow(id, 1.3) AS double) AS v").repartition(6)
+    df = df.unionByName(spark.createDataFrame([(0, None), (1, float("nan"))], "g long, v double"))
+    parts = K.quantile_sketches(df, ["g"], "v", size=200)
+    assert {r["n"] for r in parts.collect()} == {10_000}
+    whole = K.sketch_quantiles(K.merge_sketches(parts, [], size=200), {"a": 0.1, "b": 0.5, "c": 0.99}, []).first()
+    for name, p in (("a", 0.1), ("b", 0.5), ("c", 0.99)):
+        assert abs(df.where(f"v <= {whole[name]!r}D AND NOT isnan(v)").count() / 40_000 - p) <= K.rank_error(200)
+    assert whole["n"] == 40_000 and K.rank_error(800) < 0.006

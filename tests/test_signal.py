@@ -116,9 +116,11 @@ def test_slots(spark):
 
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("r1", "m", 1.0)], "run_id string, model string, MAE double")
-    for _ in range(2):
-        sinks.append_results(df, str(tmp_path / "results"))
-    assert spark.read.parquet(str(tmp_path / "results")).count() == 2
+    results = str(tmp_path / "results")
+    for run, value in (("r1", 1.0), ("2024", 2.0), ("r1", 3.0)):
+        sinks.append_results(df.withColumns({"run_id": F.lit(run), "MAE": F.lit(value)}), results)
+    found = sinks.read_results(spark, results)
+    assert found.columns == df.columns and {tuple(r) for r in found.collect()} == {("r1", "m", 3.0), ("2024", "m", 2.0)}
     with pytest.raises(ValueError):
         sinks.append_results(df.drop("run_id"), str(tmp_path / "results"))
     for _ in range(2):

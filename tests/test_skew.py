@@ -125,3 +125,29 @@ def test_one_exchange_for_all_window_stages(signal):
 
 def test_layout_order():
     assert DEFAULT_LAYOUT.full_order == ["user_id", "ts", "event_id"]
+
+
+@pytest.mark.parametrize("step", [None, 45])
+def test_a_feature_job_writes_long_series_once(signal, hot, monkeypatch, step):
+    """One ordering and one write for all stages, and halos reach back over blocks that a filter has emptied."""
+    from pulsegrid.operators import skew
+    from pulsegrid.plans.features import FeatureSettings, build_features
+
+    wide = replace(hot, block_rows=3)
+    written = []
+    freeze = skew.freeze
+    monkeypatch.setattr(skew, "freeze", lambda *a, **k: written.append(1) or freeze(*a, **k))
+    settings = FeatureSettings(user_id_encoding="drop", lags=(1, 3), roll_windows=(4,), strict_step_minutes=step)
+    rows = signal.where("event_id % 7 > 0") if step is None else signal
+    assert_same(build_features(rows, settings, hot=wide), build_features(rows, settings, hot=no_hot_keys()))
+    assert len(written) == 1
+
+
+def test_rows_kept_far_apart_still_see_each_other(signal, hot):
+    from pulsegrid.operators.skew import DividedSeries
+
+    lagged = lambda hot: (
+        DividedSeries.divide(signal, hot=hot).add(S.lag_columns("steps", [2])).keep(lambda df: df.where("event_id % 11 = 0"))
+        .add(S.lag_columns("hr", [1, 4])).together()
+    )
+    assert_same(lagged(replace(hot, block_rows=4)), lagged(no_hot_keys()))
