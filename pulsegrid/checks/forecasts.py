@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.checks.common import SIGNAL, check, round_columns, rounded, signal, sql_round, sql_rounded
 from pulsegrid.checks.tables import SHARE_SPLIT
-from pulsegrid.operators import baselines, examples, leaderboard, metrics, series, splits
+from pulsegrid.operators import baselines, examples, leaderboard, metrics, series, sketches, splits
 from pulsegrid.operators.skew import add_series_columns
 from pulsegrid.session import freeze
 
@@ -126,9 +126,9 @@ NAIVE_PAIRS = f"""{SPLIT_SIGNAL},
 pairs AS (SELECT 'naive_last' AS model, split, steps_t AS y, steps_lag1 AS yhat, steps_lag1 AS ref_prev FROM base)"""
 
 
-def _median_scored(spark: SparkSession, sf: str) -> DataFrame:
+def _median_scored(spark: SparkSession, sf: str, keep: tuple[str, ...] = ()) -> DataFrame:
     rows = baselines.calendar_forecast(split_signal(spark, sf), "median")
-    return metrics.scored_columns(rows, "median", ref="steps_lag1")
+    return metrics.scored_columns(rows, "median", ref="steps_lag1", keep=keep)
 
 
 def _naive_scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -218,6 +218,33 @@ def metrics_with_missing(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(metrics.evaluate(_naive_scored(spark, sf), [50]), _ALL, 5)
 
 
+_SKETCHED = (0.5, 0.75, 0.9, 0.95)
+
+
+@check(
+    "error_percentiles_sketched",
+    f"""WITH {PAIRS}, errors AS (SELECT split, count(*) AS n FROM pairs WHERE y IS NOT NULL AND yhat IS NOT NULL GROUP BY split)
+SELECT split, p, n, TRUE AS within_bound FROM errors, (SELECT unnest([0.5, 0.75, 0.9, 0.95])::DOUBLE AS p)""",
+)
+def error_percentiles_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches per user and split, merged to splits: the exact rank of every percentile is within the stated bound."""
+    scored = freeze(_median_scored(spark, sf, keep=("user_id",)))
+    by_user = freeze(sketches.error_sketches(scored, ["user_id", "split"]))
+    merged = sketches.merge_sketches(by_user, ["split"])
+    wanted = {f"q{i}": p for i, p in enumerate(_SKETCHED)}
+    found = sketches.sketch_quantiles(merged, wanted, ["split"])
+    listed = F.array(*[F.struct(F.lit(p).alias("p"), F.col(n).alias("value")) for n, p in wanted.items()])
+    values = found.select("split", "n", F.inline(listed))
+    errors = scored.select("split", F.abs(F.col("y") - F.col("yhat")).alias("e")).where("e IS NOT NULL")
+    ranked = errors.join(F.broadcast(values), "split").groupBy("split", "p", "n").agg(
+        F.avg((F.col("e") < F.col("value")).cast("double")).alias("below"),
+        F.avg((F.col("e") <= F.col("value")).cast("double")).alias("upto"),
+    )
+    bound = sketches.rank_error()
+    within = (F.col("below") <= F.col("p") + bound) & (F.col("upto") >= F.col("p") - bound)
+    return ranked.select("split", "p", "n", within.alias("within_bound"))
+
+
 # ---------------------------------------------------------------- leaderboard
 
 _MODELS = {"averaging": "mean", "median": "median", "mode": "mode"}
@@ -246,8 +273,9 @@ board AS (
 def scored_baselines(spark: SparkSession, sf: str, naive: bool = True) -> DataFrame:
     rows = split_signal(spark, sf)
     frames = [_naive_of(rows)] if naive else []
+    counts = baselines.calendar_counts(rows.where("split = 'train'"))  # train rows are read once for all three
     for model, how in _MODELS.items():
-        frames.append(metrics.scored_columns(baselines.calendar_forecast(rows, how), model, ref="steps_lag1"))
+        frames.append(metrics.scored_columns(baselines.calendar_forecast(rows, how, counts=counts), model, ref="steps_lag1"))
     return metrics.stack_scored(frames)
 
 

@@ -55,13 +55,13 @@ def csv_table(spark: SparkSession, sf: str) -> DataFrame:
 SELECT run_id, model, {sql_rounded(['MAE_val', 'MAE_test'], 5)} FROM board, runs""",
 )
 def results_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Two runs appended to one table."""
+    """Two runs in one table, the first recorded twice."""
     path = scratch_path(spark, "results")
     board = leaderboard.compare(metrics.evaluate(scored_baselines(spark, sf), percentiles=()))
     rows = board.select("model", "MAE_val", "MAE_test")
-    for run in ("first", "second"):
+    for run in ("first", "second", "first"):
         sinks.append_results(rows.withColumn("run_id", F.lit(run)), path)
-    return round_columns(spark.read.parquet(path).select("run_id", "model", "MAE_val", "MAE_test"), ["MAE_val", "MAE_test"], 5)
+    return round_columns(sinks.read_results(spark, path).select("run_id", "model", "MAE_val", "MAE_test"), ["MAE_val", "MAE_test"], 5)
 
 
 @check(

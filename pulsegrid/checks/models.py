@@ -103,7 +103,7 @@ FITS = {
     "fit_ridge": ("ridge", {}),
     "fit_ridge_short": ("ridge_sgd", {}),
     "fit_huber": ("huber", {}),
-    "fit_forest": ("rf100", {"numTrees": 5}),
+    "fit_forest": ("rf100", {"trees": 5}),
     "fit_boost_l2": ("hgb_l2", {"maxIter": _ROUNDS}),
     "fit_boost_absolute": ("hgb_mae", {"rounds": _ROUNDS}),
     "fit_boost_quantile": ("hgb_q80", {"rounds": _ROUNDS}),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,9 +17,10 @@ from pulsegrid.checks.common import (
     table,
 )
 from pulsegrid.functions import calendar as C, weights as W
-from pulsegrid.layout import Layout
+from pulsegrid.layout import Layout, layout_of
 from pulsegrid.operators import encode, examples, filters, folds, profile, series, splits
 from pulsegrid.plans.features import FeatureSettings, build_features
+from pulsegrid.plans.train import RunSettings, chosen_inputs
 from pulsegrid.sources import signal as source
 
 W_ORDER = "PARTITION BY user_id ORDER BY ts, event_id"
@@ -478,6 +477,38 @@ def features_with_steps(spark: SparkSession, sf: str) -> DataFrame:
     return round_columns(rows.select(*_FEATURE_ID_NAMES, *_ALL_LAGS, "ref_prev", *names), names)
 
 
+# Inputs that models take: all numeric columns but target, current value, previous value and event number.
+_INPUTS = ["user_id", "row_idx", "hr", "slot_in_day", "dow", "hour", "month", *_HR_LAGS, "delta_minutes_from_prev", *_STRICT]
+_DAILY_INPUTS = ["user_id", "hr"]
+_STRICT_SQL = _features_sql(
+    f"user_id, row_idx, hr, {_lag_sql('hr')}, hr - lag(hr) OVER w AS hr_delta1, {_roll_sql('hr', True, ('max', 'mean', 'std'))}",
+    ["user_id", "row_idx", "hr", *_HR_LAGS],
+    _STRICT,
+)
+
+
+def _known_sql(layout: str, names: list[str], rows: str) -> str:
+    counts = ", ".join(f'count("{n}") AS "{n}"' for n in names)
+    return f"SELECT '{layout}' AS layout, name, known FROM (UNPIVOT (SELECT {counts} FROM ({rows})) ON * INTO NAME name VALUE known)"
+
+
+@check(
+    "chosen_inputs",
+    f"{_known_sql('events', _INPUTS, _STRICT_SQL)} UNION ALL "
+    f"{_known_sql('days', _DAILY_INPUTS, DAILY + ' WHERE steps_t IS NOT NULL')}",
+)
+def chosen_inputs_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The list of inputs of event and daily features, with how many rows know each."""
+    parts = []
+    for layout, settings in (("events", FeatureSettings(user_id_encoding="drop")), ("days", FeatureSettings(task="daily_total", user_id_encoding="drop"))):
+        rows = build_features(signal(spark, sf), settings)
+        names = chosen_inputs(rows, RunSettings("inputs"), layout_of(rows.columns))
+        known = rows.agg(*[F.count(n).alias(n) for n in names])
+        listed = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("known")) for n in names])
+        parts.append(known.select(F.lit(layout).alias("layout"), F.inline(listed)))
+    return parts[0].unionByName(parts[1])
+
+
 _GRID_FEATURES = f"""WITH {HALF_DAYS}, kept AS (
   SELECT *, lead(steps) OVER (PARTITION BY user_id ORDER BY ts) AS steps_t FROM gaps WHERE gap IS NULL OR gap = 720
 ), full_ AS (SELECT * FROM kept WHERE steps_t IS NOT NULL),

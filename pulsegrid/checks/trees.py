@@ -2,7 +2,7 @@
 
 A tree has one possible split then, so a boosted model is, per group, a start value and a known step per round: towards
 the group's quantile, or by the ratio of summed gradients and curvatures. Settings are the registry's own; only the
-number of rounds is stated. All rows of the signal take part.
+number of rounds is stated, and that the forest takes every row once. All rows of the signal take part.
 """
 
 from __future__ import annotations
@@ -87,7 +87,7 @@ _MIX = "m AS (SELECT x, {0} * a.yhat + {1} * b.yhat AS yhat FROM a JOIN b USING
 # Fixed values in the SQL: quantile, step, penalty and weights of the registry's models.
 TREES: dict[str, tuple[str, dict, str]] = {
     "tree_boost_l2": ("hgb_l2", {"maxIter": ROUNDS}, _query(_MEANS)),
-    "tree_forest": ("rf100", {"numTrees": 1, "bootstrap": False}, _query(_MEANS)),
+    "tree_forest": ("rf100", {"trees": 4, "bootstrap": False}, _query(_MEANS)),
     "tree_boost_absolute": ("hgb_mae", {"rounds": ROUNDS}, _query(towards_quantile("m", 0.5, 0.06, BAND))),
     "tree_boost_quantile": ("hgb_q80", {"rounds": ROUNDS}, _query(towards_quantile("m", 0.8, 0.06))),
     "tree_boost_column_share": ("lgbm_q80", {"rounds": ROUNDS}, _query(towards_quantile("m", 0.8, 0.05))),

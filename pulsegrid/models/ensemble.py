@@ -16,7 +16,7 @@ from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.models.growth import FlatTree
-from pulsegrid.session import scratch_path
+from pulsegrid.session import freeze, scratch_path
 
 SCORE = "_trees"
 _FIELDS = ("feature", "threshold", "left", "right", "value")
@@ -57,13 +57,20 @@ def _about(kind: str, spark: SparkSession, params: dict, **more) -> str:
 
 def tree_sum(spark: SparkSession, trees: Sequence[FlatTree], weight: float, score: str = SCORE) -> GBTRegressionModel:
     """A model whose ``score`` is ``weight`` times the sum of the trees' values."""
+    return tree_sum_of(node_table(spark, trees), len(trees), weight, score)
+
+
+def tree_sum_of(nodes: DataFrame, trees: int, weight: float, score: str = SCORE) -> GBTRegressionModel:
+    """The same from a node table; the nodes go from table to model without passing through Python."""
+    spark = nodes.sparkSession
     path = scratch_path(spark, "ensemble")
-    width = 1 + max((max(t.feature) for t in trees), default=0)
+    nodes = freeze(nodes, f"{path}/nodes")
+    width = 1 + max(nodes.agg(F.max("feature")).first()[0] or 0, 0)
     params = {"predictionCol": score, "featuresCol": "features", "impurity": "variance"}
-    whole = _about("GBTRegressionModel", spark, params, numFeatures=max(width, 1), numTrees=len(trees))
+    whole = _about("GBTRegressionModel", spark, params, numFeatures=width, numTrees=trees)
     spark.createDataFrame([(whole,)], "value string").coalesce(1).write.text(f"{path}/metadata")
     single = _about("DecisionTreeRegressionModel", spark, {"featuresCol": "features", "impurity": "variance"})
-    spark.range(len(trees)).select(
+    spark.range(trees).select(
         F.col("id").cast("int").alias("_1"), F.lit(single).alias("_2"), F.lit(float(weight)).alias("_3")
     ).write.parquet(f"{path}/treesMetadata")
     none = F.lit(-1)
@@ -79,5 +86,5 @@ def tree_sum(spark: SparkSession, trees: Sequence[FlatTree], weight: float, scor
         F.when(inner, 0.0).otherwise(-1.0).alias("gain"), F.col("left").alias("leftChild"),
         F.col("right").alias("rightChild"), split.alias("split"),
     )
-    node_table(spark, trees).select(F.col("tree").alias("treeID"), node.alias("nodeData")).write.parquet(f"{path}/data")
+    nodes.select(F.col("tree").alias("treeID"), node.alias("nodeData")).write.parquet(f"{path}/data")
     return GBTRegressionModel.load(path)

@@ -128,6 +128,12 @@ def _score(stats: np.ndarray, l2: float) -> np.ndarray:
     return np.divide(stats[..., PULL] ** 2, down, out=np.zeros_like(down), where=down > 0)
 
 
+def first_best(gains: np.ndarray, whole: float) -> int:
+    """The first of the greatest gains. Inputs that part the rows alike have one gain, but for rounding."""
+    most = float(gains.max())
+    return int(np.argmax(gains >= most - 1e-9 * abs(most) - 1e-13 * whole))
+
+
 def find_split(leaf: Leaf, limits: Limits, chosen: np.ndarray | None = None) -> None:
     """Sets the leaf's best split: of equal gains, the first input and lowest bin. ``chosen``: the inputs allowed."""
     table = leaf.histogram
@@ -145,8 +151,8 @@ def find_split(leaf: Leaf, limits: Limits, chosen: np.ndarray | None = None) ->
         barred[chosen] = False
         allowed[barred] = False
     gains = np.where(allowed, gains, -np.inf)
-    if gains.size:
-        best = int(np.argmax(gains))
+    if gains.size and allowed.any():
+        best = first_best(gains, abs(whole))
         leaf.feature, leaf.bin = divmod(best, gains.shape[1])
         least = _LEAST_GAIN * max(abs(whole), float(np.abs(leaf.stats[PULL])))
         leaf.gain = float(gains.flat[best]) if gains.flat[best] > least else 0.0

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.feature import StandardScaler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 
 from pulsegrid.functions.weights import band_weight, power_weight
 from pulsegrid.models.boosting import BoostedTrees
 from pulsegrid.models.composite import Blend, TwoStage
+from pulsegrid.models.forest import RandomForest
 from pulsegrid.models.linear import HuberRegression, RidgeRegression, StochasticRidge
 from pulsegrid.models.search import GridSearchedTrees, ToleranceBlend
 from pulsegrid.operators.baselines import CALENDAR_BASELINES
@@ -57,11 +58,7 @@ def _linreg(seed: int, **settings) -> Estimator:
 
 
 def _forest(trees: int) -> Maker:
-    def make(seed: int, **settings) -> Estimator:
-        defaults = dict(numTrees=trees, featureSubsetStrategy="all", maxDepth=30, maxBins=255, seed=seed)
-        return RandomForestRegressor(labelCol="label", predictionCol="yhat", **{**defaults, **settings})
-
-    return make
+    return lambda seed, **settings: RandomForest(**{"trees": trees, "seed": seed, **settings})
 
 
 def _boosted(name: str) -> Maker:

@@ -25,9 +25,10 @@ _NATIVE = {
 def _built_here() -> dict:
     from pulsegrid.models.boosting import BoostedTreesModel
     from pulsegrid.models.composite import BlendModel, TwoStageModel
+    from pulsegrid.models.forest import RandomForestModel
     from pulsegrid.models.linear import LinearModel
 
-    return {c.__name__: c for c in (BoostedTreesModel, BlendModel, TwoStageModel, LinearModel)}
+    return {c.__name__: c for c in (BoostedTreesModel, BlendModel, TwoStageModel, LinearModel, RandomForestModel)}
 
 
 def save_model(spark: SparkSession, model: Model, path: str) -> None:
