@@ -11,11 +11,11 @@ Jobs. (1) Texts are ordered by length, so that those of like length lie side by
 ``BLOCK_TOKENS`` tokens: local word numbers and the block's distinct words, stored once. A text is never parted, so
 its score does not depend on what else is in its block. (2) Each block lists its distinct words with their training
 counts; Spark adds them up by word. (3) Training blocks count the decisions per context slot; the tables, whose size is
-fixed, are added up in two steps. (4) The totals of words that are not frequent are joined back to the blocks that hold
-them, and each block is scored. Everything counts all training texts. What is exchanged is the words of each block once,
-not of each text; frequent words, which lie in all blocks, are known to all and take no part in the join.
+fixed, are added up in two steps. (4) The totals of the ``KNOWN`` most frequent words are told to all tasks, those of other
+words are joined back to the blocks that hold them, and each block is scored. Everything counts all training texts. What is exchanged is the words of each block once,
+not of each text; frequent words, which lie in all blocks, take no part in the join.
 
-Bounded on the driver: the ``VOCABULARY`` most frequent tokens and the context tables (fixed size).
+Bounded on the driver: the ``KNOWN`` most frequent words and the context tables (fixed size).
 
 Defined results: a null or empty text is its end alone. Repeated rows have scores of their own. A text longer than a
 block is a block of its own, whole. Without training texts
@@ -40,8 +40,10 @@ from pulsegrid.session import freeze
 FOLDS = 10
 VOCABULARY = 8192
 BLOCK_TOKENS = 1 << 20
-BLOCK_WORDS = 1 << 18  # a block with as many distinct words takes no further text
-PART_BYTES, MOST_PARTS = 16 << 20, 20_000  # text of a task that cuts blocks, and how many such tasks before it grows
+BLOCK_WORDS = 60_000  # a block with as many distinct words takes no further text; up to 65,535 numbers take two bytes
+KNOWN = 1 << 18  # words at most whose totals every task is told
+# Text and texts of a task that cuts blocks, and how many such tasks there are before these grow.
+PART_BYTES, PART_ROWS, MOST_PARTS = 16 << 20, 1 << 11, 20_000
 SPELL_ORDERS, SPELL_SLOTS, SPELL_BACKOFF = 3, 1 << 12, 8.0
 NOVEL = (0.01, 0.9)  # bounds on the share of escapes given to words never met in training
 
@@ -50,6 +52,11 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) | 1
 
 
+def _hash(word: bytes) -> int:
+    """That of a word, or 0 for the end, which is the empty word."""
+    return word_hash(word) if word else 0
+
+
 class _Numbers(dict):
     """Numbers words as they come, from 1; 0 is the end."""
 
@@ -134,7 +141,7 @@ def _rare_words(model_of):
         model = model_of.value
         for batch in batches:
             for block, words in zip(batch["block"], batch["words"]):
-                rare = np.flatnonzero(model.symbols(_local_hashes(words)) == len(model.vocabulary))
+                rare = np.flatnonzero(~model.place(_local_hashes(words))[0])
                 own = _local_words(words)
                 yield pd.DataFrame({"word": [own[i] for i in rare.tolist()], "block": block, "at": rare})
 
@@ -148,13 +155,19 @@ class LanguageModel:
     tokens: int
     distinct: int
     vocabulary: np.ndarray  # hashes of the frequent tokens, most frequent first
-    counts: np.ndarray  # and their training counts
+    known: np.ndarray  # hashes of the most frequent words, in order of hash
+    totals: np.ndarray  # and their training counts
     code: mixer.Code | None  # of the frequent tokens and the escape, which is last
     rare_tokens: int
     novel: float  # share of escapes given to words never met: that of words met once among the rare
     tables: list[np.ndarray]
     spelling: np.ndarray  # counts of a byte after the bytes before it
 
+    def place(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each word is among the known, and where."""
+        at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
+        return (self.known[at] == hashes if len(self.known) else np.zeros(len(hashes), dtype=bool)), at
+
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Symbol of each word hash; the escape for words that are not frequent."""
         order = np.argsort(self.vocabulary)
@@ -293,7 +306,9 @@ def _score_blocks(model_of):
             for row in batch.itertuples(index=False):
                 hashes = _local_hashes(row.words)
                 symbols = model.symbols(hashes)
-                totals = np.append(model.counts, 0)[symbols]
+                known, at = model.place(hashes)
+                totals = np.zeros(len(hashes), dtype=np.int64)
+                totals[known] = model.totals[at[known]]
                 if row.at is not None:
                     totals[np.asarray(row.at)] = np.asarray(row.totals)
                 base = np.log10((totals + 0.1) / (n + 0.1 * (v + 1)))
@@ -333,12 +348,13 @@ def _score_blocks(model_of):
 def _by_length(texts: DataFrame) -> DataFrame:
     """Texts of like length side by side, in partitions of like size.
 
-    Lengths fall into classes of half a power of two, each dealt to as many partitions as its bytes ask for.
+    Lengths fall into classes of half a power of two, each dealt to as many partitions as its bytes and rows ask for.
     """
     sized = texts.withColumn("size", F.octet_length("text")).withColumn("class", F.floor(2 * F.log2(F.col("size") + 1)).cast("int"))
-    weights = {r["class"]: r["bytes"] for r in sized.groupBy("class").agg(F.sum("size").alias("bytes")).collect()}  # 63 rows at most
-    size = max(PART_BYTES, sum(weights.values()) // MOST_PARTS)
-    parts = {c: max(1, -(-weights[c] // size)) for c in sorted(weights)}
+    found = sized.groupBy("class").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows")).collect()  # 63 at most
+    size = max(PART_BYTES, sum(r["bytes"] for r in found) // MOST_PARTS)
+    rows = max(PART_ROWS, sum(r["rows"] for r in found) // MOST_PARTS)
+    parts = {r["class"]: max(1, -(-r["bytes"] // size), -(-r["rows"] // rows)) for r in sorted(found)}
     first = dict(zip(parts, np.cumsum([0, *parts.values()]).tolist()))
     place = F.create_map(*[F.lit(x) for c in parts for x in (c, first[c])]) if parts else None
     number = F.create_map(*[F.lit(x) for c in parts for x in (c, parts[c])]) if parts else None
@@ -372,13 +388,28 @@ def score_texts(
     totals = freeze(listed.groupBy("word").agg(F.sum("count").alias("count")))
     single = F.sum((F.col("count") == 1).cast("long"))
     n, v, single = (x or 0 for x in totals.agg(F.sum("count"), F.count(F.lit(1)), single).first())
-    top = totals.orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
-    hashes = np.array([word_hash(bytes(r["word"])) if r["word"] else 0 for r in top], dtype=np.uint64)
+    # Ranges of counts, an eighth of a power of two each: those that hold the frequent and the known words.
+    level = F.floor(8 * F.log2("count"))
+    frequent = known_from = 0
+    words = 0
+    for row in sorted(totals.groupBy(level.alias("level")).count().collect(), reverse=True):
+        frequent = row["level"] if words < VOCABULARY else frequent
+        words += row["count"]
+        known_from = row["level"] if words <= KNOWN else known_from
+        if words > KNOWN:
+            known_from = row["level"] + 1
+            break
+    top = totals.where(level >= frequent).orderBy(F.desc("count"), "word").limit(VOCABULARY).collect()
+    hashes = np.array([_hash(bytes(r["word"])) for r in top], dtype=np.uint64)
     counts = np.array([r["count"] for r in top], dtype=np.int64)
+    known = totals.where(level >= known_from).toArrow()  # KNOWN words at most
+    known_hashes = np.array([_hash(w) for w in known["word"].to_pylist()], dtype=np.uint64)
+    by_hash = np.argsort(known_hashes)
+    known_totals = known["count"].to_numpy().astype(np.int64)[by_hash]
     rare = int(n - counts.sum())
     novel = min(max(single / max(rare, 1), NOVEL[0]), NOVEL[1])
     code = mixer.huffman(np.append(counts, max(rare, 1))) if len(top) else None
-    model = LanguageModel(n, v, hashes, counts, code, rare, novel, [], np.zeros(0))
+    model = LanguageModel(n, v, hashes, known_hashes[by_hash], known_totals, code, rare, novel, [], np.zeros(0))
     salts = max(1, int(blocks.count() ** 0.5))
     *tables, spelling = _count_tables(blocks, totals, model, salts)
     model.tables, model.spelling = tables, spelling.astype(np.float64)
