@@ -12,7 +12,7 @@ import hashlib
 import json
 import math
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import partial
 
@@ -77,8 +77,8 @@ class BoostedTrees(Estimator):
                  self.patience, self.log_target, self.checkpoint_every, self.seed)
         return hashlib.sha256(repr(parts).encode()).hexdigest()
 
-    def prepare(self, df: DataFrame) -> Prepared:
-        """Rows with label, weight, hash and bins, stored. Fits that differ in other settings may share them."""
+    def _base(self, df: DataFrame) -> DataFrame:
+        """Inputs, label, weight and hash of the rows with a label, and which are held out; stored."""
         label = F.col("label").cast("double")
         y = log1p_clipped(label) if self.log_target else label
         weight = self.weigh(label) if self.weigh else F.lit(1.0)
@@ -86,14 +86,22 @@ class BoostedTrees(Estimator):
         content = [c for c, kind in df.dtypes if kind != "vector"]
         row = F.xxhash64(*content, vector_to_array("features"))
         held = F.pmod(F.xxhash64("_row", F.lit(self.seed)), F.lit(_DRAW)) < int(self.valid_share * _DRAW)
-        base = freeze(
+        return freeze(
             df.where(label.isNotNull())
             .select("features", y.alias("_y"), weight.cast("double").alias("_w"), row.alias("_row"))
             .withColumn("_held", held)
         )
+
+    def prepare(self, df: DataFrame) -> Prepared:
+        """Rows with label, weight, hash and bins, stored. Fits that differ in other settings may share them."""
+        base = self._base(df)
         edges = feature_edges(base.where("NOT _held"), self.bins)
         return Prepared(base, BinnedRows.store(base, edges))
 
+    def prepare_like(self, df: DataFrame, prepared: Prepared) -> BinnedRows:
+        """Other rows in the bins of prepared ones."""
+        return BinnedRows.store(self._base(df), prepared.rows.edges)
+
     def fit_prepared(self, prepared: Prepared) -> BoostedTreesModel:
         fit = _Fit(self, prepared)
         if not fit.resume():
@@ -319,6 +327,26 @@ def _no_progress(losses: list[float], patience: int) -> bool:
     return min(losses[-patience:]) >= min(losses[:-patience])
 
 
+def staged_errors(model: BoostedTreesModel, rows: BinnedRows, rounds: Sequence[int]) -> dict[int, float]:
+    """Mean absolute error of the raw score after each number of rounds, in one pass over binned rows."""
+    start, step, last = model.start, model.step, model.rounds
+    trees = [growth.cut_by_bins(tree, rows.edges) for tree in model.trees]
+    wanted = sorted({min(n, last) for n in rounds})
+
+    def work(block: Block) -> tuple[np.ndarray, int]:
+        score, sums = np.full(len(block.y), start), []
+        for k in range(wanted[-1] + 1):
+            if k in wanted:
+                sums.append(np.abs(block.y - score).sum())
+            if k < wanted[-1]:
+                score += step * growth.walk(trees[k], block.bins)
+        return np.array(sums), len(block.y)
+
+    sums, count = rows.fold(work, lambda a, b: (a[0] + b[0], a[1] + b[1]))
+    means = dict(zip(wanted, (sums / count).tolist()))
+    return {n: means[min(n, last)] for n in rounds}
+
+
 class BoostedTreesModel(Model):
     def __init__(self, trees: list[FlatTree], start: float, step: float, loss: Loss, log_target: bool):
         super().__init__()

@@ -247,3 +247,23 @@ def flatten(splits: Sequence[Split], values: dict[int, float], edges: Sequence[n
         tree.feature[at], tree.threshold[at] = s.feature, float(edges[s.feature][s.bin])
         tree.left[at], tree.right[at] = place[2 * s.node], place[2 * s.node + 1]
     return tree
+
+
+def cut_by_bins(tree: FlatTree, edges: Sequence[np.ndarray]) -> FlatTree:
+    """The tree with the bins of its thresholds in their place."""
+    bins = [int(np.searchsorted(edges[f], t)) if f >= 0 else -1 for f, t in zip(tree.feature, tree.threshold)]
+    return FlatTree(tree.feature, bins, tree.left, tree.right, tree.value)
+
+
+def walk(tree: FlatTree, bins: np.ndarray) -> np.ndarray:
+    """Value of every row's leaf, from a tree that is cut by bins."""
+    found = np.empty(bins.shape[1])
+    todo = [(0, np.arange(bins.shape[1]))]
+    while todo:
+        node, rows = todo.pop()
+        if tree.feature[node] < 0:
+            found[rows] = tree.value[node]
+            continue
+        left = bins[tree.feature[node], rows] <= tree.threshold[node]
+        todo += [(tree.left[node], rows[left]), (tree.right[node], rows[~left])]
+    return found

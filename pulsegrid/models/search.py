@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions.weights import blend
 from pulsegrid.layout import DEFAULT_LAYOUT, Layout
-from pulsegrid.models.boosting import BoostedTrees, BoostedTreesModel
+from pulsegrid.models.boosting import BoostedTrees, BoostedTreesModel, staged_errors
 from pulsegrid.models.composite import Blend, BlendModel
 from pulsegrid.operators.folds import Fold, expanding_folds, time_index
 
@@ -88,16 +88,16 @@ class GridSearchedTrees(Estimator):
         wanted = sorted(set(self.grid.get("max_iter", [600])))
         longest = wanted[-1]
         combos = combinations(self.grid)
-        prepared = {
-            (fold.number, bins): self._trees({"max_bins": bins}, longest).prepare(rows.where(fold.train()))
-            for fold in folds
-            for bins in set(self.grid.get("max_bins", [255]))
-        }
+        prepared, tested = {}, {}
+        for fold, bins in product(folds, set(self.grid.get("max_bins", [255]))):
+            trees, key = self._trees({"max_bins": bins}, longest), (fold.number, bins)
+            prepared[key] = trees.prepare(rows.where(fold.train()))
+            tested[key] = trees.prepare_like(rows.where(fold.test()), prepared[key])
 
         def errors_of(combo: Mapping, fold: Fold) -> dict[int, float]:
             """Error for each number of rounds."""
-            model = self._trees(combo, longest).fit_prepared(prepared[(fold.number, combo.get("max_bins", 255))])
-            return _absolute_errors(model, rows, fold, wanted)
+            key = (fold.number, combo.get("max_bins", 255))
+            return staged_errors(self._trees(combo, longest).fit_prepared(prepared[key]), tested[key], wanted)
 
         self.results, best_error = [], math.inf
         with _Ahead(df.sparkSession, errors_of, combos, folds, self.workers) as ahead:
@@ -113,8 +113,9 @@ class GridSearchedTrees(Estimator):
                 if error < best_error:
                     best_error, self.best = error, combo
             self.fits = ahead.started
-        for kept in prepared.values():
+        for key, kept in prepared.items():
             kept.rows.release()
+            tested[key].release()
         return self._trees(self.best, self.best.get("max_iter", longest)).fit(rows)
 
     def result_table(self, spark: SparkSession) -> DataFrame:
@@ -180,15 +181,6 @@ class _Ahead:
                 future.cancel()
 
 
-def _absolute_errors(model: BoostedTreesModel, rows: DataFrame, fold: Fold, rounds: Sequence[int]) -> dict[int, float]:
-    """Mean absolute error on the fold of the model after each number of rounds, in one pass."""
-    scored = rows.where(fold.test())
-    for n in rounds:
-        scored = model.truncated(n).transform(scored).withColumnRenamed("yhat", f"yhat_{n}")
-    means = [F.avg(F.abs(F.col("label") - F.col(f"yhat_{n}"))) for n in rounds]
-    return dict(zip(rounds, map(float, scored.agg(*means).first())))
-
-
 def blend_accuracies(
     scored: DataFrame, alphas: Sequence[float], k: float, y: str = "y", first: str = "yhat0", second: str = "yhat1"
 ) -> DataFrame:
