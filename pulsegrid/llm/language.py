@@ -40,7 +40,7 @@ from pulsegrid.session import freeze
 FOLDS = 10
 VOCABULARY = 8192
 BLOCK_TOKENS = 1 << 20
-BLOCK_WORDS = 60_000  # a block with as many distinct words takes no further text; up to 65,535 numbers take two bytes
+BLOCK_WORDS = 1 << 18  # a block with as many distinct words takes no further text
 KNOWN = 1 << 18  # words at most whose totals every task is told
 # Text and texts of a task that cuts blocks, and how many such tasks there are before these grow.
 PART_BYTES, PART_ROWS, MOST_PARTS = 16 << 20, 1 << 11, 20_000
@@ -85,7 +85,7 @@ def _cut_blocks(block_tokens: int):
             return pd.DataFrame(
                 {
                     "block": [number], "keys": [keys], "held": [held], "counts": [counts.tolist()],
-                    "ids": [ids.astype("<u2" if len(known) < 1 << 16 else "<u4").tobytes()],
+                    "ids": [_pack(ids, len(known))],
                     "words": [b"\n".join(known)], "train": [train.tobytes()],
                 }
             )
@@ -110,9 +110,23 @@ def _cut_blocks(block_tokens: int):
     return cut
 
 
+def _pack(ids: np.ndarray, most: int) -> bytes:
+    """Numbers up to ``most``: two bytes each; beyond 65,535 a third byte of each follows, beyond 2^24 four bytes each."""
+    if most < 1 << 16:
+        return ids.astype("<u2").tobytes()
+    if most < 1 << 24:
+        return (ids & 0xFFFF).astype("<u2").tobytes() + (ids >> 16).astype(np.uint8).tobytes()
+    return ids.astype("<u4").tobytes()
+
+
 def _ids(row, tokens: int) -> np.ndarray:
     """Local word numbers of a block's tokens."""
-    return np.frombuffer(row.ids, dtype="<u2" if len(row.ids) == 2 * tokens else "<u4")
+    if len(row.ids) == 4 * tokens:
+        return np.frombuffer(row.ids, dtype="<u4")
+    low = np.frombuffer(row.ids, dtype="<u2", count=tokens)
+    if len(row.ids) == 2 * tokens:
+        return low
+    return low | np.frombuffer(row.ids, dtype=np.uint8, offset=2 * tokens).astype(np.uint32) << np.uint32(16)
 
 
 def _local_hashes(words: bytes) -> np.ndarray:

@@ -158,7 +158,7 @@ class Mixer:
 
     A stream has a set of weights for each gate (how deep in the code a decision is). It predicts all decisions of a token
     and then learns from all of them at once. Its output is refined by a table of the outcomes seen at that output,
-    which learns in the same way.
+    which learns from the last of a token's decisions at that output.
     """
 
     def __init__(self, streams: int, weights=FIRST_WEIGHTS):
@@ -191,8 +191,8 @@ class Mixer:
         rate, slow, width = np.float32(RATE), np.float32(REFINE_RATE), np.float32(1 / _BIN_WIDTH)
         middle = np.float32((BINS - 1) / 2 + 0.5)
         w, table = self.weights, self.table
-        bounds = (starts.tolist(), ends.tolist(), run_starts.tolist(), run_ends.tolist(), (steps * BINS).tolist())
-        for begin, end, run, run_end, cells in zip(*bounds):
+        bounds = (starts.tolist(), ends.tolist(), run_starts.tolist(), run_ends.tolist())
+        for begin, end, run, run_end in zip(*bounds):
             now, here = said[begin:end], y[begin:end]
             z = np.einsum("ij,ij->i", w.take(sets[begin:end], axis=0), now)
             np.clip(z, -9, 9, out=z)
@@ -209,8 +209,7 @@ class Mixer:
             cell += first_cell[begin:end]
             seen = table.take(cell)
             refined[begin:end] = seen
-            # Streams are in order of length, so those of a step are the first ones.
-            table[:cells] += slow * np.bincount(cell, here - seen, minlength=cells).astype(np.float32)
+            table[cell] = seen + slow * (here - seen)  # of a token's decisions at one output the last counts
         p = np.clip(0.75 * mixed + 0.25 * refined, _EDGE, 1 - _EDGE)
         return np.log(np.where(y > 0, p, 1 - p))
 

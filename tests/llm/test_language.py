@@ -161,8 +161,9 @@ def plain_mixer(symbols, hashes, code, tables):
             refined.append((cell, M.REFINE_RATE * (y - table[cell])))
         for gate, change in learned:  # all decisions of the token were predicted before any is learned from
             weights[gate] = [a + b for a, b in zip(weights[gate], change)]
-        for cell, change in refined:
-            table[cell] += change
+        before = list(table)
+        for cell, change in refined:  # the last decision at an output counts
+            table[cell] = before[cell] + change
         logs.append(total)
     return np.array(logs)
 
@@ -191,6 +192,13 @@ def test_scores_do_not_depend_on_the_layout(spark, sample_docs):
             assert math.isclose(other[key][0], base, rel_tol=1e-12) and math.isclose(other[key][1], score, rel_tol=1e-6)
 
 
+def test_numbers_of_many_words_are_packed():
+    for most in (70, 65_535, 65_536, 300_000, 1 << 24):
+        ids = np.array([0, 1, 69, most // 2, most - 1], dtype=np.uint32)
+        row = type("Row", (), {"ids": L._pack(ids, most)})
+        assert L._ids(row, len(ids)).tolist() == ids.tolist()
+
+
 def test_texts_of_like_length_share_blocks(spark):
     docs = make_docs(spark, ["w " * n for n in [5, 3000, 7, 2500, 6, 2800] * 20])
     frame = docs.selectExpr("CAST(doc_id AS string) AS key", "false AS held", "text").orderBy("text")
