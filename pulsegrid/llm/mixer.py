@@ -12,7 +12,8 @@ SLOT_BITS = 19
 FREQUENT = 256  # words that can be the last frequent one
 RATE, REFINE_RATE = 0.05, 0.02
 GATES = 4
-CHUNK = 1 << 16  # tokens whose decisions are worked out at a time
+CHUNK = 1 << 16  # tokens whose decisions are worked out at a time for scoring
+COUNTED = 1 << 18  # and for counting, where each time costs a pass over the tables
 STREAMS = 1 << 14  # texts that are handled side by side, at most
 BINS = 25
 BACKOFF = (2.0, 2.0, 2.0)  # prior weight of the node's own rate in each context
@@ -112,10 +113,10 @@ def count_tokens(symbols: np.ndarray, hashes: np.ndarray, first: np.ndarray, cod
     """``count_bits`` of any number of tokens, some at a time."""
     seen = contexts(symbols, hashes, first)
     total: list[np.ndarray] = []
-    for at in range(0, len(symbols), CHUNK):
-        part = slice(at, at + CHUNK)
+    for at in range(0, len(symbols), COUNTED):
+        part = slice(at, at + COUNTED)
         found = count_bits(expand(symbols[part], [c[part] for c in seen], code), nodes)
-        total = [a + b for a, b in zip(total, found)] if total else found
+        total = [np.add(a, b, out=a) for a, b in zip(total, found)] if total else found
     return total
 
 
