@@ -162,3 +162,16 @@ def test_one_hot_forms_agree(spark):
 def test_null_for_nan(spark):
     df = spark.createDataFrame([(NAN,), (1.0,), (None,)], "x double").select(C.null_if_nan(F.col("x")).alias("x"))
     assert [r["x"] for r in df.collect()] == [None, 1.0, None]
+
+
+def test_onehot_query_never_lists_all_users_for_a_row(spark, tmp_path):
+    from pulsegrid.checks.tables import onehot_users
+
+    when = dt.datetime(2024, 1, 1)
+    events = [(i, when + dt.timedelta(minutes=i), user, "view", 1.0, '{"k": 1}') for i, user in enumerate([7, 7, 3, 9, None])]
+    kinds = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(events, kinds).write.parquet(str(tmp_path / "events.parquet"))
+    found = onehot_users(spark, str(tmp_path))
+    assert "UDF(user_id_vec" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["user_id"]: (r["size"], r["active"], r["rows"]) for r in found.collect() if r["user_id"] is not None}
+    assert rows == {3: (2, None, 1), 7: (2, 1, 2), 9: (2, 0, 1)}
