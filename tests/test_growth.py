@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from pulsegrid.models import ensemble, growth
+from pulsegrid.models import binned, blocks, ensemble, growth
 from pulsegrid.models.binned import BinnedRows, feature_edges, group_quantiles
 from pulsegrid.models.boosting import BoostedTrees
 from pulsegrid.models.growth import Limits
@@ -206,3 +207,39 @@ def test_saved_model_scores_the_same(spark, rows, tmp_path):
     assert again.trees == model.trees
     take = lambda m: [r["yhat"] for r in m.transform(rows).orderBy("event_id").collect()]
     assert take(again) == take(model)
+
+
+def test_large_sums_reach_the_driver_once(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "_FEW_BYTES", 1000)
+    numbered = spark.sparkContext.parallelize([(i, np.arange(600.0) * i) for i in range(24)], 12)
+    received = []
+    collect = RDD.collect
+
+    def watched(rdd):
+        found = collect(rdd)
+        received.append(sum(v.nbytes for _, v in found))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", watched)
+    total = blocks.fold_blocks(numbered, 12, lambda v: v.copy(), blocks.add_to, blocks.array_pieces((20, 30)))
+    assert np.array_equal(total, (np.arange(600.0) * sum(range(24))).reshape(20, 30))
+    assert received == [total.nbytes]
+
+
+def test_codes_are_summed_in_pieces():
+    rng = np.random.default_rng(4)
+
+    def part():
+        codes = np.unique(rng.integers(0, 50, 30).astype(np.uint64))
+        listed = (rng.integers(0, 3, 9), rng.integers(0, 1 << 40, 9).astype(np.uint64), rng.uniform(size=9))
+        return (codes, rng.uniform(size=len(codes)), np.ones(len(codes))), listed
+
+    def add(a, b):
+        return binned._add_codes(a[0], b[0]), tuple(np.concatenate(p) for p in zip(a[1], b[1]))
+
+    one, two = part(), part()
+    whole = add(one, two)
+    pieces = [add(a, b) for a, b in zip(binned._cut_codes(one, 7), binned._cut_codes(two, 7))]
+    summed, listed = binned._join_codes(pieces)
+    assert all(np.array_equal(a, b) for a, b in zip(summed, whole[0]))
+    assert sorted(zip(*listed)) == sorted(zip(*whole[1]))
