@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml.feature import VectorAssembler
 
-from pulsegrid.models import forest
+from pulsegrid.models import ensemble, forest
 from pulsegrid.models.binned import feature_edges
 from pulsegrid.models.forest import RandomForest
 from pulsegrid.models.growth import Limits
@@ -90,3 +93,27 @@ def test_depth_limit(frame):
 def test_branch_of_equal_rows_is_a_leaf():
     bins = np.zeros((2, 9), dtype=np.uint8)
     assert list(forest.grow_branch(bins, np.arange(9.0), np.ones(9), 1, 0, Limits(None, None, 1))) == [(1, -1, -1, 4.0)]
+
+def test_large_forest_is_scored_branch_by_branch(frame, monkeypatch):
+    model = RandomForest(trees=3, min_leaf=3, finish=60).fit(frame)
+    assert model.nodes.where("branch IS NULL").count() > 3  # upper parts and branches are both walked
+    at_once = predict(model, frame)
+    monkeypatch.setattr(forest, "_WHOLE", 10)
+    monkeypatch.setattr(ensemble, "tree_sum_of", None)  # the whole forest in one place
+    apart = forest.RandomForestModel(model.nodes, model.trees).transform(frame)
+    assert apart.columns == [*frame.columns, "yhat"] and apart.count() == frame.count()
+    assert predict(forest.RandomForestModel(model.nodes, model.trees), frame) == pytest.approx(at_once, abs=1e-9)
+
+
+def test_histograms_of_a_forest_stay_in_the_tasks(frame, monkeypatch):
+    received = []
+    collect = RDD.collect
+
+    def watched(rdd):
+        found = collect(rdd)
+        received.append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", watched)
+    RandomForest(trees=4, finish=40, min_leaf=1).fit(frame)
+    assert max(received) < 20_000  # a histogram alone has 3 inputs x 256 bins x 3 sums of 8 bytes
