@@ -224,3 +224,9 @@ def test_registry(frame):
 def test_unknown_loss():
     with pytest.raises(ValueError):
         make_loss("cosine")
+
+
+def test_huber_needs_few_passes(frame):
+    estimator = registry.make_model("huber")
+    estimator.fit(frame)
+    assert estimator.steps <= 12  # by reweighting alone more than twenty
