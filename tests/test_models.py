@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from pulsegrid.models import registry
+from pulsegrid.models.binned import BinnedRows
 from pulsegrid.models.boosting import BoostedTrees
 from pulsegrid.models.composite import Blend, BlendModel, TwoStage
 from pulsegrid.models.losses import make_loss
@@ -230,3 +231,40 @@ def test_huber_needs_few_passes(frame):
     estimator = registry.make_model("huber")
     estimator.fit(frame)
     assert estimator.steps <= 12  # by reweighting alone more than twenty
+
+
+def test_blended_models_share_the_binned_rows(frame, monkeypatch):
+    stored = []
+    store = BinnedRows.store
+
+    def watched(rows, edges, *more):
+        stored.append(rows)
+        return store(rows, edges, *more)
+
+    first = BoostedTrees(loss="absolute", rounds=2, min_leaf=10, valid_share=0.1)
+    second = BoostedTrees(loss="squared", rounds=2, min_leaf=10, valid_share=0.1, weigh=lambda y: 1 + y / 10)
+    apart = [predict(part.fit(frame), frame) for part in (first, second)]
+    monkeypatch.setattr(BinnedRows, "store", watched)
+    model = Blend([first, second], [0.5, 0.25]).fit(frame)
+    assert len(stored) == 1
+    assert predict(model, frame) == pytest.approx(0.5 * apart[0] + 0.25 * apart[1])
+
+
+def test_like_fits_of_a_search_share_their_passes(frame, monkeypatch):
+    passes = []
+    fold = BinnedRows.fold
+
+    def watched(rows, *how):
+        passes.append(rows)
+        return fold(rows, *how)
+
+    monkeypatch.setattr(BinnedRows, "fold", watched)
+    one, three = (
+        GridSearchedTrees({"min_samples_leaf": leaf, "max_iter": [2], "max_depth": [2]}, folds=2, workers=1, valid_share=0.0, prune=False)
+        for leaf in ([1], [1, 2, 3])
+    )
+    one.fit(frame)
+    alone, passes[:] = len(passes), []
+    three.fit(frame)
+    assert len(passes) <= alone + 4
+    assert len({r["cv_mae"] for r in three.results}) == 1 and three.fits == 6
